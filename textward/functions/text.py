@@ -61,7 +61,7 @@ def find_spans(c: Column | str, pattern: str, label: str, lead: str | None = Non
     covers the value only.
     """
     text = _col(c)
-    whole = (lead or "") + pattern
+    whole = unicode_pattern((lead or "") + pattern, case_insensitive=False)
     none = F.array().cast(SPAN_TYPE)
 
     def step(acc: Column, pair: Column) -> Column:

@@ -110,10 +110,10 @@ def document_chunks(spark: SparkSession, d: str, max_chunks: int | None, batch_n
 
 
 def page_topics(spark: SparkSession, d: str) -> DataFrame:
-    """Topics to look up: the titles as they are, in capitals, and backwards (no page has these)."""
+    """Topics to look up: the titles as they are, in small letters, and backwards."""
     titles = kb.parse_pages(fixture(spark, d, "pages")).select(F.col("title").alias("topic"))
     return titles.select(
-        F.explode(F.array("topic", F.upper("topic"), F.reverse("topic"))).alias("topic")
+        F.explode(F.array("topic", F.lower("topic"), F.reverse("topic"))).alias("topic")
     )
 
 

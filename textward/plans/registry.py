@@ -831,9 +831,9 @@ def text_features(spark: SparkSession, d: str) -> DataFrame:
 @query
 def generate_plugin(spark: SparkSession, d: str) -> DataFrame:
     def echo():
-        return lambda prompts: [p.upper() for p in prompts]
+        return lambda prompts: [p + " done" for p in prompts]
 
-    generate = models.register_generator(spark, "echo_upper", echo)
+    generate = models.register_generator(spark, "echo_done", echo)
     prompts = inputs.messages(spark, d).where("role = 'user'").select(
         inputs.message_id().alias("query_id"), "text", hash_embedding("text").alias("embedding")
     )
