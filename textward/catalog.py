@@ -19,11 +19,16 @@ MAX_CONFIG_ROWS = 2000
 
 @dataclass(frozen=True)
 class Rule:
-    """One regular expression of a language pack."""
+    """One regular expression of a language pack.
+
+    ``starts`` lists the ASCII characters a hit can start with, in small letters; where it is
+    known, texts without a hit are told apart much faster.
+    """
 
     language: str
     rule: str
     pattern: str
+    starts: str | None = None
 
 
 @dataclass(frozen=True)
@@ -50,34 +55,44 @@ class WeightedPattern:
     name: str
     pattern: str
     weight: float
+    starts: str | None = None
+
+
+def _words(*words: str) -> tuple[str, str]:
+    """Pattern for whole words, and the letters they start with."""
+    return r"\b(?:" + "|".join(words) + r")\b", "".join(sorted({w[0] for w in words}))
+
+
+def _rule(language: str, name: str, *words: str) -> Rule:
+    return Rule(language, name, *_words(*words))
 
 
-def _words(*words: str) -> str:
-    return r"\b(?:" + "|".join(words) + r")\b"
+def _terms(name: str, weight: float, *words: str) -> WeightedPattern:
+    pattern, starts = _words(*words)
+    return WeightedPattern(name, pattern, weight, starts)
 
 
 # Own word lists, ASCII only.  Packs for other languages or other wordings come in by table.
 RULE_PACKS: dict[str, tuple[Rule, ...]] = {
     "english": (
-        Rule("english", "profanity", _words("idiots?", "morons?", "stupid", "losers?", "pathetic")),
-        Rule("english", "banned_words",
-             _words("scum(?:bags?)?", "trash", "worthless", "disgusting", "clowns?")),
+        _rule("english", "profanity", "idiots?", "morons?", "stupid", "losers?", "pathetic"),
+        _rule("english", "banned_words", "scum(?:bags?)?", "trash", "worthless", "disgusting", "clowns?"),
     ),
     "filipino": (
-        Rule("filipino", "profanity", _words("engot", "gunggong", "hangal", "inutil")),
-        Rule("filipino", "banned_words", _words("basura", "hampaslupa", "walang[ -]?hiya")),
+        _rule("filipino", "profanity", "engot", "gunggong", "hangal", "inutil"),
+        _rule("filipino", "banned_words", "basura", "hampaslupa", "walang[ -]?hiya"),
     ),
     "german": (
-        Rule("german", "profanity", _words("idiot(?:en)?", "trottel", "dummkopf")),
-        Rule("german", "banned_words", _words("abschaum", "dreckskerl")),
+        _rule("german", "profanity", "idiot(?:en)?", "trottel", "dummkopf"),
+        _rule("german", "banned_words", "abschaum", "dreckskerl"),
     ),
     "french": (
-        Rule("french", "profanity", _words("idiote?s?", "imbeciles?", "cretins?")),
-        Rule("french", "banned_words", _words("ordures?", "racailles?")),
+        _rule("french", "profanity", "idiote?s?", "imbeciles?", "cretins?"),
+        _rule("french", "banned_words", "ordures?", "racailles?"),
     ),
     "spanish": (
-        Rule("spanish", "profanity", _words("idiotas?", "imbecil(?:es)?", "tontos?")),
-        Rule("spanish", "banned_words", _words("basura", "escoria")),
+        _rule("spanish", "profanity", "idiotas?", "imbecil(?:es)?", "tontos?"),
+        _rule("spanish", "banned_words", "basura", "escoria"),
     ),
 }
 
@@ -169,10 +184,8 @@ RECOGNISERS: tuple[Recogniser, ...] = (
 
 # Toxicity lexicon: weight per hit.
 TOXIC_TERMS: tuple[WeightedPattern, ...] = (
-    WeightedPattern("strong", _words("scum(?:bags?)?", "worthless", "disgusting", "morons?"), 1.0),
-    WeightedPattern(
-        "mild", _words("idiots?", "stupid", "trash", "clowns?", "pathetic", "losers?"), 0.6
-    ),
+    _terms("strong", 1.0, "scum(?:bags?)?", "worthless", "disgusting", "morons?"),
+    _terms("mild", 0.6, "idiots?", "stupid", "trash", "clowns?", "pathetic", "losers?"),
 )
 TOXIC_RATE = 1.0
 
@@ -183,15 +196,19 @@ INJECTION_CUES: tuple[WeightedPattern, ...] = (
         r"\b(?:ignore|disregard|forget)(?: all| any)?(?: of)?(?: the| your)?"
         r" (?:previous|prior|above|earlier) (?:instructions?|prompts?|rules?|messages?)\b",
         1.5,
+        "dfi",
     ),
     WeightedPattern(
         "leak",
         r"\b(?:reveal|print|show|repeat)(?: me)?(?: the| your)?"
         r" (?:hidden |initial |system )+(?:prompt|instructions?|message)\b",
         1.2,
+        "prs",
     ),
-    WeightedPattern("role", r"\b(?:you are now|pretend to be|developer mode|jailbreak)\b", 0.8),
-    WeightedPattern("delimiter", r"(?:#{3,}|%{3,}|&{3,})", 0.02),
+    WeightedPattern(
+        "role", r"\b(?:you are now|pretend to be|developer mode|jailbreak)\b", 0.8, "djpy"
+    ),
+    WeightedPattern("delimiter", r"(?:#{3,}|%{3,}|&{3,})", 0.02, "#%&"),
 )
 INJECTION_RATE = 1.0
 INJECTION_LABEL = "INJECTION"
@@ -229,9 +246,9 @@ def select_languages(rules: Sequence[Rule], languages: Sequence[str] | None) ->
 
 
 def rules_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
-    """Catalogue as a table ``(position, language, rule, pattern, action)``."""
+    """Catalogue as a table ``(position, language, rule, pattern, action, starts)``."""
     rows = [
-        (i, r.language, r.rule, r.pattern, POLICIES.get(r.rule)) for i, r in enumerate(rules)
+        (i, r.language, r.rule, r.pattern, POLICIES.get(r.rule), r.starts) for i, r in enumerate(rules)
     ]
     return spark.createDataFrame(rows, schemas.RULES)
 
@@ -245,10 +262,10 @@ def _config_rows(df: DataFrame) -> list[Row]:
 
 def rules_from_frame(df: DataFrame) -> tuple[Rule, ...]:
     """Read a catalogue table; it is configuration, so its size is checked."""
-    rows = sorted(_config_rows(df.select("position", "language", "rule", "pattern")))
+    rows = sorted(_config_rows(df), key=lambda r: r["position"])
     out: tuple[Rule, ...] = ()
     for r in rows:
-        out = add_pack(out, [Rule(r["language"], r["rule"], r["pattern"])])
+        out = add_pack(out, [Rule(r["language"], r["rule"], r["pattern"], r["starts"])])
     return out
 
 

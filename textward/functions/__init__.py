@@ -8,6 +8,7 @@ from .bands import (
     strong_enough,
 )
 from .text import (
+    any_match,
     chunk_text,
     clean_topic,
     clip,
@@ -38,7 +39,7 @@ from .vectors import (
 )
 
 __all__ = [
-    "assessment_band", "chunk_text", "clean_topic", "clip", "content_id", "cosine_similarity",
+    "any_match", "assessment_band", "chunk_text", "clean_topic", "clip", "content_id", "cosine_similarity",
     "distance_band", "distance_points", "dot", "extract_claims", "extract_fenced", "find_all",
     "find_spans", "flatten_list_text", "hash_embedding", "head_words", "is_filtered_marker",
     "is_hallucination", "list_text_items", "max_probability", "norm", "sigmoid", "softmax",

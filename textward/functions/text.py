@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,42 +55,80 @@ def find_all(c: Column | str, pattern: str, group: int = 0) -> Column:
     )
 
 
-def find_spans(c: Column | str, pattern: str, label: str, lead: str | None = None) -> Column:
-    """Hits of one pattern with their character offsets in the whole text.
+# Letters outside ASCII that fold to an ASCII letter in Unicode matching.
+_FOLDED = ("\u017f", "\u212a", "\u0131", "\u0130")
 
-    A hit starts after everything before it: the pieces between hits (``split``) and the hits
-    so far.  With ``lead`` the hit opens with words that introduce the value; the span then
-    covers the value only.
+
+def any_match(
+    c: Column | str, patterns: Sequence[tuple[str, str | None]], case_insensitive: bool = True
+) -> Column:
+    """True exactly where at least one of ``(pattern, starts)`` has a hit: one pass for all.
+
+    With the first characters of all patterns known, a look at one character rejects most
+    positions before any pattern is tried.
+    """
+    text = _col(c)
+    bounded = [p[2:] for p, _ in patterns if _opens_with_boundary(p)]
+    others = [p for p, _ in patterns if not _opens_with_boundary(p)]
+    branches = [r"\b(?:" + "|".join(f"(?:{p})" for p in bounded) + ")"] if bounded else []
+    branches += [f"(?:{p})" for p in others]
+    union = unicode_pattern("(?:" + "|".join(branches) + ")", case_insensitive)
+    starts = "".join(sorted({x for _, s in patterns for x in s or ""}))
+    if not all(s and s.isascii() for _, s in patterns):
+        return F.coalesce(text.rlike(union), F.lit(False))
+    both = "".join(sorted(set(starts.lower() + starts.upper())))
+    first = "(?=[" + re.sub(r"([^A-Za-z0-9])", r"\\\1", both) + "])"
+    # CASE WHEN, not OR: its branches are lazy, common parts of an OR are computed ahead
+    found = F.when(text.rlike(first + union), True)
+    if case_insensitive:
+        folded = reduce(lambda a, b: a | b, [text.contains(x) for x in _FOLDED])
+        found = found.when(folded, text.rlike(union))
+    return F.coalesce(found, F.lit(False))
+
+
+def _opens_with_boundary(pattern: str) -> bool:
+    """True if the pattern is a word boundary and one sequence (no ``|`` outside groups)."""
+    plain = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "", pattern)
+    while (inner := re.sub(r"\([^()]*\)", "", plain)) != plain:
+        plain = inner
+    return pattern.startswith(r"\b") and "|" not in plain
+
+
+def find_spans(
+    c: Column | str, found: Column, none: Column | None = None
+) -> Column:
+    """Spans with character offsets for hits of several patterns in one text.
+
+    ``found`` is an array of ``(label, pattern, lead, hits)``.  A hit starts after everything
+    before it: the pieces between hits (``split``) and the hits so far.  With ``lead`` the hit
+    opens with words that introduce the value; the span covers the value only.
     """
     text = _col(c)
-    whole = unicode_pattern((lead or "") + pattern, case_insensitive=False)
-    none = F.array().cast(SPAN_TYPE)
-
-    def step(acc: Column, pair: Column) -> Column:
-        hit = pair["hit"]
-        value = F.regexp_replace(hit, "^" + lead, "") if lead else hit
-        end = (acc["pos"] + F.length(pair["gap"]) + F.length(hit)).cast("int")
-        span = F.struct(
-            value.alias("text"),
-            F.lit(label).alias("label"),
-            (end - F.length(value)).cast("int").alias("start"),
-            end.alias("end"),
-            F.lit(1.0).alias("score"),
-        )
-        return F.struct(
-            end.alias("pos"), F.concat(acc["out"], F.array(span)).cast(SPAN_TYPE).alias("out")
-        )
-
-    def locate(hits: Column) -> Column:
+    none = F.array().cast(SPAN_TYPE) if none is None else none
+
+    def locate(row: Column) -> Column:
+        def step(acc: Column, pair: Column) -> Column:
+            hit = pair["hit"]
+            value = F.regexp_replace(hit, row["lead"], F.lit(""))
+            end = (acc["pos"] + F.length(pair["gap"]) + F.length(hit)).cast("int")
+            span = F.struct(
+                value.alias("text"),
+                row["label"].alias("label"),
+                (end - F.length(value)).cast("int").alias("start"),
+                end.alias("end"),
+                F.lit(1.0).alias("score"),
+            )
+            return F.struct(
+                end.alias("pos"), F.concat(acc["out"], F.array(span)).cast(SPAN_TYPE).alias("out")
+            )
+
         # the last gap has no hit after it
-        gaps = F.slice(F.split(text, whole, -1), 1, F.size(hits))
-        pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
+        gaps = F.slice(F.split(text, row["pattern"], -1), 1, F.size(row["hits"]))
+        pairs = F.arrays_zip(gaps.alias("gap"), row["hits"].alias("hit"))
         start = F.struct(F.lit(0).alias("pos"), none.alias("out"))
-        found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-        # most texts hold no hit: one extract pass, no split, no fold
-        return F.when(F.size(hits) > 0, found).otherwise(none)
+        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
-    return let(find_all(text, whole), locate)
+    return F.flatten(F.transform(found, locate))
 
 
 def chunk_text(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import catalog
 from ..catalog import Recogniser, Rule
 from ..config import ScreeningPolicy
-from ..functions.text import _col, is_filtered_marker, strip
+from ..functions.text import _col, any_match, is_filtered_marker, strip
 from . import pii, rules, scores
 
 # Gate names, the fixed injection bound and the score of an injection label.
@@ -77,30 +77,38 @@ def with_scores(
         catalog.default_rules() if rule_list is None else rule_list, policy.languages
     )
     zero = F.lit(0.0)
-    banned = F.lit(0)
-    if policy.banned_word_tolerance >= 0:
-        banned = rules.detection_count(text, chosen, policy.case_insensitive)
-    if policy.threshold_toxicity > 0:
-        toxic = scores.score_toxicity(text) if toxicity is None else toxicity
-    else:
-        toxic = zero
+    use_rules = policy.banned_word_tolerance >= 0
+    use_toxicity = policy.threshold_toxicity > 0
+    use_injection = policy.mode == "compat" or policy.threshold_injection >= 0
+    # one pass tells the texts with any word of interest; only they meet the single patterns
+    watched = [(r.pattern, r.starts) for r in chosen] if use_rules else []
+    if use_toxicity and toxicity is None:
+        watched += [(p.pattern, p.starts) for p in catalog.TOXIC_TERMS]
+    if use_injection and injection is None:
+        watched += [(p.pattern, p.starts) for p in catalog.INJECTION_CUES]
+    # patterns that match in their own case are found regardless of case too
+    hit = any_match(text, watched) if watched else F.lit(False)
+    guarded = df.withColumn("_hit", hit)
+    guard = F.col("_hit")
+
+    banned, personal, toxic, inject = F.lit(0), F.lit(0), zero, zero
+    if use_rules:
+        banned = rules.detection_count(text, chosen, policy.case_insensitive, guard=guard)
+    if use_toxicity:
+        toxic = scores.score_toxicity(text, guard=guard) if toxicity is None else toxicity
     if policy.threshold_pii >= 0:
         found = F.col("entities") if "entities" in df.columns else pii.entities(text, recognisers)
         personal = pii.count_pii(found, policy.pii_labels)
-    else:
-        personal = F.lit(0)
-    if policy.mode == "fixed" and policy.threshold_injection < 0:
-        inject = zero
-    else:
-        inject = scores.score_injection(text) if injection is None else injection
-    return df.withColumns(
+    if use_injection:
+        inject = scores.score_injection(text, guard=guard) if injection is None else injection
+    return guarded.withColumns(
         {
             "banned_words": banned.cast("int"),
             "toxicity": F.coalesce(toxic, zero),
             "pii_count": personal.cast("int"),
             "injection": F.coalesce(inject, zero),
         }
-    )
+    ).drop("_hit")
 
 
 def gate_table(policy: ScreeningPolicy) -> dict[str, tuple[Column, Column]]:

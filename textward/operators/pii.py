@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..catalog import Recogniser
-from ..functions.text import SPAN_TYPE, _col, find_spans, let
+from ..functions.text import SPAN_TYPE, _col, find_all, find_spans, let, unicode_pattern
 
 
 def _none() -> Column:
@@ -19,16 +19,29 @@ def _none() -> Column:
 def candidate_spans(text: Column | str, recognisers: Sequence[Recogniser]) -> Column:
     """Hits of every recogniser, overlaps included."""
     value = _col(text)
-    parts = []
-    for item in recognisers:
-        spans = find_spans(value, item.pattern, item.label, item.lead)
+
+    def hits(item: Recogniser, has_digit: Column) -> Column:
+        pattern = unicode_pattern((item.lead or "") + item.pattern, case_insensitive=False)
+        lead = unicode_pattern("^" + item.lead, case_insensitive=False) if item.lead else "^$"
+        found = find_all(value, pattern)
         # CASE WHEN is lazy for native expressions: without its guard a pattern is not run
         if item.guard is not None:
-            spans = F.when(value.contains(item.guard), spans).otherwise(_none())
+            found = F.when(value.contains(item.guard), found)
         elif item.needs_digit:
-            spans = F.when(value.rlike("[0-9]"), spans).otherwise(_none())
-        parts.append(spans)
-    return F.concat(_none(), *parts)
+            found = F.when(has_digit, found)
+        return F.struct(
+            F.lit(item.label).alias("label"),
+            F.lit(pattern).alias("pattern"),
+            F.lit(lead).alias("lead"),
+            found.alias("hits"),
+        )
+
+    def located(has_digit: Column) -> Column:
+        rows = F.array(*[hits(item, has_digit) for item in recognisers])
+        # most texts hold no entity: they need neither split nor fold
+        return find_spans(value, F.filter(rows, lambda r: F.size(r["hits"]) > 0))
+
+    return let(value.rlike("[0-9]"), located) if recognisers else _none()
 
 
 def resolve_overlaps(entities: Column | str, order: Sequence[str] = ()) -> Column:

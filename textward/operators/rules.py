@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..catalog import Rule
-from ..functions.text import _col, find_all, unicode_pattern
+from ..functions.text import _col, any_match, find_all, unicode_pattern
 from ..schemas import DETECTIONS
 
 
@@ -46,9 +46,18 @@ def detections(
             ),
         )
 
-    parts = [hits(rule) for rule in rules]
     empty = F.array().cast(DETECTIONS)
-    return F.concat(empty, *parts) if parts else empty
+    if not rules:
+        return empty
+    found = F.concat(empty, *[hits(rule) for rule in rules])
+    return F.when(has_rule_hit(text, rules, case_insensitive), found).otherwise(empty)
+
+
+def has_rule_hit(
+    text: Column | str, rules: Sequence[Rule], case_insensitive: bool = True
+) -> Column:
+    """True where any rule has a hit."""
+    return any_match(text, [(r.pattern, r.starts) for r in rules], case_insensitive)
 
 
 def detection_count(
@@ -56,8 +65,12 @@ def detection_count(
     rules: Sequence[Rule],
     case_insensitive: bool = True,
     lang: Column | None = None,
+    guard: Column | None = None,
 ) -> Column:
-    """Number of hits of all rules, without building them."""
+    """Number of hits of all rules, without building them.
+
+    ``guard`` tells texts that can have a hit; by default one pass over the text finds out.
+    """
     counts = []
     for rule in rules:
         n = F.coalesce(
@@ -66,7 +79,10 @@ def detection_count(
         )
         applies = _applies(rule, lang)
         counts.append(n if applies is None else F.when(applies, n).otherwise(0))
-    return reduce(lambda a, b: a + b, counts, F.lit(0))
+    if not rules:
+        return F.lit(0)
+    guard = has_rule_hit(text, rules, case_insensitive) if guard is None else guard
+    return F.when(guard, reduce(lambda a, b: a + b, counts)).otherwise(0)
 
 
 def actions(found: Column | str, policies: Mapping[str, str] = catalog.POLICIES) -> Column:
@@ -131,18 +147,17 @@ def detections_by_rule(
     One row is one text, so the number of texts needs no distinct count: hits are counted in
     the row and summed, with partial sums before the shuffle.
     """
-    per_text = [
-        F.struct(
-            F.lit(r.language).alias("language"),
-            F.lit(r.rule).alias("rule"),
-            F.regexp_count(F.col(text), F.lit(unicode_pattern(r.pattern, case_insensitive)))
-            .cast("long")
-            .alias("hits"),
+    guarded = df.withColumn("_hit", has_rule_hit(text, rules, case_insensitive))
+
+    def in_text(r: Rule) -> Column:
+        n = detection_count(text, [r], case_insensitive, guard=F.col("_hit"))
+        return F.struct(
+            F.lit(r.language).alias("language"), F.lit(r.rule).alias("rule"), n.alias("hits")
         )
-        for r in rules
-    ]
+
+    per_text = [in_text(r) for r in rules]
     return (
-        df.select(*by, F.explode(F.array(*per_text)).alias("r"))
+        guarded.select(*by, F.explode(F.array(*per_text)).alias("r"))
         .groupBy(*by, F.col("r.language").alias("language"), F.col("r.rule").alias("rule"))
         .agg(
             F.coalesce(F.sum("r.hits"), F.lit(0)).cast("long").alias("hits"),

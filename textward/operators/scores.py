@@ -14,18 +14,30 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..catalog import WeightedPattern
-from ..functions.text import _col, unicode_pattern
+from ..functions.text import _col, any_match, unicode_pattern
 
 
-def weighted_hits(text: Column | str, patterns: Sequence[WeightedPattern]) -> Column:
-    """Sum of weight times hits, in catalogue order; null text has none."""
+def has_weighted_hit(text: Column | str, patterns: Sequence[WeightedPattern]) -> Column:
+    """True where any of the patterns has a hit."""
+    return any_match(text, [(p.pattern, p.starts) for p in patterns])
+
+
+def weighted_hits(
+    text: Column | str, patterns: Sequence[WeightedPattern], guard: Column | None = None
+) -> Column:
+    """Sum of weight times hits, in catalogue order; null text has none.
+
+    ``guard`` tells texts that can have a hit; by default one pass over the text finds out.
+    """
     value = _col(text)
+    if not patterns:
+        return F.lit(0.0)
     terms = [
-        F.coalesce(F.regexp_count(value, F.lit(unicode_pattern(p.pattern))), F.lit(0))
-        * F.lit(float(p.weight))
+        F.regexp_count(value, F.lit(unicode_pattern(p.pattern))) * F.lit(float(p.weight))
         for p in patterns
     ]
-    return reduce(lambda a, b: a + b, terms, F.lit(0.0))
+    guard = has_weighted_hit(value, patterns) if guard is None else guard
+    return F.when(guard, reduce(lambda a, b: a + b, terms, F.lit(0.0))).otherwise(0.0)
 
 
 def saturate(hits: Column, rate: float) -> Column:
@@ -37,18 +49,20 @@ def score_toxicity(
     text: Column | str,
     terms: Sequence[WeightedPattern] = catalog.TOXIC_TERMS,
     rate: float = catalog.TOXIC_RATE,
+    guard: Column | None = None,
 ) -> Column:
     """Toxicity by lexicon."""
-    return saturate(weighted_hits(text, terms), rate)
+    return saturate(weighted_hits(text, terms, guard), rate)
 
 
 def score_injection(
     text: Column | str,
     cues: Sequence[WeightedPattern] = catalog.INJECTION_CUES,
     rate: float = catalog.INJECTION_RATE,
+    guard: Column | None = None,
 ) -> Column:
     """Injection probability by cue phrases, over the whole text."""
-    return saturate(weighted_hits(text, cues), rate)
+    return saturate(weighted_hits(text, cues, guard), rate)
 
 
 def injection_verdict(score: Column | str) -> Column:

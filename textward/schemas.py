@@ -17,7 +17,9 @@ EVENTS = (
 )
 
 # configuration
-RULES = "position int, language string, rule string, pattern string, action string"
+RULES = (
+    "position int, language string, rule string, pattern string, action string, starts string"
+)
 RECOGNISERS = (
     "position int, label string, group string, pattern string, guard string, "
     "needs_digit boolean, lead string"
