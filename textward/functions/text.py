@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The published operators behave this way by default.
@@ -28,6 +28,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def exploded(df: DataFrame, keys: Sequence[str], items: Column | str, pos: str, item: str):
+    """One row per array item, with its place from 0.
+
+    The outer form and a filter behind it: for the inner form the optimizer adds a size test
+    below, which would compute the array a second time.
+    """
+    rows = df.select(*keys, F.posexplode_outer(items).alias(pos, item))
+    return rows.where(F.col(pos).isNotNull())
+
+
 def unicode_pattern(pattern: str, case_insensitive: bool = True) -> str:
     """Java flags that make a pattern behave as a Unicode text pattern.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bands import assessment_band, is_hallucination
-from ..functions.text import clip, extract_claims, tokens
+from ..functions.text import clip, exploded, extract_claims, tokens
 from ..functions.vectors import sparse_cosine, token_cosine
 
 # Fixed values
@@ -102,7 +102,7 @@ batch_assess = semantic_similarity_run
 
 def claim_rows(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """One row per claim: keys, ``claim_no`` (from 0), ``claim``."""
-    return df.select(*keys, F.posexplode(extract_claims(text)).alias("claim_no", "claim"))
+    return exploded(df, keys, extract_claims(text), "claim_no", "claim")
 
 
 def score_claims(
@@ -124,21 +124,16 @@ def score_claims(
         ),
         block,
     )
-    scored = pairs.select(
-        "response_id",
-        F.posexplode(
-            F.transform(
-                "_words",
-                lambda w: F.when(F.col("pos").isNull(), F.lit(0.0)).otherwise(
-                    token_cosine(w, F.coalesce("_context", F.array().cast("array<string>")))
-                ),
-            )
-        ).alias("claim_no", "score"),
+    no_words = F.array().cast("array<string>")
+    cosines = F.transform(
+        "_words",
+        lambda w: F.when(F.col("pos").isNull(), F.lit(0.0)).otherwise(
+            token_cosine(w, F.coalesce("_context", no_words))
+        ),
     )
+    scored = exploded(pairs, ["response_id"], cosines, "claim_no", "score")
     best = scored.groupBy("response_id", "claim_no").agg(F.max("score").alias("score"))
-    claims = prepared.select(
-        "response_id", F.posexplode("claims").alias("claim_no", "claim")
-    )
+    claims = exploded(prepared, ["response_id"], "claims", "claim_no", "claim")
     return claims.join(best, ["response_id", "claim_no"])
 
 

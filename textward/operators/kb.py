@@ -12,6 +12,7 @@ from ..functions.text import (
     _col,
     chunk_text,
     content_id,
+    exploded,
     strip,
 )
 
@@ -60,7 +61,7 @@ def chunk_rows(
     """One row per chunk: keys, ``chunk_no`` (from 0), ``text``, ``chunk_id``."""
     chunks = chunk_text(text, separator, min_chars, max_chunks)
     # keys may hold the source column; the exploded piece takes the name "text"
-    rows = df.select(*keys, F.posexplode(chunks).alias("chunk_no", "_chunk"))
+    rows = exploded(df, keys, chunks, "chunk_no", "_chunk")
     return rows.select(
         *[k for k in keys if k != "text"],
         "chunk_no",

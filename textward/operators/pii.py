@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..catalog import Recogniser
-from ..functions.text import SPAN_TYPE, _col, find_all, find_spans, let, unicode_pattern
+from ..functions.text import (
+    SPAN_TYPE,
+    _col,
+    exploded,
+    find_all,
+    find_spans,
+    let,
+    unicode_pattern,
+)
 
 
 def _none() -> Column:
@@ -178,7 +186,7 @@ def analyze_pii(
 
 def entity_rows(df: DataFrame, *keys: str) -> DataFrame:
     """One row per entity: keys, ``entity_no`` (from 0), label, text, start, end, score."""
-    return df.select(*keys, F.posexplode("entities").alias("entity_no", "e")).select(
+    return exploded(df, keys, "entities", "entity_no", "e").select(
         *keys,
         "entity_no",
         F.col("e.label").alias("label"),

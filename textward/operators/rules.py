@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..catalog import Rule
-from ..functions.text import _col, any_match, find_all, unicode_pattern
+from ..functions.text import _col, any_match, exploded, find_all, unicode_pattern
 from ..schemas import DETECTIONS
 
 
@@ -130,7 +130,7 @@ def analyze_prompt(
 
 def detection_rows(df: DataFrame, *keys: str) -> DataFrame:
     """One row per hit: keys, ``hit_no`` (from 0), language, rule, match."""
-    return df.select(*keys, F.posexplode("detections").alias("hit_no", "d")).select(
+    return exploded(df, keys, "detections", "hit_no", "d").select(
         *keys, "hit_no", "d.language", "d.rule", "d.match"
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import ScreeningPolicy
 from ..functions.vectors import sparse_cosine
 from ..operators import chat, gates, kb, metrics, retrieval
+from ..session import stage
 
 ColumnFn = Callable[[Column], Column]
 
@@ -51,7 +52,8 @@ def screen_and_answer(
     ``input_*`` decision and, for survivors, ``answer`` and the ``output_*`` decision.
     """
     policy = policy or ScreeningPolicy()
-    screened = gates.screen_input(prompts, policy)
+    # used for the decisions and, by several jobs, for the survivors
+    screened = stage(gates.screen_input(prompts, policy), "screened")
     parts = {f"input_{c}": F.col(c) for c in ("action", "gate", "score", "threshold", "reason")}
     decided = screened.select("query_id", *[v.alias(k) for k, v in parts.items()])
     survivors = screened.where(F.col("action") != gates.FILTER).select(
@@ -80,8 +82,8 @@ def retrieve_with_reingest(
     ``queries``: ``(query_id, query, embedding)``; ``store``: chunks with ``batch_no``.  Gives
     the hits and the enlarged store.  The query text serves as the topic of the ingest.
     """
-    first = retrieval.kb_topk(queries, store, k)
-    weak_ids = retrieval.reingest_candidates(queries, first).select("query_id")
+    first = stage(retrieval.kb_topk(queries, store, k), "first-hits")
+    weak_ids = stage(retrieval.reingest_candidates(queries, first).select("query_id"), "weak")
     weak = queries.join(weak_ids, "query_id", "left_semi")
     found = kb.ingest_topics(weak.select(F.col("query").alias("topic")), pages)
     batch = found.withColumn("batch_no", F.lit(next_batch).cast("bigint"))
@@ -89,7 +91,8 @@ def retrieve_with_reingest(
     fresh = kb.new_chunks(batch, store).withColumn("embedding", embed(F.col("text")))
     known = batch.join(store.select("chunk_id", "embedding"), "chunk_id")
     columns = store.columns
-    enlarged = kb.upsert(store, known.select(columns).unionByName(fresh.select(columns)))
+    changed = known.select(columns).unionByName(fresh.select(columns))
+    enlarged = stage(kb.upsert(store, changed), "enlarged-store")
     second = retrieval.kb_topk(weak, enlarged, k)
     kept = first.join(weak_ids, "query_id", "left_anti")
     return kept.unionByName(second), enlarged

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import hash_embedding
 from ..operators import chat, kb, retrieval
-from ..session import spread_small
+from ..session import spread_small, stage
 from ..sources.tables import fixture
 
 
@@ -60,7 +60,8 @@ def retrieved_contexts(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
         F.col("response_id").alias("query_id"), hash_embedding("response").alias("embedding")
     )
     store = passages(spark, d)
-    hits = retrieval.kb_topk(queries, store, k)
+    # read more than once by the operators that follow
+    hits = stage(retrieval.kb_topk(queries, store, k), "contexts")
     return hits.join(store.select("chunk_id", "text"), "chunk_id").select(
         F.col("query_id").alias("response_id"),
         (F.col("rank") - 1).alias("pos"),

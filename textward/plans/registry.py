@@ -339,9 +339,9 @@ def eval_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    decisions = gates.screen_input(inputs.documents(spark, d), STRICT)
-    labels = fixture(spark, d, "labels")
-    return metrics.join_labels(decisions, labels, "doc_id", F.col("toxic") == 1)
+    # the truth is joined first: texts without a label need no screening
+    decisions = gates.screen_input(_labelled(spark, d), STRICT)
+    return decisions.withColumn("is_filtered", F.col("action") == gates.FILTER)
 
 
 def _report(df: DataFrame, *keys: str) -> DataFrame:
@@ -365,7 +365,12 @@ def metrics_by_slice(spark: SparkSession, d: str) -> DataFrame:
 @query
 def metrics_report(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_dir(spark, "metrics")
-    sinks.write_metrics(metrics.confusion_metrics(_judged(spark, d)), path)
+    decisions = _audit(spark, d)
+    judged = metrics.join_labels(
+        decisions.select("doc_id", "action"), fixture(spark, d, "labels"), "doc_id",
+        F.col("toxic") == 1,
+    )
+    sinks.write_metrics(metrics.confusion_metrics(judged), path)
     return _report(spark.read.parquet(path))
 
 

@@ -48,6 +48,16 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that is used several times to the scratch folder and read it back.
+
+    Unlike a cache it survives the loss of executors and cuts the plan.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_bytes(df: DataFrame) -> int:
     """Size of the input as the optimizer sees it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
