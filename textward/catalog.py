@@ -109,6 +109,8 @@ REGEX_REDACTIONS = (
     (r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+", "[REDACTED_EMAIL]"),
     (r"(09[0-9]{9})", "[REDACTED_PH_PHONE]"),
 )
+# A text without the literal cannot match the pattern of the same place.
+REGEX_REDACTION_GUARDS = ("@", "09")
 
 # Labels that count as personal data.
 PII_LABELS = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,10 +112,12 @@ def with_scores(
     ).drop("_hit")
 
 
-def gate_table(policy: ScreeningPolicy) -> dict[str, tuple[Column, Column]]:
+def gate_table(
+    policy: ScreeningPolicy, used: dict[str, Column] | None = None
+) -> dict[str, tuple[Column, Column]]:
     """Score and threshold of each input gate over the columns of :func:`with_scores`."""
-    b, t = F.col("banned_words"), F.col("toxicity")
-    p, i = F.col("pii_count"), F.col("injection")
+    names = ("banned_words", "toxicity", "pii_count", "injection")
+    b, t, p, i = (F.col(n) if used is None else used[n] for n in names)
     toxicity_limit = policy.threshold_toxicity if policy.threshold_toxicity > 0 else -1.0
     if policy.mode == "compat":
         is_injection = i > catalog.INJECTION_LABEL_ABOVE
@@ -205,6 +208,53 @@ def screen_input(
     return decide(with_scores(df, policy, rule_list, recognisers, text), policy, gates)
 
 
+def screen_policies(
+    df: DataFrame, policies: Sequence[ScreeningPolicy], text: str = "text", **native
+) -> DataFrame:
+    """Every text under every policy: one row per pair, with ``policy`` and its decision.
+
+    The scores are computed once; policies (a short list in the program) differ in switches,
+    thresholds and weights, and must agree on what is scored.
+    """
+    first = policies[0]
+    shared = ("languages", "pii_labels", "case_insensitive")
+    for p in policies:
+        if any(getattr(p, key) != getattr(first, key) for key in shared):
+            raise ValueError(f"policies screened together must agree on {', '.join(shared)}")
+    widest = replace(
+        first, mode="fixed", banned_word_tolerance=0, threshold_toxicity=1.0, threshold_pii=0,
+        threshold_injection=1.0,
+    )
+    scored = with_scores(df, widest, text=text, **native)
+    # a gate that is off counts as 0 under its own policy
+    decided = scored.withColumns({f"_d{i}": _under(p) for i, p in enumerate(policies)})
+    named = [
+        F.struct(F.lit(p.name).alias("policy"), F.col(f"_d{i}").alias("d"))
+        for i, p in enumerate(policies)
+    ]
+    rows = decided.select(*df.columns, F.explode(F.array(*named)).alias("_p"))
+    out = rows.select(
+        *df.columns,
+        F.col("_p.policy").alias("policy"),
+        *[F.col(f"_p.d.{k}").alias(k) for k in ("action", "gate", "score", "threshold")],
+    )
+    reason = decision_reason("gate", "score", "threshold")
+    return out.withColumn("reason", F.when(F.col("action") == FILTER, reason))
+
+
+def _under(policy: ScreeningPolicy) -> Column:
+    on = {
+        "banned_words": policy.banned_word_tolerance >= 0,
+        "toxicity": policy.threshold_toxicity > 0,
+        "pii_count": policy.threshold_pii >= 0,
+        "injection": policy.mode == "compat" or policy.threshold_injection >= 0,
+    }
+    used = {k: F.col(k) if v else F.lit(0).cast("double") for k, v in on.items()}
+    table = gate_table(policy, used)
+    states = {g: decide_action(*table[g], g, policy) for g in INPUT_GATES}
+    return _decision(INPUT_GATES, states, table)["decision"]
+
+
 def screen_output(
     df: DataFrame,
     policy: ScreeningPolicy | None = None,

@@ -146,9 +146,13 @@ def redact_entities(
 
 def redact_regex(text: Column | str) -> Column:
     """Email addresses, then local mobile numbers."""
-    out = _col(text)
-    for pattern, replacement in catalog.REGEX_REDACTIONS:
-        out = F.regexp_replace(out, pattern, replacement)
+    value = _col(text)
+    out = value
+    steps = zip(catalog.REGEX_REDACTIONS, catalog.REGEX_REDACTION_GUARDS, strict=True)
+    for (pattern, replacement), guard in steps:
+        # a replacement brings in no guard, so the guards look at the text as it came
+        changed = F.regexp_replace(out, pattern, replacement)
+        out = F.when(value.contains(guard), changed).otherwise(out)
     return out
 
 

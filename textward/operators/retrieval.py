@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 from ..functions.bands import distance_band, distance_points, strong_enough
 
 LOCAL_BYTES = 64 * 1024 * 1024
-PIVOTS = 256
+MAX_PIVOTS = 2048
 BLOCK_ROWS = 20_000
+TASKS_PER_CORE = 2
 _TILE = 1024
 _SCALE = 1e6  # ranks compare distances at six decimals, then ids
 
@@ -39,9 +40,9 @@ FALLBACK_SNIPPET = (
 
 
 def _unit(vectors) -> np.ndarray:
-    m = np.asarray([np.asarray(v, dtype=np.float64) for v in vectors])
-    if m.ndim != 2:
+    if not len(vectors):
         return np.zeros((0, 0))
+    m = np.stack(list(vectors)).astype(np.float64, copy=False)
     size = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
@@ -106,13 +107,18 @@ def _slim(df: DataFrame, key: str) -> DataFrame:
 
 def _small(df: DataFrame, key: str, max_bytes: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Ids and unit vectors, if the side is counted to be within ``max_bytes``."""
+    # a count needs no embeddings, so none are computed for it
     rows = df.count()
-    if rows == 0:
+    sizes = df.select(F.size("embedding").alias("n"))
+    sample = sizes.first()
+    if sample is not None and (sample["n"] or -1) < 0:
+        sample = sizes.where("n >= 0").first()  # the first row happened to have no vector
+    if sample is None:
         return np.array([], dtype=object), np.zeros((0, 0))
-    dims = df.select(F.size("embedding")).first()[0]
-    if rows * (dims * 8 + 64) > max_bytes:
+    if rows * (sample["n"] * 8 + 64) > max_bytes:
         return None
-    local = df.toPandas()
+    # nulls are dropped here: a filter in the plan would compute every embedding twice
+    local = df.toPandas().dropna(subset=["embedding"])
     return local[key].to_numpy(), _unit(local["embedding"])
 
 
@@ -128,17 +134,21 @@ def _result_schema(queries: DataFrame, kb: DataFrame) -> T.StructType:
 
 
 def _best_of_partitions(queries, kb: DataFrame, k: int, schema) -> DataFrame:
-    shared = kb.sparkSession.sparkContext.broadcast(queries)
+    context = kb.sparkSession.sparkContext
+    shared = context.broadcast(queries)
+    # a partition gives k rows per query: let each task read many splits before it does
+    splits = kb.coalesce(TASKS_PER_CORE * context.defaultParallelism)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vectors = shared.value
         best = _Best(len(ids), k)
         for pdf in batches:
+            pdf = pdf.dropna(subset=["embedding"])
             if len(pdf):
                 best.offer(vectors, pdf["chunk_id"].to_numpy(), _unit(pdf["embedding"]))
         yield best.frame(ids)
 
-    return kb.mapInPandas(scan, schema)
+    return splits.mapInPandas(scan, schema)
 
 
 def _best_of_rows(queries: DataFrame, kb, k: int, schema) -> DataFrame:
@@ -147,6 +157,7 @@ def _best_of_rows(queries: DataFrame, kb, k: int, schema) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vectors = shared.value
         for pdf in batches:
+            pdf = pdf.dropna(subset=["embedding"])
             if len(pdf) and len(ids):
                 best = _Best(len(pdf), k)
                 best.offer(_unit(pdf["embedding"]), ids, vectors)
@@ -161,9 +172,11 @@ def _distance(cosine: np.ndarray) -> np.ndarray:
 
 
 def _best_of_cells(
-    queries: DataFrame, kb: DataFrame, k: int, schema, n_pivots: int, block_rows: int
+    queries: DataFrame, kb: DataFrame, k: int, schema, n_pivots: int | None, block_rows: int
 ) -> DataFrame:
     spark = kb.sparkSession
+    if n_pivots is None:
+        n_pivots = min(MAX_PIVOTS, max(16, int(kb.count() ** 0.5)))
     picked = kb.orderBy(F.md5(F.col("chunk_id").cast("string"))).limit(n_pivots)
     pivots = _unit(picked.toPandas()["embedding"])
     pivots = np.unique(pivots[np.abs(pivots).sum(axis=1) > 0], axis=0)
@@ -215,8 +228,9 @@ def _best_of_cells(
             away = _distance(unit @ b_pivots.value.T)
             bound = np.full(len(unit), np.inf)
             if len(owner) >= k:
-                reach = away[:, owner] + gaps
-                bound = np.partition(reach, k - 1, axis=1)[:, k - 1]
+                for lo in range(0, len(unit), _TILE // 8):
+                    reach = away[lo : lo + _TILE // 8, owner] + gaps
+                    bound[lo : lo + _TILE // 8] = np.partition(reach, k - 1, axis=1)[:, k - 1]
             least = np.maximum(away - radii[:-1], 0.0)
             # compared as cosine distances, with room for the rounding of ranks
             out[:, :-1] = least**2 / 2 <= bound[:, None] ** 2 / 2 + 4 / _SCALE
@@ -270,7 +284,7 @@ def kb_topk(
     k: int = 3,
     max_distance: float | None = None,
     local_bytes: int = LOCAL_BYTES,
-    n_pivots: int = PIVOTS,
+    n_pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``(query_id, rank, chunk_id, distance)``: the k nearest chunks of every query.
@@ -288,7 +302,10 @@ def kb_topk(
         if local_c is not None:
             partial = _best_of_rows(q, local_c, k, schema)
         else:
-            partial = _best_of_cells(q, c, k, schema, n_pivots, block_rows)
+            some = F.col("embedding").isNotNull()
+            partial = _best_of_cells(
+                q.where(some), c.where(some), k, schema, n_pivots, block_rows
+            )
     order = Window.partitionBy("query_id").orderBy("rank_key", "chunk_id")
     top = (
         partial.withColumn("rank", F.row_number().over(order))

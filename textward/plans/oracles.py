@@ -351,6 +351,15 @@ ORACLES["gate_decisions"] = decisions(TEXTS, "texts", "text_id", DEFAULT)
 ORACLES["gate_decisions_strict"] = decisions(TEXTS, "texts", "text_id", STRICT)
 ORACLES["gate_decisions_overall"] = decisions(TEXTS, "texts", "text_id", OVERALL)
 ORACLES["gate_decisions_compat"] = decisions(TEXTS, "texts", "text_id", COMPAT)
+ORACLES["gate_policies"] = "\nUNION ALL\n".join(
+    f"SELECT {q(p.name)} AS policy, text_id, action, gate, score, reason "
+    f"FROM ({ORACLES[name]})"
+    for p, name in (
+        (DEFAULT, "gate_decisions"),
+        (STRICT, "gate_decisions_strict"),
+        (OVERALL, "gate_decisions_overall"),
+    )
+)
 _STRICT_DOCS = f"{DOCS}, {decision_cte('docs', 'doc_id', STRICT)}"
 
 ORACLES["gate_funnel"] = f"""WITH {_STRICT_DOCS}

@@ -210,6 +210,15 @@ def gate_decisions_compat(spark: SparkSession, d: str) -> DataFrame:
     return _decision_columns(gates.screen_input(inputs.screening_texts(spark, d), COMPAT))
 
 
+@query
+def gate_policies(spark: SparkSession, d: str) -> DataFrame:
+    """Every text under several policies, scored once."""
+    rows = gates.screen_policies(inputs.screening_texts(spark, d), [DEFAULT, STRICT, OVERALL])
+    return rows.select(
+        "policy", "text_id", "action", "gate", r6("score").alias("score"), "reason"
+    )
+
+
 @query
 def gate_funnel(spark: SparkSession, d: str) -> DataFrame:
     return gates.gate_funnel(gates.screen_input(inputs.documents(spark, d), STRICT), ["lang"])
