@@ -227,3 +227,25 @@ def test_native_expressions_need_no_python(spark, sf_dir):
     for name in ("gate_decisions", "pii_redacted", "rule_detections", "claims", "pair_similarity"):
         plan = plan_of(QUERIES[name](spark, sf_dir))
         assert "EvalPython" not in plan and "InPandas" not in plan
+
+
+def test_counts_equal_python_on_many_texts(spark):
+    import random
+
+    random.seed(5)
+    parts = ["idiot", "Idiots", "moronés", "scum", "ſcum", "TRASH", " ", "-", "é", "\n", "basura",
+             "hello", "walang hiya", "_", "\U0001f600", "stupid", "K", "imbecil", "imbeciles"]
+    texts = ["".join(random.choices(parts, k=random.randint(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = df.select("id", rules.detection_count("text", all_rules()).alias("n")).collect()
+    for r in got:
+        want = sum(
+            len(re.findall(x.pattern, texts[r["id"]], re.IGNORECASE)) for x in all_rules()
+        )
+        assert r["n"] == want, texts[r["id"]]
+
+
+def test_rules_with_groups_of_their_own(spark):
+    odd = [Rule("x", "a", r"\b(a)(b)\b"), Rule("x", "b", r"\b(\w)\1\b"), Rule("x", "c", r"(?<n>q)\k<n>")]
+    for text, n in (("ab xx", 2), ("qq", 2), ("ac xy", 0)):
+        assert one(spark, text, rules.detection_count("text", odd)) == n

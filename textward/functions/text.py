@@ -78,6 +78,12 @@ def any_match(
     positions before any pattern is tried.
     """
     text = _col(c)
+    if any(re.search(r"\\[1-9]|\\k<|\(\?<[A-Za-z]", p) for p, _ in patterns):
+        # numbered or named groups keep their meaning only in their own pattern
+        alone = F.when(F.lit(False), F.lit(False))
+        for p, _ in patterns:
+            alone = alone.when(text.rlike(unicode_pattern(p, case_insensitive)), True)
+        return alone.otherwise(False)
     bounded = [p[2:] for p, _ in patterns if _opens_with_boundary(p)]
     others = [p for p, _ in patterns if not _opens_with_boundary(p)]
     branches = [r"\b(?:" + "|".join(f"(?:{p})" for p in bounded) + ")"] if bounded else []

@@ -84,9 +84,11 @@ def resolve_topics(topics: DataFrame, pages: DataFrame) -> DataFrame:
     """
     wanted = topics.select("topic").where(F.col("topic").isNotNull()).distinct()
     titled = pages.select("page_id", "title").where(F.length("title") > 0)
-    exact = titled.groupBy(F.col("title").alias("topic")).agg(F.min("page_id").alias("_exact"))
-    loose = titled.groupBy(normal_title("title").alias("_norm")).agg(
-        F.min("page_id").alias("_loose")
+    # one aggregate serves both joins, so titles are read from the pages once
+    per_title = titled.groupBy("title").agg(F.min("page_id").alias("_exact"))
+    exact = per_title.withColumnRenamed("title", "topic")
+    loose = per_title.groupBy(normal_title("title").alias("_norm")).agg(
+        F.min("_exact").alias("_loose")
     )
     return (
         wanted.withColumn("_norm", normal_title("topic"))
@@ -113,9 +115,11 @@ def ingest_topics(
     topics: DataFrame, pages: DataFrame, max_chunks: int | None = MAX_CHUNKS, source: str = "pages"
 ) -> DataFrame:
     """Chunks of the page of each distinct topic: one job for the whole list."""
-    parsed = parse_pages(pages)
-    resolved = resolve_topics(topics, parsed).where(F.col("page_id").isNotNull())
-    hits = resolved.join(parsed.select("page_id", "url", "content"), "page_id")
+    titles = pages.select("page_id", page_title("html").alias("title"))
+    resolved = resolve_topics(topics, titles).where(F.col("page_id").isNotNull())
+    # join first: only pages some topic asks for are stripped of their markup
+    hits = pages.select("page_id", "url", "html").join(resolved, "page_id")
+    hits = hits.select("topic", "url", page_content("html").alias("content"))
     rows = chunk_rows(hits, "content", "topic", "url", max_chunks=max_chunks)
     return rows.withColumn("source", F.lit(source))
 

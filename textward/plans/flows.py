@@ -86,7 +86,7 @@ def retrieve_with_reingest(
     weak_ids = stage(retrieval.reingest_candidates(queries, first).select("query_id"), "weak")
     weak = queries.join(weak_ids, "query_id", "left_semi")
     found = kb.ingest_topics(weak.select(F.col("query").alias("topic")), pages)
-    batch = found.withColumn("batch_no", F.lit(next_batch).cast("bigint"))
+    batch = stage(found.withColumn("batch_no", F.lit(next_batch).cast("bigint")), "ingested")
     # content that is stored already needs no new embedding
     fresh = kb.new_chunks(batch, store).withColumn("embedding", embed(F.col("text")))
     known = batch.join(store.select("chunk_id", "embedding"), "chunk_id")
