@@ -299,3 +299,16 @@ def test_evaluate(spark):
 def test_conform(spark):
     with pytest.raises(ValueError, match="missing"):
         schemas.conform(spark.range(1), "a int")
+
+
+def test_reset(spark):
+    rows = [(1, 0, "user", "old"), (1, 1, "reset", ""), (1, 2, "user", "new"), (2, 0, "user", "x")]
+    talk = spark.createDataFrame(rows, schemas.CONVERSATIONS)
+    left = sorted((r["conv_id"], r["text"]) for r in chat.after_reset(talk).collect())
+    assert left == [(1, "new"), (2, "x")]
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    base = spark.conf.get("spark.checkpoint.dir")
+    assert scratch_dir(spark, "x").startswith(base)
+    assert scratch_dir(spark, "x") != scratch_dir(spark, "x")

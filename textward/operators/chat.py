@@ -37,6 +37,17 @@ def chat_history(conversations: DataFrame, system: str = DEFAULT_SYSTEM) -> Data
     return conversations.select("conv_id", "turn", "role", "text").unionByName(opening)
 
 
+def after_reset(conversations: DataFrame, role: str = "reset") -> DataFrame:
+    """Messages since the last reset of their conversation (a message of role ``role``).
+
+    Only conversations with a reset are looked up, one number each.
+    """
+    resets = conversations.where(F.col("role") == role)
+    last = resets.groupBy("conv_id").agg(F.max("turn").alias("_reset"))
+    joined = conversations.join(last, "conv_id", "left")
+    return joined.where(F.col("_reset").isNull() | (F.col("turn") > F.col("_reset"))).drop("_reset")
+
+
 def history_segments(history: DataFrame, turns: int = SEGMENT_TURNS) -> DataFrame:
     """Histories as ordered message arrays, ``turns`` turns to a segment.
 

@@ -25,6 +25,8 @@ def build_session(
         # text work is heavy per byte: small shuffles keep all cores busy instead of being merged
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # call sites are not recorded for every column: plans are built faster
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
     )
     if master:

@@ -36,7 +36,9 @@ def load_eval_set(
 ) -> DataFrame:
     """Labelled prompts from the files of one set (all its splits).
 
-    ``red_team`` marks sets of malicious prompts with categories in list text.
+    ``red_team`` marks sets of malicious prompts with categories in list text.  CSV files whose
+    prompts hold line breaks need ``multiLine="true"``; such files are not split, so JSON or
+    Parquet is the better form for large sets.
     """
     ddl = (
         "prompt string, harm_category string"
