@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from textward import schemas
 from textward.functions.vectors import hash_embedding
 from textward.operators import chat, evalset, grounding, kb, metrics, retrieval
+from textward.operators.skew import join_hot
 from textward.plans import flows
 from textward.session import scratch_dir
 from textward.sources import logs, sinks, tables
@@ -312,3 +313,18 @@ def test_scratch_needs_a_shared_folder(spark, monkeypatch):
     base = spark.conf.get("spark.checkpoint.dir")
     assert scratch_dir(spark, "x").startswith(base)
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_hot_equals_join(spark, how):
+    # one key holds a third of the rows, one has no partner
+    left = spark.range(3000).select(
+        F.col("id").alias("q"),
+        F.when(F.col("id") % 3 == 0, 0).when(F.col("id") == 1, -1).otherwise(F.col("id")).alias("k"),
+    )
+    right = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = join_hot(left, right, "k", "q", how, small_rows=10)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(
+        map(tuple, left.join(right, "k", how).collect()), key=repr
+    )
+    assert "_part" in plan_of(got)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import _col, clean_topic, is_filtered_marker, strip, valid_topic
+from .skew import join_hot
 
 # Fixed values
 DEFAULT_SYSTEM = "You are a helpful assistant."
@@ -44,7 +45,7 @@ def after_reset(conversations: DataFrame, role: str = "reset") -> DataFrame:
     """
     resets = conversations.where(F.col("role") == role)
     last = resets.groupBy("conv_id").agg(F.max("turn").alias("_reset"))
-    joined = conversations.join(last, "conv_id", "left")
+    joined = join_hot(conversations, last, "conv_id", "turn", "left")
     return joined.where(F.col("_reset").isNull() | (F.col("turn") > F.col("_reset"))).drop("_reset")
 
 

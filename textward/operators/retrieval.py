@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.bands import distance_band, distance_points, strong_enough
+from .skew import join_hot
 
 LOCAL_BYTES = 64 * 1024 * 1024
 MAX_PIVOTS = 2048
@@ -349,7 +350,8 @@ def with_fallback(queries: DataFrame, hits: DataFrame, kb: DataFrame) -> DataFra
     ``queries`` holds ``(query_id, query)``.  A query without a hit gets one fallback row: its
     own text as topic, no url, no distance.
     """
-    items = hits.join(kb.select("chunk_id", "url", "topic", "text"), "chunk_id")
+    # one chunk may be the best answer to very many queries
+    items = join_hot(hits, kb.select("chunk_id", "url", "topic", "text"), "chunk_id", "query_id")
     joined = queries.select("query_id", "query").join(items, "query_id", "left")
     found = F.col("chunk_id").isNotNull()
     return joined.select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import ScreeningPolicy
 from ..functions.vectors import sparse_cosine
 from ..operators import chat, gates, kb, metrics, retrieval
+from ..operators.skew import join_hot
 from ..session import stage
 
 ColumnFn = Callable[[Column], Column]
@@ -32,10 +33,9 @@ def enrich_prompts(
             {"context": none.cast("string"), "distance": none.cast("double"),
              "prompt": F.col("text")}
         )
-    top = retrieval.kb_topk(prompts, store, 1, policy.max_context_distance)
-    best = top.join(
-        store.select("chunk_id", F.col("text").alias("context")), "chunk_id"
-    ).select("query_id", "context", "distance")
+    top = stage(retrieval.kb_topk(prompts, store, 1, policy.max_context_distance), "best-hits")
+    texts = store.select("chunk_id", F.col("text").alias("context"))
+    best = join_hot(top, texts, "chunk_id", "query_id").select("query_id", "context", "distance")
     out = prompts.join(best, "query_id", "left")
     return out.withColumn("prompt", chat.attach_context("text", "context"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import hash_embedding
 from ..operators import chat, kb, retrieval
+from ..operators.skew import join_hot
 from ..session import spread_small, stage
 from ..sources.tables import fixture
 
@@ -62,7 +63,7 @@ def retrieved_contexts(spark: SparkSession, d: str, k: int = 3) -> DataFrame:
     store = passages(spark, d)
     # read more than once by the operators that follow
     hits = stage(retrieval.kb_topk(queries, store, k), "contexts")
-    return hits.join(store.select("chunk_id", "text"), "chunk_id").select(
+    return join_hot(hits, store.select("chunk_id", "text"), "chunk_id", "query_id").select(
         F.col("query_id").alias("response_id"),
         (F.col("rank") - 1).alias("pos"),
         F.col("text").alias("context"),

@@ -21,7 +21,7 @@ from ..functions.vectors import (
 from ..operators import chat, evalset, gates, grounding, kb, metrics, models, pii, retrieval, rules
 from ..operators import scores
 from ..schemas import CONVERSATIONS, DOCUMENTS, EVENTS
-from ..session import scratch_dir
+from ..session import scratch_dir, stage
 from ..sources import logs, sinks, tables
 from ..sources.tables import fixture
 from ..streaming import screening as streams
@@ -518,7 +518,7 @@ def retrieve_fallback(spark: SparkSession, d: str) -> DataFrame:
         "query", F.concat(F.lit("query "), F.col("query_id").cast("string"))
     )
     store = inputs.vector_store(spark, d)
-    hits = retrieval.kb_topk(queries, store, 3, max_distance=0.2)
+    hits = stage(retrieval.kb_topk(queries, store, 3, max_distance=0.2), "hits")
     return retrieval.with_fallback(queries, hits, store).select(
         "query_id", long("rank").alias("rank"), "url", "topic",
         F.md5("snippet").alias("snippet_md5"), r6("distance").alias("distance"),
