@@ -35,16 +35,16 @@ class Rule:
 class Recogniser:
     """One kind of personal data.
 
-    ``guard`` is a literal the text must hold for the pattern to be tried at all;
-    ``needs_digit`` marks patterns that cannot match without one.  ``lead`` is the wording in
-    front of the value, which is matched but not part of the entity.
+    ``guard`` is a literal the text must hold for the pattern to be tried at all.
+    ``digit_led`` marks patterns whose hits start with a digit: one pass looks for all of them.
+    ``lead`` is the wording in front of the value, which is matched but not part of the entity.
     """
 
     label: str
     group: str
     pattern: str
     guard: str | None = None
-    needs_digit: bool = False
+    digit_led: bool = False
     lead: str | None = None
 
 
@@ -166,14 +166,14 @@ RECOGNISERS: tuple[Recogniser, ...] = (
     Recogniser("email", "other",
                r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", guard="@"),
     Recogniser("credit_card_number", "other",
-               r"\b[0-9]{4}(?:[ -]?[0-9]{4}){3}\b", needs_digit=True),
+               r"\b[0-9]{4}(?:[ -]?[0-9]{4}){3}\b", digit_led=True),
     Recogniser("phone_number", "other",
                r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}\b", guard="+"),
     Recogniser("mobile_phone_number", "other", r"\b09[0-9]{9}\b", guard="09"),
-    Recogniser("ip_address", "other", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", needs_digit=True),
+    Recogniser("ip_address", "other", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", digit_led=True),
     Recogniser("social_security_number", "other",
-               r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", needs_digit=True),
-    Recogniser("id_number", "other", r"\b[A-Z]{2}-[0-9]{6}\b", needs_digit=True),
+               r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", digit_led=True),
+    Recogniser("id_number", "other", r"\b[A-Z]{2}-[0-9]{6}\b", guard="-"),
     Recogniser("access_token", "other",
                r'\b[A-Za-z_]+ = "[0-9a-f]{40}"', guard=' = "'),
     Recogniser("username", "other", r"[A-Za-z0-9_]+", guard="username is ",
@@ -274,7 +274,7 @@ def rules_from_frame(df: DataFrame) -> tuple[Rule, ...]:
 def recognisers_frame(spark: SparkSession, items: Sequence[Recogniser] = RECOGNISERS) -> DataFrame:
     """Recogniser catalogue as a table."""
     rows = [
-        (i, r.label, r.group, r.pattern, r.guard, r.needs_digit, r.lead)
+        (i, r.label, r.group, r.pattern, r.guard, r.digit_led, r.lead)
         for i, r in enumerate(items)
     ]
     return spark.createDataFrame(rows, schemas.RECOGNISERS)
@@ -284,7 +284,7 @@ def recognisers_from_frame(df: DataFrame) -> tuple[Recogniser, ...]:
     rows = sorted(_config_rows(df), key=lambda r: r["position"])
     return tuple(
         Recogniser(
-            r["label"], r["group"], r["pattern"], r["guard"], bool(r["needs_digit"]), r["lead"]
+            r["label"], r["group"], r["pattern"], r["guard"], bool(r["digit_led"]), r["lead"]
         )
         for r in rows
     )

@@ -12,6 +12,7 @@ from ..catalog import Recogniser
 from ..functions.text import (
     SPAN_TYPE,
     _col,
+    any_match,
     exploded,
     find_all,
     find_spans,
@@ -20,6 +21,9 @@ from ..functions.text import (
 )
 
 
+_DIGITS = "0123456789"
+
+
 def _none() -> Column:
     return F.array().cast(SPAN_TYPE)
 
@@ -28,15 +32,15 @@ def candidate_spans(text: Column | str, recognisers: Sequence[Recogniser]) -> Co
     """Hits of every recogniser, overlaps included."""
     value = _col(text)
 
-    def hits(item: Recogniser, has_digit: Column) -> Column:
+    def hits(item: Recogniser, numeric_hit: Column) -> Column:
         pattern = unicode_pattern((item.lead or "") + item.pattern, case_insensitive=False)
         lead = unicode_pattern("^" + item.lead, case_insensitive=False) if item.lead else "^$"
         found = find_all(value, pattern)
         # CASE WHEN is lazy for native expressions: without its guard a pattern is not run
         if item.guard is not None:
             found = F.when(value.contains(item.guard), found)
-        elif item.needs_digit:
-            found = F.when(has_digit, found)
+        elif item.digit_led:
+            found = F.when(numeric_hit, found)
         return F.struct(
             F.lit(item.label).alias("label"),
             F.lit(pattern).alias("pattern"),
@@ -44,12 +48,20 @@ def candidate_spans(text: Column | str, recognisers: Sequence[Recogniser]) -> Co
             found.alias("hits"),
         )
 
-    def located(has_digit: Column) -> Column:
-        rows = F.array(*[hits(item, has_digit) for item in recognisers])
+    def located(numeric_hit: Column) -> Column:
+        rows = F.array(*[hits(item, numeric_hit) for item in recognisers])
         # most texts hold no entity: they need neither split nor fold
         return find_spans(value, F.filter(rows, lambda r: F.size(r["hits"]) > 0))
 
-    return let(value.rlike("[0-9]"), located) if recognisers else _none()
+    if not recognisers:
+        return _none()
+    numeric = [
+        ((r.lead or "") + r.pattern, None if r.lead else _DIGITS)
+        for r in recognisers
+        if r.digit_led and r.guard is None
+    ]
+    numeric_hit = any_match(value, numeric, case_insensitive=False) if numeric else F.lit(False)
+    return let(numeric_hit, located)
 
 
 def resolve_overlaps(entities: Column | str, order: Sequence[str] = ()) -> Column:

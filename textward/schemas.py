@@ -22,7 +22,7 @@ RULES = (
 )
 RECOGNISERS = (
     "position int, label string, group string, pattern string, guard string, "
-    "needs_digit boolean, lead string"
+    "digit_led boolean, lead string"
 )
 
 # results
