@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_index, mixing, quality_rules
+from . import line_index, mixing, quality_rules, simhash
 from .common import read
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule ledger and verdict of every document."""
     rows = quality_rules.judge(read(spark, sf_dir, "documents"))
@@ -38,6 +43,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op9_mixing": op9_mixing,
