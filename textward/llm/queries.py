@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_index, mixing, quality_rules, simhash
+from . import line_index, mixing, quality_rules, simhash, tiling, token_counts
 from .common import read
 
 
@@ -36,6 +38,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    vocabulary = importlib.import_module("public_tokenizers").path("byte_bpe_50k.json")
+    rows = token_counts.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    return rows.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    return tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     rows = mixing.mix(read(spark, sf_dir, "documents"))
@@ -46,6 +60,8 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op6_token_counts": op6_token_counts,
+    "op7_decontamination": op7_decontamination,
     "op9_mixing": op9_mixing,
 }
 
