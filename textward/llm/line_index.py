@@ -244,7 +244,8 @@ def dedup_lines(
     gone = stage(dropped_lines(df, key, text, min_chars, min_docs), "lines-dropped")
     id_, list_ = fresh_name(df, "id__"), fresh_name(df, "lines__")
     gone = gone.select(F.col("id").alias(id_), F.col("lines").alias(list_))
-    rows = df.join(gone, F.col(key).cast("bigint") == F.col(id_), "left").drop(id_)
+    # one plan for all sizes: texts move once, and are not sorted for it
+    rows = df.join(gone.hint("shuffle_hash"), F.col(key).cast("bigint") == F.col(id_), "left").drop(id_)
     names = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
