@@ -136,7 +136,7 @@ def mix(
     at = F.col(source).eqNullSafe(F.col(src)) & (F.col(bucket) == F.col("b"))
     if source in ("b", src):
         raise ValueError(f"the source column may not be named {source!r}")
-    out = docs.alias("d").join(chosen, at, "left")
+    out = docs.alias("d").join(chosen.hint("shuffle_hash"), at, "left")
     return out.select(
         *[F.col(f"d.`{c}`") for c in df.columns],
         F.col("d.size").alias("size"),

@@ -329,7 +329,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int =
     marked = add_fingerprint(df, text, "fp__")
     prints = stage(marked.select(F.col(key).alias("id"), F.col("fp__").alias("fp")), "simhash")
     found = groups(prints, "id", tau)
-    kept = marked.join(found.withColumnRenamed("fp", "fp_of__"), F.col("fp__") == F.col("fp_of__"))
+    named = found.withColumnRenamed("fp", "fp_of__").hint("shuffle_hash")
+    kept = marked.join(named, F.col("fp__") == F.col("fp_of__"))
     kept = kept.where(F.col(key).eqNullSafe(F.col("component_id")))
     out = kept.where("n_first = 1").select(*names)
     if found.where("n_first > 1").isEmpty():
