@@ -186,7 +186,7 @@ def _probes(prints: DataFrame, bits: list[list[int]], thresholds: list[int]) ->
             masks = F.concat(masks, up)
         elif t % 2:
             masks = array(flips(own, (t + 1) // 2))
-        keys.append(F.transform(masks, lambda x, part=part: part.bitwiseXOR(x)))
+        keys.append(F.transform(masks, part.bitwiseXOR))
     return prints.select(F.explode(F.concat(*keys)).alias("key"), "fp")
 
 
