@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_index, mixing, quality_rules, simhash, tiling, token_counts
+from . import lbl, line_index, mixing, quality_rules, simhash, tiling, token_counts
 from .common import read
 
 
@@ -50,6 +50,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under the model and under smoothed word counts."""
+    return lbl.score(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     rows = mixing.mix(read(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,
 }
 
