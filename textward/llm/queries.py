@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lbl, line_index, mixing, quality_rules, simhash, tiling, token_counts
+from . import lbl, line_index, mixing, quality_rank, quality_rules, simhash, tiling, token_counts
 from .common import read
 
 
@@ -32,6 +32,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_rank.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines before, lines dropped and digest of what is left of every document."""
     rows = line_index.dedup_lines(read(spark, sf_dir, "documents"))
@@ -64,6 +69,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quality_ranking": op4_quality_ranking,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
