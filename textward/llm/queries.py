@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lbl, line_index, mixing, quality_rank, quality_rules, simhash, tiling, token_counts
+from . import lbl, line_index, mixing, quality_rank, quality_rules, simhash, style_tree, tiling, token_counts
 from .common import read
 
 
@@ -16,6 +16,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return style_tree.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule ledger and verdict of every document."""
     rows = quality_rules.judge(read(spark, sf_dir, "documents"))
@@ -68,6 +73,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_style_tree": op2_style_tree,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_ranking": op4_quality_ranking,
     "op5_line_dedup": op5_line_dedup,
