@@ -76,7 +76,7 @@ def xxh64_slices(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     return out
 
 
-def parts(texts: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, list[bytes]]]:
+def parts(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about ``most`` bytes, with the place of the first."""
     first, size = 0, 0
     for i, t in enumerate(texts):
