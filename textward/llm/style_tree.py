@@ -6,7 +6,7 @@ its blocks and its links.  An element whose pages all look alike has a low prese
 importance, one whose content repeats over the pages a low content importance (both by
 entropy); the composite of a branch weighs the two.  Branches that are low from top to bottom
 are removed from every page, and so are those that their tag or class declares to be no part
-of an article, whose importance is 0.  Pages that share their longest block count once, so
+of an article, whose importance is 0.  Pages that share the text of their largest element count once, so
 copies of an article do not look like boilerplate.  For hosts with few pages the tree of all
 hosts decides.
 
@@ -244,7 +244,8 @@ def host(url: Column) -> Column:
 def tree_rows(pages: DataFrame, url: str, markup: str) -> DataFrame:
     """(host, page, path, style, value): every style and content value of an element once per page.
 
-    ``page`` is the digest of the longest block that is not declared noise.
+    ``page`` is the digest of the text of the element that has most of it and is not declared
+    noise.
     """
     schema = "host string, page bigint, path string, style boolean, value bigint"
 
@@ -254,7 +255,11 @@ def tree_rows(pages: DataFrame, url: str, markup: str) -> DataFrame:
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 page = Page(text)
                 blocks = list(page.blocks())
-                longest = max((t for _, n, t in blocks if not n), key=len, default="")
+                own: dict[str, list[str]] = {}
+                for p, n, t in blocks:
+                    if not n:
+                        own.setdefault(p, []).append(t)
+                longest = max((" ".join(x) for x in own.values()), key=len, default="")
                 rows = {(p, False, _digest(t)) for p, _, t in blocks}
                 rows |= {(p, False, _digest("\0" + x)) for p, x in page.links}
                 rows |= {(p, True, _digest(x)) for p, x in page.styles}
