@@ -74,11 +74,12 @@ def test_thresholds_leave_no_pair_out():
         assert sum(simhash.allocate(len(fp), bits.T @ bits, parts)) == simhash.TAU - m + 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [200_000, 3])
+def test_components(spark, chunk):
     random.seed(3)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 150), (150, 120), (7, 7)]
     random.shuffle(pairs)
-    got = dict(tuple(r) for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect())
+    got = dict(tuple(r) for r in components(spark.createDataFrame(pairs, "a bigint, b bigint"), chunk).collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 120: 100, 150: 100}
 
 
@@ -302,7 +303,7 @@ def test_model_beats_counts_where_order_matters(spark, nothing):
         first = rng.randint(0, 19)
         rows.append((i, " ".join(f"t{(first + k) % 20}" for k in range(60))))
     got = lbl.score(spark.createDataFrame(rows, "doc_id bigint, text string")).where("held_out").collect()
-    assert sum(r.score for r in got) > 0.6 * sum(r.base_score for r in got)
+    assert sum(r.score for r in got) > 0.75 * sum(r.base_score for r in got)
     assert lbl.score(nothing).count() == 0
 
 
