@@ -12,11 +12,9 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session("local[4]", "tests", shuffle_partitions=4)
+    scratch = str(tmp_path_factory.mktemp("scratch"))
+    session = build_session("local[4]", "tests", shuffle_partitions=4, scratch=scratch)
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        # only where the session names no shared folder of its own
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch")))
     return session
 
 

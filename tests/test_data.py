@@ -141,8 +141,10 @@ def test_grounding(spark):
         avg = {r["response_id"]: r for r in grounding.assess_response(pairs, "average").collect()}
         assert avg[1]["overall_score"] == pytest.approx(score * 2 / 3)
         weighted = {r["response_id"]: r for r in grounding.assess_response(pairs, "weighted_average").collect()}
-        # the long context weighs 203 characters, as shown
-        assert weighted[1]["overall_score"] == pytest.approx(score * 20 / 223)
+        # the long context weighs all its 250 characters; as shown it weighs 203
+        assert weighted[1]["overall_score"] == pytest.approx(score * 20 / 270)
+        shown = grounding.assess_response(pairs, "weighted_average", mode="compat").collect()
+        assert {r["response_id"]: r for r in shown}[1]["overall_score"] == pytest.approx(score * 20 / 223)
         claims = grounding.score_claims(responses, ctx, block=block)
         done = {r["response_id"]: r for r in grounding.assess_claims(responses, claims).collect()}
         assert (done[1]["total_claims"], done[1]["hallucinated_claims"]) == (2, 1)
@@ -231,7 +233,8 @@ def test_log_blocks(spark, tmp_path):
     compat = [tuple(r) for r in logs.log_blocks(spark, path, "compat").collect()]
     assert compat == [(True, True), (True, True), (False, True), (False, False)]
     lines = logs.read_results_log(spark, path)
-    assert lines.where("level = 'RESULTS'").count() == 8 and lines.where("ts IS NULL").count() == 1
+    assert lines.where("level = 'RESULTS'").count() == 8
+    assert sum(m.count("\n") for (m,) in lines.select("message").collect()) == LOG.strip().count("\n") - 7
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         logs.log_blocks(spark, path + ".missing")
     with pytest.raises(ValueError, match="mode"):
@@ -254,27 +257,40 @@ def test_log_blocks_over_split_files(spark, tmp_path):
     assert got == {(True, True): 400, (False, False): 400}
 
 
-def test_stream_history_late_and_repeated(spark, tmp_path):
+def test_stream_history_keeps_every_message(spark, tmp_path):
+    """Late, resumed and repeated messages, and two under one turn: as the batch form."""
     src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
-    batches = [[(1, 0, "user", "hi"), (1, 2, "user", "more")], [(1, 1, "assistant", "hello"), (1, 2, "user", "more!")]]
+    batches = [
+        [(1, 0, "user", "hi"), (1, 2, "user", "more"), (3, 300, "user", "far")],
+        [(1, 1, "assistant", "hello"), (1, 2, "user", "more!"), (1, 0, "user", "hi")],
+        [(1, 9, "user", "back"), (2, 0, "system", "own")],
+    ]
     said = streams.read_stream(spark, str(src), schemas.CONVERSATIONS, files_per_trigger=1)
-
-    def store(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
     for i, rows in enumerate(batches):
         frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])
         frame.to_parquet(src / f"{i}.parquet")
-        run = (
-            streams.stream_history(said, turns=8).writeStream.outputMode("update").foreachBatch(store)
-            .trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
-        )
-        run.awaitTermination()
-    last = streams.last_updates(spark.read.schema(streams.HISTORY).parquet(out)).collect()
-    assert [[m["content"] for m in r["messages"]] for r in last] == [
-        [chat.DEFAULT_SYSTEM, "hi", "hello", "more!"]
-    ]
+        streams.stream_history(said, out, str(tmp_path / "state")).start().awaitTermination()
+    flat = [m for rows in batches for m in rows]
+    talk = spark.createDataFrame(flat, schemas.CONVERSATIONS)
+    want = chat.history_segments(chat.chat_history(talk), turns=8)
+    got = streams.read_history(spark, out, turns=8)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    first = next(r for r in got.collect() if (r["conv_id"], r["segment"]) == (1, 0))
+    assert [m["content"] for m in first["messages"]] == [chat.DEFAULT_SYSTEM, "hi", "hello", "more", "more!"]
+
+
+def test_open_windows_are_stored(spark, tmp_path):
+    times = ["2024-01-01 10:05:00", "2024-01-01 10:50:00", "2024-01-01 11:01:00"]
+    frame = pd.DataFrame({"ts": pd.to_datetime(times), "bad": [True, False, True]})
+    (tmp_path / "in").mkdir()
+    frame.to_parquet(tmp_path / "in" / "0.parquet", coerce_timestamps="us")
+    events = streams.read_stream(spark, str(tmp_path / "in"), "ts timestamp, bad boolean")
+    rates = streams.stream_filter_rates(events, F.col("bad"))
+    out = str(tmp_path / "out")
+    streams.store_updates(rates, out, str(tmp_path / "state")).start().awaitTermination()
+    rows = streams.last_windows(spark.read.parquet(out)).collect()
+    assert sorted((r["decisions"], r["filtered"]) for r in rows) == [(1, 1), (2, 1)]
 
 
 def test_screen_and_answer(spark):
@@ -309,7 +325,7 @@ def test_reset(spark):
     assert left == [(1, "new"), (2, "x")]
 
 
-def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+def test_scratch_folders_are_fresh(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     assert scratch_dir(spark, "x").startswith(base)
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 # The published operators behave this way by default.
 MIN_CLAIM_CHARS = 10
 MIN_CHUNK_CHARS = 50
-MAX_CHUNKS = 3
 CHUNK_SEPARATOR = "\n\n"
 FENCE = "```"
 
@@ -151,9 +150,9 @@ def chunk_text(
     c: Column | str,
     separator: str = CHUNK_SEPARATOR,
     min_chars: int = MIN_CHUNK_CHARS,
-    max_chunks: int | None = MAX_CHUNKS,
+    max_chunks: int | None = None,
 ) -> Column:
-    """Pieces longer than ``min_chars``, then the first ``max_chunks`` of them (None = all)."""
+    """Pieces longer than ``min_chars``: all of them, or the first ``max_chunks`` where given."""
     parts = F.filter(
         F.split(_col(c), r"\Q" + separator + r"\E", -1), lambda p: F.length(p) > min_chars
     )

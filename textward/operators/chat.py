@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import _col, clean_topic, is_filtered_marker, strip, valid_topic
@@ -54,14 +54,15 @@ def history_segments(history: DataFrame, turns: int = SEGMENT_TURNS) -> DataFram
 
     ``(conv_id, segment, messages)``: reading segments in order gives the whole history.  A
     segment is bounded by its turns, so no conversation, however long, ends up in one row or
-    one task.  A message sent twice under the same turn is kept once.
+    one task.  Messages that share a turn all stay, ordered by role and text; only exact repeats
+    (same turn, role and text) are dropped.
     """
-    one = Window.partitionBy("conv_id", "turn").orderBy(F.col("text").desc(), "role")
-    unique = history.withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    unique = history.select("conv_id", "turn", "role", "text").distinct()
     message = F.struct("turn", "role", F.col("text").alias("content"))
+    # an added system row may stand at turn -1; it belongs to the first segment
+    place = F.when(F.col("turn") == -1, 0).otherwise(F.col("turn"))
     return (
-        # an added system row may stand at turn -1; it belongs to the first segment
-        unique.withColumn("segment", F.floor(F.greatest("turn", F.lit(0)) / turns).cast("bigint"))
+        unique.withColumn("segment", F.floor(place / turns).cast("bigint"))
         .groupBy("conv_id", "segment")
         .agg(F.sort_array(F.collect_list(message)).cast(MESSAGE_TYPE).alias("messages"))
     )

@@ -57,14 +57,17 @@ def score_pairs(
     return pairs.withColumn("score", F.when(F.col("pos").isNotNull(), score))
 
 
-def assess_response(pairs: DataFrame, method: str = "max_similarity") -> DataFrame:
+def assess_response(
+    pairs: DataFrame, method: str = "max_similarity", mode: str = "fixed"
+) -> DataFrame:
     """One row per response from the rows of :func:`score_pairs`.
 
     ``overall_score`` by ``method`` (an unknown one means the maximum), the best context (first
-    on ties), the flag and the assessment text.  A response without contexts scores 0.
+    on ties; its start is shown), the flag and the assessment text.  A response without contexts
+    scores 0.  Weights are lengths of whole contexts; ``compat`` weighs by what is shown.
     """
     shown = clip("context", SHOWN_CHARS)
-    weight = F.length(shown).cast("double")
+    weight = F.length(shown if mode == "compat" else "context").cast("double")
     overall = {
         "average": F.avg("score"),
         "weighted_average": F.sum(F.col("score") * weight) / F.sum(weight),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (
     CHUNK_SEPARATOR,
-    MAX_CHUNKS,
     MIN_CHUNK_CHARS,
     _col,
     chunk_text,
@@ -56,7 +55,7 @@ def chunk_rows(
     *keys: str,
     separator: str = CHUNK_SEPARATOR,
     min_chars: int = MIN_CHUNK_CHARS,
-    max_chunks: int | None = MAX_CHUNKS,
+    max_chunks: int | None = None,
 ) -> DataFrame:
     """One row per chunk: keys, ``chunk_no`` (from 0), ``text``, ``chunk_id``."""
     chunks = chunk_text(text, separator, min_chars, max_chunks)
@@ -112,7 +111,7 @@ def unresolved_topics(topics: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def ingest_topics(
-    topics: DataFrame, pages: DataFrame, max_chunks: int | None = MAX_CHUNKS, source: str = "pages"
+    topics: DataFrame, pages: DataFrame, max_chunks: int | None = None, source: str = "pages"
 ) -> DataFrame:
     """Chunks of the page of each distinct topic: one job for the whole list."""
     titles = pages.select("page_id", page_title("html").alias("title"))

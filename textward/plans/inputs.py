@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.vectors import hash_embedding
 from ..operators import chat, kb, retrieval
 from ..operators.skew import join_hot
-from ..session import spread_small, stage
+from ..session import stage
 from ..sources.tables import fixture
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread_small(fixture(spark, d, "documents"), "doc_id")
+    return fixture(spark, d, "documents")
 
 
 def screening_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +26,7 @@ def screening_texts(spark: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("string").alias("lang"),
         "text",
     )
-    return spread_small(docs.unionByName(users), "text_id")
+    return docs.unionByName(users)
 
 
 def stamped(c: Column) -> Column:
@@ -51,7 +51,7 @@ def passages(spark: SparkSession, d: str) -> DataFrame:
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
     """``(response_id, response)``: the assistant messages."""
-    said = spread_small(messages(spark, d).where("role = 'assistant'"), "conv_id")
+    said = messages(spark, d).where("role = 'assistant'")
     return said.select(message_id().alias("response_id"), F.col("text").alias("response"))
 
 
@@ -97,17 +97,15 @@ def vector_store(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def document_chunks(spark: SparkSession, d: str, max_chunks: int | None, batch_no: int) -> DataFrame:
-    """Chunks of all documents, one line each, as a batch of the chunk store."""
-    docs = documents(spark, d).select(
+def document_chunks(spark: SparkSession, d: str, batch_no: int, which: str = "true") -> DataFrame:
+    """Chunks of the documents ``which`` holds for, one line each, as a batch of the store."""
+    docs = documents(spark, d).where(which).select(
         F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"),
         F.col("lang").alias("topic"),
         "source",
         "text",
     )
-    rows = kb.chunk_rows(
-        docs, "text", "url", "topic", "source", separator="\n", max_chunks=max_chunks
-    )
+    rows = kb.chunk_rows(docs, "text", "url", "topic", "source", separator="\n")
     return rows.withColumn("batch_no", F.lit(batch_no).cast("bigint"))
 
 

@@ -336,7 +336,7 @@ ORACLES["pii_regex_redacted"] = f"SELECT doc_id, md5({_rx}) AS redacted_md5 FROM
 ORACLES["toxicity_lexicon"] = f"WITH {DOCS} SELECT doc_id, {r6(TOXICITY)} AS toxicity FROM docs"
 
 ORACLES["softmax_max"] = f"""WITH v AS (
-  SELECT vec_id, embedding[1:6]::DOUBLE[] AS l FROM embeddings),
+  SELECT vec_id, embedding::DOUBLE[] AS l FROM embeddings),
 w AS (SELECT vec_id, l, list_max(l) AS top FROM v)
 SELECT vec_id, {r6("1 / list_sum(list_transform(l, lambda x: exp(x - top)))")} AS softmax_max,
   {r6("1 / (1 + exp(-top))")} AS sigmoid_max FROM w"""
@@ -434,8 +434,9 @@ SELECT slice, value, {_FINAL} FROM rates"""
 ORACLES["results_log"] = f"""WITH {_JUDGED}, lines AS (
   SELECT doc_id, unnest(['Prompt', 'Attack Type', 'Malicious',
     CASE WHEN f THEN 'Filtered' ELSE 'Passed' END]) AS kind FROM judged)
-SELECT 'RESULTS' AS level, kind, strftime({_STAMP}, '%Y-%m-%d') AS day, count(*) AS lines
-FROM lines GROUP BY ALL"""
+SELECT 'RESULTS' AS level, kind, strftime({_STAMP}, '%Y-%m-%d') AS day, count(*) AS lines,
+  sum(CASE WHEN kind = 'Prompt' THEN length(text) + 7 ELSE 0 END)::BIGINT AS prompt_chars
+FROM lines JOIN (SELECT doc_id, text FROM documents) USING (doc_id) GROUP BY ALL"""
 
 # --- knowledge base ------------------------------------------------------------------------
 
@@ -452,26 +453,29 @@ def unnested(columns: str, chunks: str, source: str) -> str:
 
 ORACLES["kb_chunks"] = f"""
 SELECT doc_id, chunk_no, md5(chunk) AS chunk_id, length(chunk)::BIGINT AS chars
+FROM ({unnested("doc_id", chunked("text", "chr(10)", None), "documents")})"""
+ORACLES["kb_first_chunks"] = f"""
+SELECT doc_id, chunk_no, md5(chunk) AS chunk_id
 FROM ({unnested("doc_id", chunked("text", "chr(10)", 3), "documents")})"""
 
 
-def doc_batch(first: int | None, batch_no: int) -> str:
+def doc_batch(batch_no: int, which: str = "true") -> str:
     return f"""SELECT md5(chunk) AS chunk_id, 'doc://' || doc_id AS url, lang AS topic, chunk_no,
   {batch_no}::BIGINT AS batch_no
-FROM ({unnested("doc_id, lang", chunked("text", "chr(10)", first), "documents")})"""
+FROM ({unnested("doc_id, lang", chunked("text", "chr(10)", None), "documents")}) WHERE {which}"""
 
 
 _LATEST = """SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY chunk_id
     ORDER BY batch_no DESC, url NULLS FIRST, topic NULLS FIRST, chunk_no) AS rn FROM {0}) WHERE rn = 1"""
-_KB = f"""both_batches AS ({doc_batch(None, 0)} UNION ALL {doc_batch(3, 1)}),
+_KB = f"""both_batches AS ({doc_batch(0)} UNION ALL {doc_batch(1, "lang = 'en'")}),
 kb AS ({_LATEST.format("both_batches")})"""
 ORACLES["kb_upsert"] = f"WITH {_KB} SELECT * FROM kb"
 ORACLES["kb_browse"] = f"WITH {_KB} SELECT * FROM kb ORDER BY chunk_id LIMIT 100"
-ORACLES["kb_dedupe"] = f"""WITH stored AS ({doc_batch(3, 0)}), fresh AS ({doc_batch(None, 1)}),
+ORACLES["kb_dedupe"] = f"""WITH stored AS ({doc_batch(0, "lang = 'en'")}), fresh AS ({doc_batch(1)}),
 one AS ({_LATEST.format("fresh")})
 SELECT * FROM one WHERE chunk_id NOT IN (SELECT chunk_id FROM stored)"""
-ORACLES["stream_kb_upsert"] = f"""WITH fresh AS ({doc_batch(3, 0)})
+ORACLES["stream_kb_upsert"] = f"""WITH fresh AS ({doc_batch(0)})
 SELECT chunk_id, url, topic, chunk_no FROM ({_LATEST.format("fresh")})"""
 
 
@@ -507,7 +511,7 @@ _SEP2 = "chr(10) || chr(10)"
 
 ORACLES["page_chunks"] = f"""WITH {PAGES}
 SELECT page_id, title, chunk_no, md5(chunk) AS chunk_id
-FROM ({unnested("page_id, title", chunked("content", _SEP2, 3), "parsed")})"""
+FROM ({unnested("page_id, title", chunked("content", _SEP2, None), "parsed")})"""
 ORACLES["topic_resolve"] = f"WITH {PAGES}, {_TOPICS}, {_RESOLVED} SELECT topic, page_id FROM resolved"
 ORACLES["topic_unresolved"] = f"""WITH {PAGES}, {_TOPICS}
 SELECT DISTINCT topic FROM all_topics
@@ -518,7 +522,7 @@ SELECT topic, count(*) AS requests FROM (SELECT {strip("replace(topic, '`', '')"
 ORACLES["topic_ingest"] = f"""WITH {PAGES}, {_TOPICS}, {_RESOLVED},
 hit AS (SELECT topic, url, content FROM resolved JOIN parsed USING (page_id))
 SELECT topic, url, chunk_no, md5(chunk) AS chunk_id
-FROM ({unnested("topic, url", chunked("content", _SEP2, 3), "hit")})"""
+FROM ({unnested("topic, url", chunked("content", _SEP2, None), "hit")})"""
 
 # --- retrieval -----------------------------------------------------------------------------
 
@@ -603,7 +607,7 @@ weak AS (
 weak_pages AS (
   SELECT content FROM parsed WHERE length(title) > 0 AND page_id IN (
     SELECT min(page_id) FROM parsed JOIN weak USING (title) GROUP BY title)),
-weak_chunks AS ({unnested("1 AS one", chunked("content", _SEP2, 3), "weak_pages")}),
+weak_chunks AS ({unnested("1 AS one", chunked("content", _SEP2, None), "weak_pages")}),
 {_ADDED},
 second_store AS (SELECT chunk_id, e FROM first_store
   UNION ALL SELECT chunk_id, e FROM added WHERE chunk_id NOT IN (SELECT chunk_id FROM first_store)),
@@ -661,7 +665,7 @@ SELECT response_id, contexts, {r6("overall")} AS overall_score, md5(best) AS bes
 ORACLES["assess_response_max"] = assessed("max(score)")
 ORACLES["assess_response_avg"] = assessed("avg(score)")
 ORACLES["assess_response_weighted"] = assessed(
-    "sum(score * length(shown)) / sum(length(shown))"
+    "sum(score * length(b)) / sum(length(b))"
 )
 
 
@@ -744,9 +748,7 @@ _RATE = f"""SELECT date_trunc('hour', ts) AS window_start, count(*) AS decisions
   count_if(event_type = 'error')::BIGINT AS filtered,
   {r6("count_if(event_type = 'error') / count(*)")} AS rate FROM events GROUP BY 1"""
 ORACLES["audit_rates"] = _RATE
-# a stream closes a window when the watermark has passed its end
-ORACLES["stream_audit_rates"] = f"""SELECT * FROM ({_RATE})
-WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
+ORACLES["stream_audit_rates"] = _RATE
 
 # --- models --------------------------------------------------------------------------------
 

@@ -154,7 +154,7 @@ def toxicity_lexicon(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def softmax_max(spark: SparkSession, d: str) -> DataFrame:
-    logits = F.slice("embedding", 1, 6)
+    logits = F.col("embedding")
     return fixture(spark, d, "embeddings").select(
         "vec_id",
         r6(max_probability(logits)).alias("softmax_max"),
@@ -400,11 +400,15 @@ def metrics_from_log(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def results_log(spark: SparkSession, d: str) -> DataFrame:
-    lines = logs.read_results_log(spark, _logged(spark, d)).where("ts IS NOT NULL")
+    lines = logs.read_results_log(spark, _logged(spark, d))
     kind = F.regexp_extract("message", r"^(Prompt|Attack Type|Malicious|Filtered|Passed)", 1)
     return lines.groupBy(
         "level", kind.alias("kind"), F.to_date("ts").cast("string").alias("day")
-    ).agg(F.count(F.lit(1)).alias("lines"))
+    ).agg(
+        F.count(F.lit(1)).alias("lines"),
+        # prompts may hold line breaks; all of them is in the record
+        long(F.sum(F.when(kind == "Prompt", F.length("message")).otherwise(0))).alias("prompt_chars"),
+    )
 
 
 # --- knowledge base ------------------------------------------------------------------------
@@ -419,6 +423,15 @@ def kb_chunks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def kb_first_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The first three chunks of every text, where only a head is wanted."""
+    rows = kb.chunk_rows(
+        inputs.documents(spark, d), "text", "doc_id", separator="\n", max_chunks=3
+    )
+    return rows.select("doc_id", long("chunk_no").alias("chunk_no"), "chunk_id")
+
+
 def _kb_columns(df: DataFrame) -> DataFrame:
     return df.select(
         "chunk_id", "url", "topic", long("chunk_no").alias("chunk_no"), long("batch_no").alias("batch_no")
@@ -428,21 +441,22 @@ def _kb_columns(df: DataFrame) -> DataFrame:
 @query
 def kb_upsert(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_dir(spark, "kb")
-    sinks.kb_append(inputs.document_chunks(spark, d, None, 0), path, 0)
-    sinks.kb_append(inputs.document_chunks(spark, d, 3, 1), path, 1)
+    sinks.kb_append(inputs.document_chunks(spark, d, 0), path, 0)
+    sinks.kb_append(inputs.document_chunks(spark, d, 1, "lang = 'en'"), path, 1)
     return _kb_columns(sinks.kb_current(spark, path))
 
 
 @query
 def kb_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    stored = kb.latest(inputs.document_chunks(spark, d, 3, 0))
-    return _kb_columns(kb.new_chunks(inputs.document_chunks(spark, d, None, 1), stored))
+    stored = kb.latest(inputs.document_chunks(spark, d, 0, "lang = 'en'"))
+    return _kb_columns(kb.new_chunks(inputs.document_chunks(spark, d, 1), stored))
 
 
 @query
 def kb_browse(spark: SparkSession, d: str) -> DataFrame:
-    old = inputs.document_chunks(spark, d, None, 0)
-    return _kb_columns(kb.browse(kb.upsert(old, inputs.document_chunks(spark, d, 3, 1))))
+    old = inputs.document_chunks(spark, d, 0)
+    new = inputs.document_chunks(spark, d, 1, "lang = 'en'")
+    return _kb_columns(kb.browse(kb.upsert(old, new)))
 
 
 @query
@@ -718,25 +732,21 @@ def stream_screen(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_history(spark: SparkSession, d: str) -> DataFrame:
+    """Messages arrive in several batches, in no order; some of them twice."""
     base = scratch_dir(spark, "stream-history")
-    said = _stream(spark, d, "conversations", CONVERSATIONS).withColumn(
-        "ts", inputs.stamped(F.col("conv_id"))
-    )
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
-
-    updates = streams.stream_history(said, turns=4, ts="ts")
-    run = (
-        updates.writeStream.outputMode("update").foreachBatch(store)
-        .trigger(availableNow=True).option("checkpointLocation", f"{base}/state").start()
-    )
-    run.awaitTermination()
-    last = streams.last_updates(spark.read.schema(streams.HISTORY).parquet(f"{base}/out"))
+    said = inputs.messages(spark, d)
+    again = said.where("turn % 5 = 0")
+    mixed = said.unionByName(again).withColumn("_order", F.xxhash64("conv_id", "turn", "text"))
+    mixed.repartition(4, "_order").drop("_order").write.parquet(f"{base}/in")
+    arriving = streams.read_stream(spark, f"{base}/in", CONVERSATIONS, files_per_trigger=1)
+    streams.stream_history(arriving, f"{base}/out", f"{base}/state").start().awaitTermination()
     joined = F.array_join(
         F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n"
     )
-    return last.select("conv_id", "segment", "n_messages", F.md5(joined).alias("messages_md5"))
+    return streams.read_history(spark, f"{base}/out", turns=4).select(
+        "conv_id", "segment", long(F.size("messages")).alias("n_messages"),
+        F.md5(joined).alias("messages_md5"),
+    )
 
 
 @query
@@ -764,9 +774,9 @@ def stream_audit_rates(spark: SparkSession, d: str) -> DataFrame:
     base = scratch_dir(spark, "stream-rates")
     events = _stream(spark, d, "events", EVENTS)
     rates = streams.stream_filter_rates(events, F.col("event_type") == "error")
-    run = streams.write_stream(rates, f"{base}/out", f"{base}/state").start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{base}/out").withColumn("rate", r6("rate"))
+    streams.store_updates(rates, f"{base}/out", f"{base}/state").start().awaitTermination()
+    last = streams.last_windows(spark.read.parquet(f"{base}/out"))
+    return last.withColumn("rate", r6("rate"))
 
 
 # --- models --------------------------------------------------------------------------------

@@ -6,17 +6,20 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Inputs below this size may sit in one row group and would then be read by one task.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
 
 
 def build_session(
-    master: str | None = None, app: str = "textward", shuffle_partitions: int | None = None
+    master: str | None = None,
+    app: str = "textward",
+    shuffle_partitions: int | None = None,
+    scratch: str | None = None,
 ) -> SparkSession:
-    """A session with the settings this package is tuned for."""
+    """A session with the settings this package is tuned for.
+
+    ``scratch`` becomes ``spark.checkpoint.dir`` where the environment names none.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -36,6 +39,8 @@ def build_session(
         builder = builder.config("spark.driver.memory", "8g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if scratch and not SparkConf().get("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", scratch)
     return builder.getOrCreate()
 
 
@@ -60,18 +65,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def scan_bytes(df: DataFrame) -> int:
-    """Size of the input as the optimizer sees it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread_small(df: DataFrame, key: str, limit: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Give a small input to all cores before heavy text work; leave a large one as it is.
-
-    A large input already comes in many splits, and moving it would cost more than it gains.
-    """
-    if df.isStreaming or scan_bytes(df) > limit:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, F.col(key))

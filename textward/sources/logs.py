@@ -13,7 +13,8 @@ MARKER = "Malicious:"
 PROMPT = "Prompt:"
 FILTERED_WORD = "Filtered"
 
-_LINE = rf"^{LINE_PREFIX}(.+?) - Level: (\w+) - (.*)$"
+# A record is a prefixed line with the lines that continue it.
+_RECORD = rf"(?s)^(?:{LINE_PREFIX})?(.+?) - Level: (\w+) - (.*?)\n?$"
 _TIME_FORMAT = "yyyy-MM-dd HH:mm:ss,SSS"
 
 
@@ -47,12 +48,15 @@ def write_log(decisions: DataFrame, path: str) -> None:
 
 
 def read_results_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines as ``(ts, level, message)``; a line without prefix continues the one before
-    and has null ``ts`` and ``level``.  A missing path is an error of the read."""
-    lines = spark.read.text(path)
-    hit = F.col("value").rlike(_LINE)
-    part = lambda i: F.when(hit, F.regexp_extract("value", _LINE, i))
-    return lines.select(
+    """Log records as ``(ts, level, message)``; a message keeps its line breaks.
+
+    The text source cuts at the prefix of a line, so files stay splittable.  What stands before
+    the first prefix has null ``ts`` and ``level``.  A missing path is an error of the read.
+    """
+    records = spark.read.option("lineSep", "\n" + LINE_PREFIX).text(path)
+    hit = F.col("value").rlike(_RECORD)
+    part = lambda i: F.when(hit, F.regexp_extract("value", _RECORD, i))
+    return records.select(
         F.try_to_timestamp(part(1), F.lit(_TIME_FORMAT)).alias("ts"),
         part(2).alias("level"),
         F.coalesce(part(3), F.col("value")).alias("message"),

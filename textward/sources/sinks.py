@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,17 +33,14 @@ def write_metrics(metrics: DataFrame, path: str, fmt: str = "parquet") -> None:
     (writer.option("header", "true") if fmt == "csv" else writer).format(fmt).save(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def kb_open(spark: SparkSession, path: str) -> DataFrame:
     """All stored batches; an empty frame of the same schema where nothing is stored yet."""
-    if not _exists(spark, path):
+    try:
+        return spark.read.schema(KB_STORED).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], KB_STORED)
-    return spark.read.schema(KB_STORED).parquet(path)
 
 
 def kb_append(batch: DataFrame, path: str, batch_no: int) -> None:

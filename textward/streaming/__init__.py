@@ -1,8 +1,10 @@
 """Structured Streaming forms."""
 
 from .screening import (
-    last_updates,
+    last_windows,
+    read_history,
     read_stream,
+    store_updates,
     stream_filter_rates,
     stream_history,
     stream_kb_upsert,
@@ -11,6 +13,6 @@ from .screening import (
 )
 
 __all__ = [
-    "last_updates", "read_stream", "stream_filter_rates", "stream_history", "stream_kb_upsert",
-    "stream_screen", "write_stream",
+    "last_windows", "read_history", "read_stream", "store_updates", "stream_filter_rates",
+    "stream_history", "stream_kb_upsert", "stream_screen", "write_stream",
 ]

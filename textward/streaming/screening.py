@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import ScreeningPolicy
 from ..operators import chat, gates, kb, metrics
@@ -38,79 +34,53 @@ def write_stream(
     return writer.option("checkpointLocation", checkpoint).option("path", path)
 
 
-HISTORY = (
-    "conv_id bigint, segment bigint, n_messages bigint, "
-    "messages array<struct<turn:bigint,role:string,content:string>>"
-)
-_STATE = "latest_ms bigint, turns array<bigint>, roles array<string>, contents array<string>"
+HISTORY = "conv_id bigint, turn bigint, role string, text string"
+
+
+def stream_history(messages: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Store the messages of a stream, whenever they arrive: an append-only table.
+
+    Nothing is folded on arrival, so late, resumed and repeated messages need no state and none
+    is lost; a batch has its own folder and replaces it when it is run again.
+    """
+    rows = messages.select("conv_id", "turn", "role", "text")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = rows.writeStream.foreachBatch(store).trigger(availableNow=True)
+    return writer.option("checkpointLocation", checkpoint)
 
 
-def stream_history(
-    messages: DataFrame,
+def read_history(
+    spark: SparkSession,
+    path: str,
     system: str = chat.DEFAULT_SYSTEM,
     turns: int = chat.SEGMENT_TURNS,
-    ts: str | None = None,
-    watermark: str = "10 minutes",
-    ttl_ms: int = 24 * 3600 * 1000,
 ) -> DataFrame:
-    """Chat history of every conversation, in segments, updated as messages arrive.
+    """The stored messages as history segments: the batch form over all that has arrived."""
+    stored = spark.read.schema(HISTORY).parquet(path)
+    return chat.history_segments(chat.chat_history(stored, system), turns)
 
-    State is kept per segment of ``turns`` turns, so a long conversation spreads over many keys
-    and no state grows without bound.  Late messages find their place by turn; a message sent
-    again replaces its first form.  With an event time column ``ts`` a segment that rested for
-    ``ttl_ms`` is let go; without one, states stay.
-    """
 
-    def fold(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known, latest_ms = {}, 0
-        if state.exists:
-            latest_ms, *columns = state.get
-            known = {t: (r, c) for t, r, c in zip(*columns, strict=True)}
-        for pdf in batches:
-            for t, r, c in zip(pdf["turn"], pdf["role"], pdf["text"], strict=True):
-                known[int(t)] = (r, c)
-            if ts is not None:
-                latest_ms = max(latest_ms, int(pdf[ts].max().timestamp() * 1000))
-        ordered = sorted(known)
-        state.update(
-            (latest_ms, ordered, [known[t][0] for t in ordered], [known[t][1] for t in ordered])
-        )
-        if ts is not None:
-            state.setTimeoutTimestamp(max(latest_ms, state.getCurrentWatermarkMs()) + ttl_ms)
-        rows = [{"turn": t, "role": known[t][0], "content": known[t][1]} for t in ordered]
-        if key[1] == 0 and rows[0]["role"] != "system":
-            rows.insert(0, {"turn": ordered[0] - 1, "role": "system", "content": system})
-        yield pd.DataFrame(
-            {
-                "conv_id": [int(key[0])],
-                "segment": [int(key[1])],
-                "n_messages": [len(rows)],
-                "messages": [rows],
-            }
-        )
-
-    timeout = GroupStateTimeout.NoTimeout
-    if ts is not None:
-        messages = messages.withWatermark(ts, watermark)
-        timeout = GroupStateTimeout.EventTimeTimeout
-    keyed = messages.withColumn(
-        "segment", F.floor(F.greatest("turn", F.lit(0)) / turns).cast("bigint")
-    )
-    return keyed.groupBy("conv_id", "segment").applyInPandasWithState(
-        fold, HISTORY, _STATE, "update", timeout
-    )
+def last_windows(updates: DataFrame) -> DataFrame:
+    """Of a table of window updates the last one of every window (counts only grow)."""
+    return updates.groupBy("window_start").agg(
+        F.max_by(F.struct("decisions", "filtered", "rate"), "decisions").alias("s")
+    ).select("window_start", "s.decisions", "s.filtered", "s.rate")
+
 
+def store_updates(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Write every update of a stream to a folder per batch, replaced when a batch is run again.
+
+    In contrast to an append sink, groups that are still open are there too.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-def last_updates(updates: DataFrame) -> DataFrame:
-    """Of a table of updates the last state of every segment (it holds the most messages)."""
-    return updates.groupBy("conv_id", "segment").agg(
-        F.max_by(F.struct("n_messages", "messages"), "n_messages").alias("s")
-    ).select("conv_id", "segment", "s.n_messages", "s.messages")
+    writer = df.writeStream.outputMode("update").foreachBatch(store).trigger(availableNow=True)
+    return writer.option("checkpointLocation", checkpoint)
 
 
 def stream_kb_upsert(
