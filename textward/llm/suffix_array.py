@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, binary_column, fresh_name, stage
+from .shingles import parts
 
 LENGTH = 400
 SEED = 64
@@ -157,23 +158,25 @@ def _slice_rows(rows: DataFrame, length: int) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
-            at, columns = [], [[] for _ in range(6)]
-            for i, text in enumerate(binary_column(b, "text")):
-                hashes, first, last, place = anchors(text, length)
-                at += [i] * len(hashes)
-                for c, x in zip(columns, (hashes, None, None, first, last, place), strict=True):
-                    if x is not None:
-                        c += x.tolist()
-                for f, e in zip(first.tolist(), last.tolist(), strict=True):
-                    d = xxhash.xxh3_128_intdigest(text[f : e + length])
-                    columns[1].append((d & (2**64 - 1)) - (1 << 63))
-                    columns[2].append((d >> 64) - (1 << 63))
             keys = b.select(["t1", "t2", "id"])
-            keys = keys.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*keys.columns, *[pa.array(c, pa.int64()) for c in columns]],
-                ["t1", "t2", "id", "ah", "d1", "d2", "first", "last", "place"],
-            )
+            # a megabyte of text at a time, so long texts do not pile up
+            for start, some in parts(binary_column(b, "text")):
+                found = [anchors(t, length) for t in some]
+                if not found:
+                    continue
+                at = np.repeat(np.arange(len(some)), [len(f[0]) for f in found]) + start
+                hashes, first, last, place = (np.concatenate([f[k] for f in found]) for k in range(4))
+                digests = [
+                    xxhash.xxh3_128_intdigest(t[x : y + length])
+                    for t, f in zip(some, found, strict=True)
+                    for x, y in zip(f[1].tolist(), f[2].tolist(), strict=True)
+                ]
+                d1 = np.array([d & (2**64 - 1) for d in digests], np.uint64).view(np.int64)
+                d2 = np.array([d >> 64 for d in digests], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*keys.take(pa.array(at)).columns, *map(pa.array, (hashes, d1, d2, first, last, place))],
+                    ["t1", "t2", "id", "ah", "d1", "d2", "first", "last", "place"],
+                )
 
     more = "ah bigint, d1 bigint, d2 bigint, first bigint, last bigint, place bigint"
     return rows.select("t1", "t2", "id", "text").mapInArrow(run, f"{schema}, {more}")
@@ -187,18 +190,26 @@ def _cut(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     lists = lists.withColumnsRenamed({"t1": "u1", "t2": "u2", "id": "uid"}).hint("shuffle_hash")
     at = (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("id").eqNullSafe(F.col("uid"))
     names = ["ah", "d1", "alone", "t1", "t2", "first", "place", "slice"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.binary()]
+
+    def out(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
             columns: list[list] = [[] for _ in names]
+            size = 0
             keys = (b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())
             for text, t1, t2, cuts in zip(binary_column(b, "text"), *keys, strict=True):
                 for c in cuts:
                     values = (c["ah"], c["d1"], c["alone"], t1, t2, c["first"], c["place"], text[c["first"] : c["last"] + length])
                     for column, x in zip(columns, values, strict=True):
                         column.append(x)
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                    size += len(values[-1])
+                if size > BLOCK_BYTES:
+                    yield out(columns)
+                    columns, size = [[] for _ in names], 0
+            yield out(columns)
 
     schema = "ah bigint, d1 bigint, alone boolean, t1 bigint, t2 bigint, first bigint, place bigint, slice binary"
     return rows.join(lists, at).select("t1", "t2", "text", "cuts").mapInArrow(run, schema)
