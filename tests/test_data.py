@@ -28,8 +28,8 @@ def brute(q, c, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("way", ["queries", "chunks", "cells"])
-def test_topk_ways_equal_brute_force(spark, way, monkeypatch):
+@pytest.mark.parametrize("rows", [20_000, 40])
+def test_topk_equals_brute_force(spark, rows):
     rng = np.random.default_rng(3)
     c = [(i, rng.normal(size=6)) for i in range(300)]
     # a third of the chunks are copies of one vector, some are zero, queries repeat too
@@ -37,12 +37,7 @@ def test_topk_ways_equal_brute_force(spark, way, monkeypatch):
     q = [(f"q{i}", rng.normal(size=6)) for i in range(60)] + [("same", c[0][1]), ("zero", np.zeros(6))]
     qf = spark.createDataFrame([(a, [float(x) for x in b]) for a, b in q], "query_id string, embedding array<double>")
     cf = spark.createDataFrame([(a, [float(x) for x in b]) for a, b in c], "chunk_id bigint, embedding array<double>")
-    small = retrieval._small
-    allow = {"queries": "query_id", "chunks": "chunk_id", "cells": None}[way]
-    monkeypatch.setattr(
-        retrieval, "_small", lambda df, key, n: small(df, key, n) if key == allow else None
-    )
-    hits = retrieval.kb_topk(qf, cf, 4, n_pivots=8, block_rows=40)
+    hits = retrieval.kb_topk(qf, cf, 4, block_rows=rows)
     got = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in hits.collect())
     assert got == brute(q, c, 4)
     plan = plan_of(hits)
@@ -50,10 +45,8 @@ def test_topk_ways_equal_brute_force(spark, way, monkeypatch):
     assert "WindowGroupLimit" in plan
 
 
-def test_topk_size_check(spark):
+def test_topk_of_nothing(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "chunk_id int, embedding array<double>")
-    assert retrieval._small(df, "chunk_id", 10) is None
-    assert len(retrieval._small(df, "chunk_id", 10_000)[0]) == 2
     empty = retrieval.kb_topk(df.withColumnRenamed("chunk_id", "query_id"), df.limit(0), 3)
     assert empty.count() == 0
 
@@ -339,7 +332,7 @@ def test_join_hot_equals_join(spark, how):
         F.when(F.col("id") % 3 == 0, 0).when(F.col("id") == 1, -1).otherwise(F.col("id")).alias("k"),
     )
     right = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    got = join_hot(left, right, "k", "q", how, small_rows=10)
+    got = join_hot(left, right, "k", "q", how, least_rows=10)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(
         map(tuple, left.join(right, "k", how).collect()), key=repr
     )

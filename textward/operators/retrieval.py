@@ -1,20 +1,12 @@
 """Exact cosine top-k of queries against a chunk store, and what follows from it.
 
-The product of both sides is never built as rows.  Three ways give the same answer; which one is
-taken depends on counted sizes:
-
-* few queries - their matrix is broadcast, the chunks are read once and every partition keeps
-  only its best k per query;
-* few chunks - their matrix is broadcast, the queries are read once, nothing is shuffled;
-* both large - both sides are cut into cells around pivots; a query meets only the cells that
-  can hold one of its k nearest (triangle inequality, so still exact), and full cells are split
-  into blocks of bounded size.
+The product of both sides is never built as rows.  Both sides are cut into blocks of bounded
+size by hash of their id; each pair of blocks meets in one task, which works in tiles and hands
+on the best k of each of its queries.  The plan is the same for all sizes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,20 +16,13 @@ from pyspark.sql import types as T
 from ..functions.bands import distance_band, distance_points, strong_enough
 from .skew import join_hot
 
-LOCAL_BYTES = 64 * 1024 * 1024
-MAX_PIVOTS = 2048
+#: Rows of a block: what a task holds of each side.
 BLOCK_ROWS = 20_000
-TASKS_PER_CORE = 2
-_TILE = 1024
+_QUERY_TILE, _CHUNK_TILE = 1024, 4096
 _SCALE = 1e6  # ranks compare distances at six decimals, then ids
 
-# Fixed value: text used when nothing was found.
-FALLBACK_SNIPPET = (
-    "No external Wikipedia context was retrieved. "
-    "Continue using the guardrail system without RAG context. "
-    "Apply safety filtering, banned-word checks, toxicity checks, "
-    "and LLM safety rewording based on the user's input."
-)
+# Text used when nothing was found.
+FALLBACK_SNIPPET = "Nothing in the chunk store is close to this query; answer without added context."
 
 
 def _unit(vectors) -> np.ndarray:
@@ -63,8 +48,8 @@ class _Best:
         m = len(ids)
         take = min(self.k, m)
         parts = []
-        for lo in range(0, len(queries), _TILE):
-            dist = 1.0 - queries[lo : lo + _TILE] @ chunks.T
+        for lo in range(0, len(queries), _QUERY_TILE):
+            dist = 1.0 - queries[lo : lo + _QUERY_TILE] @ chunks.T
             # ids are sorted, so the place of a chunk breaks ties
             code = np.floor(dist * _SCALE + 0.5).astype(np.int64) * m + np.arange(m)
             if take < m:
@@ -106,23 +91,6 @@ def _slim(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-def _small(df: DataFrame, key: str, max_bytes: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Ids and unit vectors, if the side is counted to be within ``max_bytes``."""
-    # a count needs no embeddings, so none are computed for it
-    rows = df.count()
-    sizes = df.select(F.size("embedding").alias("n"))
-    sample = sizes.first()
-    if sample is not None and (sample["n"] or -1) < 0:
-        sample = sizes.where("n >= 0").first()  # the first row happened to have no vector
-    if sample is None:
-        return np.array([], dtype=object), np.zeros((0, 0))
-    if rows * (sample["n"] * 8 + 64) > max_bytes:
-        return None
-    # nulls are dropped here: a filter in the plan would compute every embedding twice
-    local = df.toPandas().dropna(subset=["embedding"])
-    return local[key].to_numpy(), _unit(local["embedding"])
-
-
 def _result_schema(queries: DataFrame, kb: DataFrame) -> T.StructType:
     return T.StructType(
         [
@@ -134,179 +102,47 @@ def _result_schema(queries: DataFrame, kb: DataFrame) -> T.StructType:
     )
 
 
-def _best_of_partitions(queries, kb: DataFrame, k: int, schema) -> DataFrame:
-    context = kb.sparkSession.sparkContext
-    shared = context.broadcast(queries)
-    # a partition gives k rows per query: let each task read many splits before it does
-    splits = kb.coalesce(TASKS_PER_CORE * context.defaultParallelism)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors = shared.value
-        best = _Best(len(ids), k)
-        for pdf in batches:
-            pdf = pdf.dropna(subset=["embedding"])
-            if len(pdf):
-                best.offer(vectors, pdf["chunk_id"].to_numpy(), _unit(pdf["embedding"]))
-        yield best.frame(ids)
-
-    return splits.mapInPandas(scan, schema)
-
-
-def _best_of_rows(queries: DataFrame, kb, k: int, schema) -> DataFrame:
-    shared = queries.sparkSession.sparkContext.broadcast(kb)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors = shared.value
-        for pdf in batches:
-            pdf = pdf.dropna(subset=["embedding"])
-            if len(pdf) and len(ids):
-                best = _Best(len(pdf), k)
-                best.offer(_unit(pdf["embedding"]), ids, vectors)
-                yield best.frame(pdf["query_id"].to_numpy())
-
-    return queries.mapInPandas(scan, schema)
-
-
-def _distance(cosine: np.ndarray) -> np.ndarray:
-    """Euclidean distance of unit vectors from their cosine."""
-    return np.sqrt(np.maximum(2.0 - 2.0 * cosine, 0.0))
-
-
-def _best_of_cells(
-    queries: DataFrame, kb: DataFrame, k: int, schema, n_pivots: int | None, block_rows: int
-) -> DataFrame:
-    spark = kb.sparkSession
-    if n_pivots is None:
-        n_pivots = min(MAX_PIVOTS, max(16, int(kb.count() ** 0.5)))
-    picked = kb.orderBy(F.md5(F.col("chunk_id").cast("string"))).limit(n_pivots)
-    pivots = _unit(picked.toPandas()["embedding"])
-    pivots = np.unique(pivots[np.abs(pivots).sum(axis=1) > 0], axis=0)
-    n_cells = len(pivots) + 1  # the last cell takes zero vectors, which have no direction
-    b_pivots = spark.sparkContext.broadcast(pivots)
-
-    def assign(batches):
-        for pdf in batches:
-            unit = _unit(pdf["embedding"])
-            cosine = unit @ b_pivots.value.T if len(b_pivots.value) else np.zeros((len(pdf), 0))
-            zero = ~unit.any(axis=1)
-            cell = np.full(len(pdf), n_cells - 1)
-            gap = np.zeros(len(pdf))
-            if cosine.shape[1]:
-                near = cosine.argmax(axis=1)
-                cell = np.where(zero, n_cells - 1, near)
-                gap = np.where(zero, 0.0, _distance(cosine[np.arange(len(pdf)), near]))
-            yield pdf.assign(cell=cell, gap=gap)
-
-    id_type = kb.schema["chunk_id"].dataType.simpleString()
-    celled = kb.mapInPandas(
-        assign, f"chunk_id {id_type}, embedding array<double>, cell int, gap double"
-    )
-    # per cell: size, radius and the k members nearest to the pivot; all at most n_cells * k rows
-    sizes = np.zeros(n_cells, dtype=np.int64)
-    radius = np.zeros(n_cells)
-    stats = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("r"))
-    for row in stats.collect():
-        sizes[row["cell"]], radius[row["cell"]] = row["n"], row["r"]
-    inner = Window.partitionBy("cell").orderBy("gap")
-    nearest = (
-        celled.select("cell", "gap", F.row_number().over(inner).alias("i"))
-        .where(F.col("i") <= k)
-        .collect()
-    )
-    near_cell = np.array([r["cell"] for r in nearest], dtype=np.int64)
-    near_gap = np.array([r["gap"] for r in nearest])
-    regular = near_cell < n_cells - 1
-    b_stats = spark.sparkContext.broadcast(
-        (sizes, radius, near_cell[regular], near_gap[regular])
+def _blocks(rows: DataFrame, key: str, own: str, n: int, other: str, n_other: int) -> DataFrame:
+    """Rows with the number of their own block, once for each block of the other side."""
+    return rows.select(
+        "*",
+        F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own),
+        F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other),
     )
 
-    def cells_of(unit: np.ndarray) -> np.ndarray:
-        """Which cells can hold one of the k nearest of each query."""
-        n, radii, owner, gaps = b_stats.value
-        out = np.zeros((len(unit), n_cells), dtype=bool)
-        out[:, -1] = True
-        if len(b_pivots.value):
-            away = _distance(unit @ b_pivots.value.T)
-            bound = np.full(len(unit), np.inf)
-            if len(owner) >= k:
-                for lo in range(0, len(unit), _TILE // 8):
-                    reach = away[lo : lo + _TILE // 8, owner] + gaps
-                    bound[lo : lo + _TILE // 8] = np.partition(reach, k - 1, axis=1)[:, k - 1]
-            least = np.maximum(away - radii[:-1], 0.0)
-            # compared as cosine distances, with room for the rounding of ranks
-            out[:, :-1] = least**2 / 2 <= bound[:, None] ** 2 / 2 + 4 / _SCALE
-            out[~unit.any(axis=1), :] = True
-        return out & (n > 0)
-
-    def spread(batches):
-        for pdf in batches:
-            row, cell = np.nonzero(cells_of(_unit(pdf["embedding"])))
-            yield pdf.iloc[row].assign(cell=cell)
-
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    offered = queries.mapInPandas(
-        spread, f"query_id {query_type}, embedding array<double>, cell int"
-    )
-    loads = np.zeros(n_cells, dtype=np.int64)
-    for row in offered.groupBy("cell").count().collect():
-        loads[row["cell"]] = row["count"]
-
-    def blocks(counts: np.ndarray):
-        per_cell = [int(-(-c // block_rows)) or 1 for c in counts]
-        return F.element_at(F.array(*[F.lit(x) for x in per_cell]), F.col("cell") + 1)
-
-    def own(key: str, n):
-        return F.pmod(F.xxhash64(key), n).cast("int")
-
-    def every(n):
-        return F.explode(F.sequence(F.lit(0), n - 1))
-
-    chunk_blocks, query_blocks = blocks(sizes), blocks(loads)
-    left = offered.select("query_id", "embedding", "cell",
-                          own("query_id", query_blocks).alias("qb"),
-                          every(chunk_blocks).alias("cb"))
-    right = celled.select("chunk_id", "embedding", "cell",
-                          own("chunk_id", chunk_blocks).alias("cb"),
-                          every(query_blocks).alias("qb"))
-
-    def match(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(len(q), k)
-        if len(q) and len(c):
-            best.offer(_unit(q["embedding"]), c["chunk_id"].to_numpy(), _unit(c["embedding"]))
-        return best.frame(q["query_id"].to_numpy())
-
-    keys = ("cell", "qb", "cb")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match, schema)
-
 
 def kb_topk(
     queries: DataFrame,
     kb: DataFrame,
     k: int = 3,
     max_distance: float | None = None,
-    local_bytes: int = LOCAL_BYTES,
-    n_pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``(query_id, rank, chunk_id, distance)``: the k nearest chunks of every query.
 
     ``queries`` holds ``(query_id, embedding)``, ``kb`` ``(chunk_id, embedding)``.  Order is by
-    distance at six decimals, then id.  Sizes are counted first, so this runs jobs at once.
+    distance at six decimals, then id; rows without embedding take no part.  Both sides are
+    counted first (which computes no embeddings).  A task holds one block of each side and a
+    tile of distances, about 150 MB at 64 dimensions, whatever the sizes.
     """
     q, c = _slim(queries, "query_id"), _slim(kb, "chunk_id")
     schema = _result_schema(q, c)
-    local_q = _small(q, "query_id", local_bytes)
-    if local_q is not None:
-        partial = _best_of_partitions(local_q, c, k, schema)
-    else:
-        local_c = _small(c, "chunk_id", local_bytes)
-        if local_c is not None:
-            partial = _best_of_rows(q, local_c, k, schema)
-        else:
-            some = F.col("embedding").isNotNull()
-            partial = _best_of_cells(
-                q.where(some), c.where(some), k, schema, n_pivots, block_rows
-            )
+    n_q = max(1, -(-queries.count() // block_rows))
+    n_c = max(1, -(-kb.count() // block_rows))
+
+    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = (x.dropna(subset=["embedding"]) for x in (left, right))
+        best = _Best(len(left), k)
+        if len(left):
+            unit = _unit(left["embedding"])
+            for lo in range(0, len(right), _CHUNK_TILE):
+                part = right.iloc[lo : lo + _CHUNK_TILE]
+                best.offer(unit, part["chunk_id"].to_numpy(), _unit(part["embedding"]))
+        return best.frame(left["query_id"].to_numpy())
+
+    left = _blocks(q, "query_id", "qb", n_q, "cb", n_c).groupBy("qb", "cb")
+    right = _blocks(c, "chunk_id", "cb", n_c, "qb", n_q).groupBy("qb", "cb")
+    partial = left.cogroup(right).applyInPandas(match, schema)
     order = Window.partitionBy("query_id").orderBy("rank_key", "chunk_id")
     top = (
         partial.withColumn("rank", F.row_number().over(order))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Below this many rows a key cannot overload a task, and a plain join is best.
-SMALL_ROWS = 1_000_000
+# A key with this many rows or fewer is never split.
+LEAST_ROWS = 1000
 SHARES = 1000
 SALTS = 64
 
@@ -17,20 +17,18 @@ def join_hot(
     key: str,
     spread_by: str,
     how: str = "inner",
-    small_rows: int = SMALL_ROWS,
+    least_rows: int = LEAST_ROWS,
 ) -> DataFrame:
     """``left.join(right, key, how)`` for a ``right`` that has every key once.
 
-    Keys with more than 1/1000 of the rows of ``left`` are hot: there are fewer than 1000 of
-    them, whatever the data, so their list may be broadcast.  Their rows are spread over
+    Keys with more than 1/1000 of the rows of ``left`` (and more than ``least_rows``) are hot:
+    there are fewer than 1000 of them, whatever the data, so their list may be broadcast.  Their rows are spread over
     ``SALTS`` parts by ``spread_by``, and their one row on the right is given to every part.
     ``left`` is counted first, so it should be stored, not computed on the way.
     """
     total = left.count()
-    if total <= small_rows:
-        return left.join(right, key, how)
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > total / SHARES).select(key, F.lit(True).alias("_hot"))
+    hot = counts.where(F.col("_n") > max(total / SHARES, least_rows)).select(key, F.lit(True).alias("_hot"))
     part = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
     spread = left.join(F.broadcast(hot), key, "left").withColumn(
         "_part", F.when(F.col("_hot"), part).otherwise(0)

@@ -89,7 +89,8 @@ def retrieve_with_reingest(
     batch = stage(found.withColumn("batch_no", F.lit(next_batch).cast("bigint")), "ingested")
     # content that is stored already needs no new embedding
     fresh = kb.new_chunks(batch, store).withColumn("embedding", embed(F.col("text")))
-    known = batch.join(store.select("chunk_id", "embedding"), "chunk_id")
+    # a chunk of very many pages is one row before it meets the store
+    known = kb.latest(batch).join(store.select("chunk_id", "embedding"), "chunk_id")
     columns = store.columns
     changed = known.select(columns).unionByName(fresh.select(columns))
     enlarged = stage(kb.upsert(store, changed), "enlarged-store")

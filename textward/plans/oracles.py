@@ -549,6 +549,7 @@ def band(distance: str) -> str:
 
 ORACLES["kb_topk"] = f"""WITH {_HITS}
 SELECT query_id, rank, chunk_id, {r6("distance")} AS distance FROM hits"""
+ORACLES["kb_topk_blocks"] = ORACLES["kb_topk"]
 ORACLES["kb_ratings"] = f"""WITH {_HITS}
 SELECT {band("distance")} AS band, CAST({points("distance")} AS BIGINT) AS points, count(*) AS hits
 FROM hits GROUP BY ALL"""

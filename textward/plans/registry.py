@@ -508,6 +508,17 @@ def kb_topk(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def kb_topk_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The same in many small blocks, as large inputs have them."""
+    hits = retrieval.kb_topk(
+        inputs.mixed_queries(spark, d), inputs.vector_store(spark, d), 3, block_rows=150
+    )
+    return hits.select(
+        "query_id", long("rank").alias("rank"), "chunk_id", r6("distance").alias("distance")
+    )
+
+
 @query
 def kb_ratings(spark: SparkSession, d: str) -> DataFrame:
     rated = retrieval.rate_hits(_hits(spark, d))
