@@ -213,23 +213,30 @@ def entity_rows(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _has(label: str):
+    return lambda e: e["label"] == label
+
+
 def pii_by_label(df: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Entities and texts with an entity for each label, from an ``entities`` column.
 
-    Entities of one text are counted in the row, so texts need no distinct count.
+    Entities of one text are counted in the row and summed, one column per label, so texts need
+    no distinct count and only the sums become rows.
     """
-    def in_text(label: str) -> Column:
-        return F.struct(
+    numbers = [
+        F.size(F.filter("entities", _has(label))).alias(f"_n{i}")
+        for i, label in enumerate(labels)
+    ]
+    sums = []
+    for i in range(len(labels)):
+        found = F.coalesce(F.sum(f"_n{i}"), F.lit(0)).cast("long")
+        sums += [found.alias(f"_e{i}"), F.count_if(F.col(f"_n{i}") > 0).alias(f"_t{i}")]
+    each = [
+        F.struct(
             F.lit(label).alias("label"),
-            F.size(F.filter("entities", lambda e: e["label"] == label)).alias("n"),
+            F.col(f"_e{i}").alias("entities"),
+            F.col(f"_t{i}").alias("texts"),
         )
-
-    per_text = [in_text(label) for label in labels]
-    return (
-        df.select(*by, F.explode(F.array(*per_text)).alias("r"))
-        .groupBy(*by, F.col("r.label").alias("label"))
-        .agg(
-            F.coalesce(F.sum("r.n"), F.lit(0)).cast("long").alias("entities"),
-            F.count_if(F.col("r.n") > 0).alias("texts"),
-        )
-    )
+        for i, label in enumerate(labels)
+    ]
+    return df.select(*by, *numbers).groupBy(*by).agg(*sums).select(*by, F.inline(F.array(*each)))

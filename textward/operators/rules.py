@@ -145,22 +145,25 @@ def detections_by_rule(
     """Hits and texts with a hit for each rule, over the whole input.
 
     One row is one text, so the number of texts needs no distinct count: hits are counted in
-    the row and summed, with partial sums before the shuffle.
+    the row and summed, one column per rule, and only the sums become rows.
     """
     guarded = df.withColumn("_hit", has_rule_hit(text, rules, case_insensitive))
-
-    def in_text(r: Rule) -> Column:
-        n = detection_count(text, [r], case_insensitive, guard=F.col("_hit"))
-        return F.struct(
-            F.lit(r.language).alias("language"), F.lit(r.rule).alias("rule"), n.alias("hits")
-        )
-
-    per_text = [in_text(r) for r in rules]
-    return (
-        guarded.select(*by, F.explode(F.array(*per_text)).alias("r"))
-        .groupBy(*by, F.col("r.language").alias("language"), F.col("r.rule").alias("rule"))
-        .agg(
-            F.coalesce(F.sum("r.hits"), F.lit(0)).cast("long").alias("hits"),
-            F.count_if(F.col("r.hits") > 0).alias("texts"),
+    numbers = [
+        detection_count(text, [r], case_insensitive, guard=F.col("_hit")).alias(f"_n{i}")
+        for i, r in enumerate(rules)
+    ]
+    sums = []
+    for i in range(len(rules)):
+        hits = F.coalesce(F.sum(f"_n{i}"), F.lit(0)).cast("long")
+        sums += [hits.alias(f"_h{i}"), F.count_if(F.col(f"_n{i}") > 0).alias(f"_t{i}")]
+    each = [
+        F.struct(
+            F.lit(r.language).alias("language"),
+            F.lit(r.rule).alias("rule"),
+            F.col(f"_h{i}").alias("hits"),
+            F.col(f"_t{i}").alias("texts"),
         )
-    )
+        for i, r in enumerate(rules)
+    ]
+    summed = guarded.select(*by, *numbers).groupBy(*by).agg(*sums)
+    return summed.select(*by, F.inline(F.array(*each)))
