@@ -111,6 +111,10 @@ def count_pii(found: Column | str, labels: Sequence[str] = catalog.PII_LABELS) -
     return F.size(F.filter(_col(found), lambda e: e["label"].isin(*labels)))
 
 
+#: Characters of a block of a long text.
+_BLOCK = 4096
+
+
 def redact_entities(
     text: Column | str,
     found: Column | str,
@@ -135,22 +139,37 @@ def redact_entities(
             F.lit(redact_other)
         )
 
+    # a span is cut from the blocks it touches: looking for its start from the beginning of a
+    # long text would make the work grow with hits times length
+    last = F.floor(F.greatest(F.length(value) - 1, F.lit(0)) / _BLOCK).cast("int")
+    in_blocks = F.transform(
+        F.sequence(F.lit(0), last), lambda i: F.substring(value, i * _BLOCK + 1, F.lit(_BLOCK))
+    )
+
+    def piece(blocks: Column, begin: Column, end: Column) -> Column:
+        first = F.floor(begin / _BLOCK).cast("int")
+        upto = F.floor(F.greatest(end - 1, begin) / _BLOCK).cast("int")
+        near = F.array_join(F.slice(blocks, first + 1, upto - first + 1), "")
+        return F.substring(near, begin - first * _BLOCK + 1, end - begin)
+
     def build(spans: Column) -> Column:
         begins = F.concat(F.array(F.lit(0)), F.transform(spans, lambda e: e["end"]))
         pairs = F.arrays_zip(F.slice(begins, 1, F.size(spans)).alias("prev"), spans.alias("e"))
-        pieces = F.transform(
-            pairs,
-            lambda p: F.concat(
-                F.substring(value, p["prev"] + 1, p["e"]["start"] - p["prev"]),
-                F.lit("[REDACTED_"),
-                F.upper(p["e"]["label"]),
-                F.lit("]"),
-            ),
-        )
-        tail = F.substring(value, F.element_at(begins, -1) + 1, F.length(value))
-        return F.when(
-            F.size(spans) > 0, F.concat(F.array_join(pieces, ""), tail)
-        ).otherwise(value)
+
+        def joined(blocks: Column) -> Column:
+            pieces = F.transform(
+                pairs,
+                lambda p: F.concat(
+                    piece(blocks, p["prev"], p["e"]["start"]),
+                    F.lit("[REDACTED_"),
+                    F.upper(p["e"]["label"]),
+                    F.lit("]"),
+                ),
+            )
+            tail = piece(blocks, F.element_at(begins, -1), F.length(value))
+            return F.concat(F.array_join(pieces, ""), tail)
+
+        return F.when(F.size(spans) > 0, let(in_blocks, joined)).otherwise(value)
 
     chosen = F.coalesce(F.filter(resolve_overlaps(found), keep), _none())
     return let(chosen, build)
