@@ -105,8 +105,16 @@ def token_cosine(a: Column, b: Column) -> Column:
     return F.aggregate(both, start, step, finish)
 
 
-def hash_embedding(c: Column | str, dims: int = 64) -> Column:
-    """Word counts folded into ``dims`` slots by a hash of the word, at unit length.
+def unit_length(values: Column) -> Column:
+    """A vector of doubles at length 1; a zero vector stays."""
+    return let(
+        F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + x * x)),
+        lambda size: F.when(size > 0, F.transform(values, lambda x: x / size)).otherwise(values),
+    )
+
+
+def hash_counts(c: Column | str, dims: int = 64) -> Column:
+    """Word counts folded into ``dims`` slots by a hash of the word.
 
     A model-free embedding with a fixed definition (md5 of the word), so any engine can check it.
     """
@@ -122,12 +130,9 @@ def hash_embedding(c: Column | str, dims: int = 64) -> Column:
             lambda d: (F.size(found) - F.size(F.array_remove(found, d))).cast("double"),
         )
 
-    def scale(counts: Column) -> Column:
-        return let(
-            F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x)),
-            lambda size: F.when(size > 0, F.transform(counts, lambda x: x / size)).otherwise(
-                counts
-            ),
-        )
+    return let(slots, count)
+
 
-    return let(let(slots, count), scale)
+def hash_embedding(c: Column | str, dims: int = 64) -> Column:
+    """The counts of :func:`hash_counts` at unit length."""
+    return let(hash_counts(c, dims), unit_length)

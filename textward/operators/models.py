@@ -7,6 +7,7 @@ kept away from it (a CASE WHEN around a Python UDF would not do that).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -14,14 +15,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ScreeningPolicy
-from ..functions.text import SPAN_TYPE, head_words
+from ..functions.text import SPAN_TYPE, head_words, let
+from ..functions.vectors import hash_counts, unit_length
 from . import gates
 
 BatchFn = Callable[[Sequence[str]], Sequence[Any]]
@@ -195,15 +197,15 @@ def predict_toxicity(model: PipelineModel, df: DataFrame) -> DataFrame:
     )
 
 
-def text_features(df: DataFrame, dims: int = 256, text: str = "text") -> DataFrame:
-    """Add ``embedding``: unit tf-idf vectors, the fallback where no embedder is at hand."""
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}0-9]+"),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_unit"),
-    ]
-    out = Pipeline(stages=stages).fit(df).transform(df)
-    return out.select(
-        *df.columns, vector_to_array("_unit", "float32").alias("embedding")
-    )
+def text_features(df: DataFrame, dims: int = 64, text: str = "text") -> DataFrame:
+    """Add ``embedding``: unit tf-idf vectors, the fallback where no embedder is at hand.
+
+    Words are folded into slots by hash; a slot weighs log((texts + 1) / (texts with it + 1)).
+    The statistics are one row of ``dims`` counts.
+    """
+    counted = df.withColumn("_tf", hash_counts(F.coalesce(F.col(text), F.lit("")), dims))
+    with_slot = [F.count_if(F.col("_tf")[i] > 0).alias(f"s{i}") for i in range(dims)]
+    seen = counted.agg(F.count(F.lit(1)).alias("n"), *with_slot).first()
+    idf = F.array(*[F.lit(math.log((seen["n"] + 1) / (seen[f"s{i}"] + 1))) for i in range(dims)])
+    weighted = F.zip_with("_tf", idf, lambda n, w: n * w)
+    return counted.withColumn("embedding", let(weighted, unit_length)).drop("_tf")

@@ -781,3 +781,12 @@ SELECT d.query_id, d.action AS input_action, md5(s.a) AS answer_md5,
   CASE WHEN s.pid IS NULL THEN NULL WHEN s.score < 0.5 THEN 'filter' ELSE 'pass' END
     AS output_action
 FROM decisions d LEFT JOIN likeness s ON s.pid = d.query_id"""
+ORACLES["text_features"] = f"""WITH {embedded("v", f"SELECT doc_id, {slots('text')} AS slots FROM documents")},
+seen AS (
+  SELECT d, ln((count(*) + 1) / (count_if(x > 0) + 1)) AS w
+  FROM (SELECT unnest(e) AS x, unnest(range(0, 64)) AS d FROM v) GROUP BY d),
+idf AS (SELECT list(w ORDER BY d) AS w FROM seen),
+t AS (SELECT doc_id, list_transform(range(1, 65), lambda i: e[i] * w[i]) AS t FROM v, idf),
+u AS (SELECT doc_id, t, sqrt(list_sum(list_transform(t, lambda x: x * x))) AS size FROM t),
+n AS (SELECT doc_id, CASE WHEN size > 0 THEN list_transform(t, lambda x: x / size) ELSE t END AS t FROM u)
+SELECT doc_id, {r6("list_max(t)")} AS largest, {r6("list_sum(t)")} AS total, {r6("t[8]")} AS slot_7 FROM n"""

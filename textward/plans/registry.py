@@ -858,9 +858,14 @@ def recogniser_plugin(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def text_features(spark: SparkSession, d: str) -> DataFrame:
-    rows = models.text_features(inputs.documents(spark, d).select("doc_id", "text"), dims=256)
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    return rows.select("doc_id", F.round(norm, 3).alias("norm"))
+    rows = models.text_features(inputs.documents(spark, d).select("doc_id", "text"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(
+        "doc_id",
+        r6(F.array_max("embedding")).alias("largest"),
+        r6(total).alias("total"),
+        r6(F.col("embedding")[7]).alias("slot_7"),
+    )
 
 
 @query
