@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from .. import catalog
 from ..config import ScreeningPolicy
-from ..functions import bands
-from ..operators import chat, gates, retrieval
 from . import registry
 
 # RE2 knows ASCII word boundaries only: accented letters become word characters of ASCII.
@@ -129,11 +127,11 @@ def decision_cte(
         f"{num(p.weight_overall)} * ((1 + (banned_words + pii_count)) * (1 + toxicity))"
     )
     table = [
-        (gates.BANNED_WORDS, "CAST(banned_words AS DOUBLE)", num(p.banned_word_tolerance)),
-        (gates.TOXICITY, "toxicity", num(p.threshold_toxicity)),
-        (gates.PII, "CAST(pii_count AS DOUBLE)", num(p.threshold_pii)),
-        (gates.INJECTION, f"CAST({inj} AS DOUBLE)", num(inj_limit)),
-        (gates.OVERALL, overall, limit),
+        ("Banned_Words", "CAST(banned_words AS DOUBLE)", num(p.banned_word_tolerance)),
+        ("Toxicity_Score", "toxicity", num(p.threshold_toxicity)),
+        ("Personable_Interifiable_Information", "CAST(pii_count AS DOUBLE)", num(p.threshold_pii)),
+        ("Prompt_Injection", f"CAST({inj} AS DOUBLE)", num(inj_limit)),
+        ("Overall_Score", overall, limit),
     ]
     ladder = []
     for kind in ("filter", "flag") if p.enable_reword else ("filter",):
@@ -167,7 +165,7 @@ decisions AS (
   SELECT * EXCLUDE (d), d.action AS action, d.gate AS gate, d.score AS score,
     d.threshold AS threshold,
     CASE WHEN d.action <> 'filter' THEN NULL
-      WHEN d.gate IN ({q(gates.BANNED_WORDS)}, {q(gates.PII)})
+      WHEN d.gate IN ('Banned_Words', 'Personable_Interifiable_Information')
       THEN 'Filtered due to ' || d.gate || ', ' || CAST(CAST(d.score AS BIGINT) AS VARCHAR)
         || ' > ' || CAST(CAST(d.threshold AS BIGINT) AS VARCHAR)
       ELSE 'Filtered due to ' || d.gate || ', ' || printf('%.6f', d.score) || ' > '
@@ -372,7 +370,7 @@ SELECT CAST(doc_id AS VARCHAR) AS text_id, action, gate, {r6("score")} AS score,
 
 ORACLES["filtered_marker"] = f"""WITH {_STRICT_DOCS}
 SELECT doc_id, action = 'filter' AS is_marker, md5(CASE WHEN action = 'filter' THEN 'Filtered.'
-  ELSE {q(chat.CONTEXT_PREFIX)} || source || '"' || chr(10) || text END) AS prompt_md5
+  ELSE 'Use the following as context for the prompt: "' || source || '"' || chr(10) || text END) AS prompt_md5
 FROM decisions"""
 
 # --- evaluation ----------------------------------------------------------------------------
@@ -538,13 +536,17 @@ _HITS = f"{_VECTORS}, {top_k('hits', 'mixed', 'store', 3)}"
 
 
 def points(distance: str) -> str:
-    ladder = " ".join(f"WHEN {distance} < {num(b)} THEN {p}" for b, p, _ in bands.DISTANCE_BANDS)
-    return f"CASE {ladder} ELSE {bands.DISTANCE_REST[0]} END"
+    return (
+        f"CASE WHEN {distance} < 0.2::DOUBLE THEN 8 WHEN {distance} < 0.45::DOUBLE THEN 5 "
+        f"WHEN {distance} < 0.6::DOUBLE THEN 1 ELSE 0 END"
+    )
 
 
 def band(distance: str) -> str:
-    ladder = " ".join(f"WHEN {distance} < {num(b)} THEN {q(n)}" for b, _, n in bands.DISTANCE_BANDS)
-    return f"CASE {ladder} ELSE {q(bands.DISTANCE_REST[1])} END"
+    return (
+        f"CASE WHEN {distance} < 0.2::DOUBLE THEN 'STRONG' WHEN {distance} < 0.45::DOUBLE THEN 'GOOD' "
+        f"WHEN {distance} < 0.6::DOUBLE THEN 'WEAK' ELSE 'IRRELEVANT' END"
+    )
 
 
 ORACLES["kb_topk"] = f"""WITH {_HITS}
@@ -567,7 +569,7 @@ SELECT query_id, coalesce(rank, 1)::BIGINT AS rank,
   CASE WHEN chunk_id IS NOT NULL THEN 'vec://' || chunk_id END AS url,
   CASE WHEN chunk_id IS NOT NULL THEN CAST(label AS VARCHAR) ELSE 'query ' || query_id END AS topic,
   md5(CASE WHEN chunk_id IS NOT NULL THEN 'vector ' || chunk_id
-      ELSE {q(retrieval.FALLBACK_SNIPPET)} END) AS snippet_md5,
+      ELSE 'Nothing in the chunk store is close to this query; answer without added context.' END) AS snippet_md5,
   {r6("distance")} AS distance
 FROM mixed LEFT JOIN hits USING (query_id) LEFT JOIN vectors ON vec_id = chunk_id"""
 
@@ -582,7 +584,7 @@ _USERS = embedded(
 _ENRICHED = f"""{_PASSAGES}, {_USERS}, {top_k("best", "users", "passages", 1)},
 enriched AS (
   SELECT query_id, u.text, distance, p.text AS context,
-    {q(chat.CONTEXT_PREFIX)} || p.text || '"' || chr(10) || u.text AS prompt
+    'Use the following as context for the prompt: "' || p.text || '"' || chr(10) || u.text AS prompt
   FROM users u JOIN best USING (query_id) JOIN passages p USING (chunk_id))"""
 ORACLES["prompt_with_context"] = f"""WITH {_ENRICHED}
 SELECT query_id, {r6("distance")} AS distance, {band("distance")} AS band,
@@ -651,16 +653,17 @@ SELECT response_id, pos, md5(shown) AS shown_md5, {r6("score")} AS score FROM sc
 
 
 def assessed(overall: str) -> str:
-    ladder = " ".join(
-        f"WHEN overall >= {num(b)} THEN {q(t)}" for b, t in bands.ASSESSMENT_BANDS
-    )
+    ladder = """WHEN overall >= 0.7::DOUBLE THEN 'Response is highly consistent with the provided context.'
+    WHEN overall >= 0.5::DOUBLE THEN 'Response shows moderate consistency with context.'
+    WHEN overall >= 0.3::DOUBLE THEN 'Response shows weak consistency. Potential partial hallucination.'
+    ELSE 'Response appears to be hallucinated or unrelated to context.'"""
     return f"""WITH {contexts(3)},
 per AS (
   SELECT response_id, count(*) AS contexts, {overall} AS overall,
     first(shown ORDER BY score DESC, pos) AS best FROM scored GROUP BY 1)
 SELECT response_id, contexts, {r6("overall")} AS overall_score, md5(best) AS best_md5,
-  overall < {num(bands.HALLUCINATION_BELOW)} AS is_hallucination,
-  CASE {ladder} ELSE {q(bands.ASSESSMENT_REST)} END AS assessment FROM per"""
+  overall < 0.4::DOUBLE AS is_hallucination,
+  CASE {ladder} END AS assessment FROM per"""
 
 
 ORACLES["assess_response_max"] = assessed("max(score)")
@@ -696,7 +699,7 @@ ORACLES["claim_scores"] = f"""WITH {_CLAIMS}
 SELECT response_id, claim_no, md5(claim) AS claim_md5, {r6("score")} AS score FROM claim_best"""
 ORACLES["assess_claims"] = f"""WITH {_CLAIMS}
 SELECT query_id AS response_id, count(claim_no) AS total_claims,
-  count_if(score < {num(bands.HALLUCINATION_BELOW)})::BIGINT AS hallucinated_claims,
+  count_if(score < 0.4::DOUBLE)::BIGINT AS hallucinated_claims,
   {r6("coalesce(avg(score), 0.0)")} AS avg_claim_score
 FROM answers LEFT JOIN claim_best ON response_id = query_id GROUP BY 1"""
 
@@ -712,7 +715,7 @@ FROM scored"""
 _HISTORY = f"""history AS (
   SELECT conv_id, turn, role, text FROM conversations
   UNION ALL
-  SELECT conv_id, first_turn - 1, 'system', {q(chat.DEFAULT_SYSTEM)} FROM (
+  SELECT conv_id, first_turn - 1, 'system', 'You are a helpful assistant.' FROM (
     SELECT conv_id, min(turn) AS first_turn, first(role ORDER BY turn) AS first_role
     FROM conversations GROUP BY 1) WHERE first_role <> 'system')"""
 ORACLES["chat_history"] = f"""WITH {_HISTORY}
