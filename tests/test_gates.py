@@ -154,3 +154,11 @@ def test_policies_together_equal_policies_alone(spark):
         assert sorted(got[p.name]) == sorted(alone)
     with pytest.raises(ValueError, match="agree"):
         gates.screen_policies(df, [BASE, ScreeningPolicy(languages=("english",))])
+
+
+def test_scorer_with_a_word_limit_reads_whole_texts(spark):
+    from textward.operators import models
+
+    score = models.register_scorer(spark, "count_bad", lambda: lambda texts: [t.count("bad") for t in texts], max_words=3)
+    df = spark.createDataFrame([("a b c d bad bad",), ("bad",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(score(df["t"])).collect()] == [2.0, 1.0, None, 0.0]

@@ -195,11 +195,6 @@ def valid_topic(c: Column | str) -> Column:
     return F.coalesce(F.length(topic).between(1, 50), F.lit(False))
 
 
-def head_words(c: Column | str, max_words: int) -> Column:
-    """Input limit of a model: the first ``max_words`` words (for model scorers only)."""
-    return F.array_join(F.slice(F.split(_col(c), r"\s+", -1), 1, max_words), " ")
-
-
 def clip(c: Column | str, max_len: int = 200) -> Column:
     """Show at most ``max_len`` characters, then three dots."""
     text = _col(c)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ScreeningPolicy
-from ..functions.text import SPAN_TYPE, head_words, let
+from ..functions.text import SPAN_TYPE, let
 from ..functions.vectors import hash_counts, unit_length
 from . import gates
 
@@ -47,6 +47,32 @@ def _scalar_udf(factory: Factory, return_type: T.DataType, fill: Any, batch_size
     return predict_batch_udf(make, return_type=return_type, batch_size=batch_size)
 
 
+def _in_pieces(factory: Factory, max_words: int) -> Factory:
+    """A scorer of whole texts from one that takes ``max_words`` words at a time."""
+
+    def make():
+        fn = factory()
+
+        def highest(texts):
+            pieces, owner = [], []
+            for i, text in enumerate(texts):
+                words = text.split()
+                if len(words) <= max_words:
+                    pieces.append(text)
+                    owner.append(i)
+                    continue
+                for k in range(0, len(words), max_words):
+                    pieces.append(" ".join(words[k : k + max_words]))
+                    owner.append(i)
+            out = np.full(len(texts), -np.inf)
+            np.maximum.at(out, owner, np.asarray(fn(pieces), float))
+            return out
+
+        return highest
+
+    return make
+
+
 def register_scorer(
     spark: SparkSession,
     name: str,
@@ -56,14 +82,15 @@ def register_scorer(
 ) -> ColumnFn:
     """Make a text scorer usable as a column function and, under ``name``, in SQL.
 
-    ``max_words`` is the input limit of the model, where it has one.
+    ``max_words`` is the input limit of the model, where it has one: a longer text is scored in
+    pieces of that length, and the highest score is its score.
     """
+    factory = factory if max_words is None else _in_pieces(factory, max_words)
     udf = _scalar_udf(factory, T.DoubleType(), np.nan, batch_size)
     spark.udf.register(name, udf)
 
     def score(text: Column) -> Column:
-        value = udf(text if max_words is None else head_words(text, max_words))
-        return F.nanvl(value, F.lit(None).cast("double"))
+        return F.nanvl(udf(text), F.lit(None).cast("double"))
 
     return score
 
