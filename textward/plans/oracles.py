@@ -652,12 +652,21 @@ ORACLES["context_scores"] = f"""WITH {contexts(3)}
 SELECT response_id, pos, md5(shown) AS shown_md5, {r6("score")} AS score FROM scored"""
 
 
-def assessed(overall: str) -> str:
+def dense_contexts(k: int) -> str:
+    return f"""{_PASSAGES}, {_ANSWERS}, {top_k("best", "answers", "passages", k)},
+scored AS (
+  SELECT a.query_id AS response_id, rank - 1 AS pos, {clip("p.text")} AS shown,
+    coalesce(CASE WHEN list_sum(a.e) > 0 AND list_sum(p.e) > 0
+      THEN list_cosine_similarity(a.e, p.e) END, 0) AS score
+  FROM answers a JOIN best USING (query_id) JOIN passages p USING (chunk_id))"""
+
+
+def assessed(overall: str, pairs: str | None = None) -> str:
     ladder = """WHEN overall >= 0.7::DOUBLE THEN 'Response is highly consistent with the provided context.'
     WHEN overall >= 0.5::DOUBLE THEN 'Response shows moderate consistency with context.'
     WHEN overall >= 0.3::DOUBLE THEN 'Response shows weak consistency. Potential partial hallucination.'
     ELSE 'Response appears to be hallucinated or unrelated to context.'"""
-    return f"""WITH {contexts(3)},
+    return f"""WITH {pairs or contexts(3)},
 per AS (
   SELECT response_id, count(*) AS contexts, {overall} AS overall,
     first(shown ORDER BY score DESC, pos) AS best FROM scored GROUP BY 1)
@@ -667,6 +676,7 @@ SELECT response_id, contexts, {r6("overall")} AS overall_score, md5(best) AS bes
 
 
 ORACLES["assess_response_max"] = assessed("max(score)")
+ORACLES["assess_response_dense"] = assessed("max(score)", dense_contexts(3))
 ORACLES["assess_response_avg"] = assessed("avg(score)")
 ORACLES["assess_response_weighted"] = assessed(
     "sum(score * length(b)) / sum(length(b))"

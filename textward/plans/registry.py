@@ -621,6 +621,10 @@ def _assessed(spark: SparkSession, d: str, method: str) -> DataFrame:
     done = grounding.semantic_similarity_run(
         inputs.responses(spark, d), inputs.retrieved_contexts(spark, d), method
     )
+    return _assessment_columns(done)
+
+
+def _assessment_columns(done: DataFrame) -> DataFrame:
     return done.select(
         "response_id",
         "contexts",
@@ -636,6 +640,16 @@ def assess_response_max(spark: SparkSession, d: str) -> DataFrame:
     return _assessed(spark, d, "max_similarity")
 
 
+@query
+def assess_response_dense(spark: SparkSession, d: str) -> DataFrame:
+    """The same with embeddings in place of word counts."""
+    answers = inputs.responses(spark, d).withColumn("answer_vec", hash_embedding("response"))
+    found = inputs.retrieved_contexts(spark, d)
+    found = found.withColumn("context_vec", hash_embedding("context"))
+    pairs = grounding.score_pairs(answers, found, cosine_similarity, "answer_vec", "context_vec")
+    return _assessment_columns(grounding.assess_response(pairs))
+
+
 @query
 def assess_response_avg(spark: SparkSession, d: str) -> DataFrame:
     return _assessed(spark, d, "average")
