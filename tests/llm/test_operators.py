@@ -314,6 +314,22 @@ def test_probabilities_are_normalised():
     assert np.allclose((10 ** model.log10()).sum(1), 1, atol=1e-4)
 
 
+def test_training_takes_every_triple(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    seen = np.bincount(np.concatenate(list(lbl._pass_batches(5000, 3, rng))), minlength=5000)
+    assert (seen == 3).all()
+    monkeypatch.setattr(lbl, "SHARD_TRIPLES", 20)
+    counts = {i: 1 + 5000 // (i + 1) for i in range(1000)}
+    triples = spark.createDataFrame([*counts.items()], "code bigint, n bigint")
+    rows, shards = lbl._shard_rows(triples, len(counts), sum(counts.values()))
+    rows = rows.collect()
+    assert shards == 100 and {r.shard for r in rows} == set(range(100)) and len(rows) <= 2 * len(counts)
+    for i, n in counts.items():
+        assert sum(r.n for r in rows if r.code == i) == pytest.approx(n)
+    model = lbl.fit(triples, np.ones(16), dim=4, rounds=1, passes=1)
+    assert np.isfinite(model.log10()).all()
+
+
 # ---- 9 mix
 
 
