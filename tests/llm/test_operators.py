@@ -74,6 +74,27 @@ def test_thresholds_leave_no_pair_out():
         assert sum(simhash.allocate(len(fp), bits.T @ bits, parts)) == simhash.TAU - m + 1
 
 
+@pytest.mark.parametrize("batch", [1, 2, 3, 4, 7, 100])
+@pytest.mark.parametrize("sizes", [(9,), (1, 9), (9, 1), (2, 7, 5), (4, 3, 8)])
+def test_crowd_over_several_batches(batch, sizes):
+    keys = np.repeat(np.arange(len(sizes)), sizes)
+    fps = np.arange(len(keys))
+    table = pa.table({"key": keys, "fp": fps})
+    found = simhash._verify(4, 3)(iter(table.to_batches(max_chunksize=batch)))
+    marked = {x.as_py() for b in found for x, y in zip(b.column(0), b.column(1), strict=True) if x == y}
+    assert marked == {int(f) for k, f in zip(keys, fps, strict=True) if sizes[k] > 3}
+
+
+def test_crowds_over_small_arrow_batches(spark):
+    prints = spark.range(64).selectExpr("id * 281474976710656 AS fp", "id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = simhash.groups(prints, "id", crowd=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 64 and {r.component_id for r in got} == {0}
+
+
 @pytest.mark.parametrize("chunk", [200_000, 3])
 def test_components(spark, chunk):
     random.seed(3)

@@ -250,8 +250,8 @@ def _verify(tau: int, crowd: int):
             if len(held) > crowd:  # marked and let go, so a crowd of any size fits
                 yield out(held, held)
                 crowded, held = True, held[-1:]
-        if len(held) > 1 and not crowded:
-            yield out(*close(held))
+        if len(held) > 1:
+            yield out(*((held, held) if crowded else close(held)))
 
     return run
 
