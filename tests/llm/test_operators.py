@@ -137,6 +137,30 @@ def test_pages_of_a_host(spark):
     assert style_tree.extract(rows.limit(0)).count() == 0
 
 
+def test_repeated_parts_of_articles_stay(spark):
+    def body(i):
+        return (
+            f"<h2>Method</h2><p>Dish {i} needs <a href=/g/roux>roux</a> and {i * 7} eggs</p>"
+            f"<h2>Result</h2><p><a href=/by/ann>Ann</a> made {i * 3} of them</p>"
+        )
+
+    def page(i, kind):
+        menu = "<div class=k><a href=/>Start</a><a href=/all>All dishes</a></div>"
+        return f"<body>{menu}{kind.format(body(i))}<div class=z>All rights</div></body>"
+
+    kinds = ["<article>{}</article>", "<main class=x><div>{}</div></main>", "<div class=m>{}</div>"]
+    rows = [(100 * k + i, f"http://h{k}.example/{i}", page(i, x)) for k, x in enumerate(kinds) for i in range(12)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(12):
+        prose = [f"Dish {i} needs roux and {i * 7} eggs", f"Ann made {i * 3} of them"]
+        assert got[i] == got[100 + i] == f"Method {prose[0]} Result {prose[1]}"
+        assert all(x in got[200 + i] for x in prose)
+        assert "Start" not in got[200 + i] and "All rights" not in got[200 + i]
+    noise = frozenset(["/body/article", "/body/article/nav"])
+    assert style_tree.main_text("<body><article><p>a<nav>b</nav></article><p>c", noise) == "c"
+    assert style_tree.main_text("<body><article><p>a<nav>b</nav></article><p>c", frozenset(["/body/article/p"])) == "a"
+
+
 def test_articles_of_table(spark, sf_dir):
     import html
     import re

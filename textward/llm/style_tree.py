@@ -6,7 +6,8 @@ its blocks and its links.  An element whose pages all look alike has a low prese
 importance, one whose content repeats over the pages a low content importance (both by
 entropy); the composite of a branch weighs the two.  Branches that are low from top to bottom
 are removed from every page, and so are those that their tag or class declares to be no part
-of an article, whose importance is 0.  Pages that share the text of their largest element count once, so
+of an article, whose importance is 0.  Inline elements are judged with the block they stand in,
+and below an article or main only declared branches go.  Pages that share the text of their largest element count once, so
 copies of an article do not look like boilerplate.  For hosts with few pages the tree of all
 hosts decides.
 
@@ -218,16 +219,24 @@ def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
+def _judged(path: str, inside: bool) -> Iterator[str]:
+    """The branches above a text that may be learned noise: none below an article or main."""
+    steps = path.split("/")
+    for k in range(2, len(steps) + 1):
+        yield "/".join(steps[:k])
+        if inside and steps[k - 1].split(".")[0] in _ARTICLE:
+            return
+
+
 def main_text(markup: str, noise: frozenset[str] = frozenset()) -> str:
     """The blocks of a page that are no noise; of its article only, if it has one with text."""
     page = Page(markup)
     kept, cache = [], {}
     for path, declared, inside, raw in page.texts:
         if not declared and noise:
-            if path not in cache:
-                parts = path.split("/")
-                cache[path] = any("/".join(parts[:k]) in noise for k in range(2, len(parts) + 1))
-            declared = cache[path]
+            if (path, inside) not in cache:
+                cache[path, inside] = any(x in noise for x in _judged(path, inside))
+            declared = cache[path, inside]
         if raw is None or not declared:
             kept.append((path, False, inside, raw))
     blocks = list(_joined(kept))
@@ -326,7 +335,7 @@ def _branches(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def noise_branches(pages: DataFrame, url: str = "url", markup: str = "html", threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, paths): the branches that go from the pages of a host, topmost ones only."""
+    """(host, paths): the branches that go from the pages of a host; no inline elements."""
     seen = stage(tree_rows(pages, url, markup).distinct(), "tree-rows")
     by_host = stage(seen.groupBy("host", "path", "style", "value").agg(F.count(F.lit(1)).alias("n")), "tree-values")
     m_host = seen.groupBy("host", "path").agg(F.countDistinct("page").alias("m"))
@@ -340,7 +349,8 @@ def noise_branches(pages: DataFrame, url: str = "url", markup: str = "html", thr
     enough = F.col("m") >= min_pages
     low = lambda x: (F.col("importance" + x) < threshold) & (F.col("most" + x) < threshold)
     gone = F.when(enough, low("")).otherwise((F.col("m_all") >= min_pages) & low("_all"))
-    return both.where(gone).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    tag = F.substring_index(F.substring_index("path", "/", -1), ".", 1)
+    return both.where(gone & ~tag.isin(*sorted(_INLINE))).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
 
 
 def extract(df: DataFrame, url: str = "url", markup: str = "html", threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
