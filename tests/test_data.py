@@ -154,6 +154,25 @@ def test_context_prefix(spark):
     assert df.select(chat.attach_context("p", "c", enabled=False)).first()[0] == "p"
 
 
+@pytest.mark.parametrize("turns", [1, 3, 256])
+def test_previous_turn_over_gaps_and_shared_turns(spark, turns):
+    rows = [
+        (1, 0, "user", "a"), (1, 2, "assistant", "b"), (1, 900, "assistant", "c"), (1, 900, "assistant", "c"),
+        (1, 901, "user", "x"), (1, 901, "user", "y"), (1, 902, "assistant", "d"), (1, 902, "assistant", "e"),
+        (2, 5, "assistant", "first"), (2, -7, "system", None), (3, 4, "assistant", "alone"),
+        (None, 1, "user", "n"), (None, 2, "assistant", "n"),
+    ]
+    talk = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = sorted(map(tuple, chat.with_previous_turn(talk, turns=turns).collect()))
+    assert got == [
+        (1, 2, "assistant", "b", "user", "a"),
+        (1, 900, "assistant", "c", "assistant", "b"),
+        (1, 902, "assistant", "d", "user", "y"),
+        (1, 902, "assistant", "e", "assistant", "d"),
+        (2, 5, "assistant", "first", "system", None),
+    ]
+
+
 def test_history_segments(spark):
     rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(10)]
     rows += [(2, 0, "system", "own"), (2, 1, "user", "hi")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import _col, clean_topic, is_filtered_marker, strip, valid_topic
@@ -84,16 +84,40 @@ def topic_requests(df: DataFrame, reply: str = "topic_reply") -> DataFrame:
     return df.withColumn("topic", clean_topic(reply)).where(valid_topic("topic"))
 
 
-def with_previous_turn(conversations: DataFrame, role: str = "assistant") -> DataFrame:
-    """Messages of ``role`` with the message before: an equi-join on conversation and turn.
+def with_previous_turn(conversations: DataFrame, role: str = "assistant", turns: int = SEGMENT_TURNS) -> DataFrame:
+    """Messages of ``role`` with the last earlier message of their conversation.
 
-    Both sides are unique per key, so a long conversation spreads over all tasks (a window by
-    conversation would put it into one).
+    Messages are ordered by turn, role and text, so turns may have gaps or hold several messages;
+    exact repeats count once, as in the history.  The message before is looked up inside segments
+    of ``turns`` turns, and the last one of a segment is joined to the next segment that has
+    rows: a long conversation spreads over all tasks, only its segment numbers meet in one.
+    Messages without conversation or turn have no place and are left out, and so is the first.
     """
-    before = conversations.select(
-        "conv_id",
-        (F.col("turn") + 1).alias("turn"),
-        F.col("role").alias("prev_role"),
-        F.col("text").alias("prev_text"),
+    unique = conversations.select("conv_id", "turn", "role", "text").distinct()
+    placed = unique.where("conv_id IS NOT NULL AND turn IS NOT NULL").withColumn(
+        "_segment", F.floor(F.col("turn") / turns).cast("bigint")
+    )
+    message = F.struct("turn", "role", "text")
+    last = placed.groupBy("conv_id", "_segment").agg(F.max(message).alias("_handed"))
+    following = placed.select("conv_id", "_segment").distinct().select(
+        "conv_id", "_segment", F.lead("_segment").over(Window.partitionBy("conv_id").orderBy("_segment")).alias("_next")
+    )
+    handed = (
+        last.join(following.where("_next IS NOT NULL"), ["conv_id", "_segment"])
+        .select("conv_id", F.col("_next").alias("_segment"), "_handed")
+    )
+    inside = Window.partitionBy("conv_id", "_segment").orderBy("turn", "role", "text")
+    before = placed.withColumn("_before", F.lag(message).over(inside)).where(F.col("role") == role)
+    return (
+        before.join(handed, ["conv_id", "_segment"], "left")
+        .withColumn("_before", F.coalesce("_before", "_handed"))
+        .where("_before IS NOT NULL")
+        .select(
+            "conv_id",
+            "turn",
+            "role",
+            "text",
+            F.col("_before.role").alias("prev_role"),
+            F.col("_before.text").alias("prev_text"),
+        )
     )
-    return conversations.where(F.col("role") == role).join(before, ["conv_id", "turn"])
