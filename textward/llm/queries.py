@@ -4,11 +4,27 @@ from __future__ import annotations
 
 import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lbl, line_index, mixing, quality_rank, quality_rules, simhash, style_tree, suffix_array, tiling, token_counts
-from .common import read
+from . import (
+    lbl,
+    line_index,
+    mixing,
+    periodic_runs,
+    quality_rank,
+    quality_rules,
+    secret_scan,
+    simhash,
+    spelling,
+    style_tree,
+    suffix_array,
+    tiling,
+    token_counts,
+)
+from ..functions.text import let
+from .common import WORD, read
+from .sql import OP11, OP12, OP13
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +93,85 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of the documents, with letters dropped by rule."""
+    docs = read(spark, sf_dir, "documents")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+
+    def drop_letter(word: Column) -> Column:
+        h = F.crc32(F.concat(name, F.lit(":"), word).cast("binary"))
+        at = (h % F.length(word)).cast("int")
+        cut = F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.length(word)))
+        return F.when(h % 31 == 0, cut).otherwise(word)
+
+    return spelling.variants(spelling.word_counts(docs, change=drop_letter))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of them with a stretch repeated by rule."""
+    docs = read(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+
+    def repeated(w: Column) -> Column:
+        g, n = F.floor(h / 10), F.size(w).cast("bigint")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+
+        def build(c: Column) -> Column:
+            place = lambda i: F.when(i >= c["a"], c["a"] + (i - c["a"]) % c["p"]).otherwise(i).cast("int")
+            return F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, place(i)))
+
+        return F.array_join(let(F.struct(a.alias("a"), p.alias("p")), build), " ")
+
+    # words inside `let` are split once
+    text = F.when((h % 10 == 0) & F.col("text").rlike(WORD), let(words, repeated)).otherwise(F.col("text"))
+    rows = periodic_runs.with_runs(docs.select("doc_id", text.alias("text")))
+    runs = F.col("runs")
+
+    def better(acc: Column, r: Column) -> Column:
+        return F.when(
+            acc.isNull() | (r["length"] * acc["period"] > acc["length"] * r["period"]), r
+        ).otherwise(acc)
+
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    best = F.reduce(runs, none, better)
+    each = F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size(runs) > 0, F.concat(F.array_join(each, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    return rows.select(
+        "doc_id",
+        F.size(runs).cast("bigint").alias("n_runs"),
+        best.alias("best"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts of the known forms, digest, and all spans."""
+    rows = secret_scan.with_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = F.col("secrets")
+    count = lambda kind: F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("bigint")
+    base = secret_scan.listed(found, secret_scan.KINDS[:3])
+    return rows.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(base, 256).alias("base_sha256"),
+        secret_scan.listed(found).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_style_tree": op2_style_tree,
@@ -88,6 +183,9 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -152,4 +250,10 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM r GROUP BY rid, doc_id
 """
 
-ORACLES = {"op3_quality_rules": _OP3, "op5_line_dedup": _OP5}
+ORACLES = {
+    "op3_quality_rules": _OP3,
+    "op5_line_dedup": _OP5,
+    "op11_spelling_variants": OP11,
+    "op12_periodic_runs": OP12,
+    "op13_secret_scan": OP13,
+}
