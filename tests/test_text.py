@@ -220,7 +220,7 @@ def test_sparse_cosine(spark):
 
 
 def test_native_expressions_need_no_python(spark, sf_dir):
-    from conftest import plan_of
+    from plans import plan_of
 
     from textward.plans.registry import QUERIES
 

@@ -63,7 +63,7 @@ def assess_response(
     """One row per response from the rows of :func:`score_pairs`.
 
     ``overall_score`` by ``method`` (an unknown one means the maximum), the best context (first
-    on ties; its start is shown), the flag and the assessment text.  A response without contexts
+    among scores equal at six decimals; its start is shown), the flag and the assessment text.  A response without contexts
     scores 0.  Weights are lengths of whole contexts; ``compat`` weighs by what is shown.
     """
     shown = clip("context", SHOWN_CHARS)
@@ -73,7 +73,9 @@ def assess_response(
         "weighted_average": F.sum(F.col("score") * weight) / F.sum(weight),
     }.get(method, F.max("score"))
     best = F.when(
-        F.col("score").isNotNull(), F.struct("score", (-F.col("pos")).alias("neg_pos"))
+        # at six decimals, so the order of summation decides nothing
+        F.col("score").isNotNull(),
+        F.struct(F.round("score", 6).alias("score"), (-F.col("pos")).alias("neg_pos")),
     )
     out = pairs.groupBy("response_id").agg(
         F.count("score").alias("contexts"),

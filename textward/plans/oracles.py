@@ -622,9 +622,11 @@ SELECT query_id, rank, chunk_id, {r6("distance")} AS distance FROM (
 # --- grounding -----------------------------------------------------------------------------
 
 ORACLES["pair_similarity"] = f"""WITH pairs AS (
-  SELECT c.conv_id || '-' || c.turn AS pid, c.conv_id, c.turn, c.text AS a, p.text AS b
-  FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1
-  WHERE c.role = 'assistant'),
+  SELECT row_number() OVER () AS pid, conv_id, turn, text AS a, prev AS b FROM (
+    SELECT *, lag(text) OVER o AS prev, lag(turn) OVER o AS before
+    FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+    WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text))
+  WHERE role = 'assistant' AND before IS NOT NULL),
 {word_cosine("scored", "pairs", "pid")}
 SELECT conv_id, turn, {r6("score")} AS similarity FROM scored"""
 
@@ -669,7 +671,7 @@ def assessed(overall: str, pairs: str | None = None) -> str:
     return f"""WITH {pairs or contexts(3)},
 per AS (
   SELECT response_id, count(*) AS contexts, {overall} AS overall,
-    first(shown ORDER BY score DESC, pos) AS best FROM scored GROUP BY 1)
+    first(shown ORDER BY round(score, 6) DESC, pos) AS best FROM scored GROUP BY 1)
 SELECT response_id, contexts, {r6("overall")} AS overall_score, md5(best) AS best_md5,
   overall < 0.4::DOUBLE AS is_hallucination,
   CASE {ladder} END AS assessment FROM per"""
