@@ -8,8 +8,8 @@ Fingerprints that meet in a probe are verified on all 64 bits.
 
 Cases: a null or empty text has fingerprint zero and links like any other; rows without id
 take part, a group's id is its smallest id and null if no row has one; repeated rows are one
-fingerprint; an empty table gives an empty result.  The helpers add columns named in their
-docstrings and replace those of the same name.
+fingerprint; an empty table gives an empty result.  ``add_fingerprint`` replaces a column of the
+name it adds; the other helpers give their helper columns names the table does not have.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, binary_column, stage
+from .common import batches, binary_column, fresh_name, stage
 from .components import components
 from .shingles import parts, shingle_offsets, word_offsets, xxh64_slices
 
@@ -265,11 +265,26 @@ def _crowd_links(crowd: DataFrame, tau: int) -> DataFrame:
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     masks = F.array(*[F.lit(signed(x)).cast("bigint") for x in flips(list(range(64)), tau // 2)])
     ball = crowd.select("fp", F.explode(masks).alias("m")).select(
-        "fp", F.col("fp").bitwiseXOR(F.col("m")).alias("key")
+        F.col("fp").bitwiseXOR(F.col("m")).alias("key"), "fp"
     )
-    centre = ball.groupBy("key").agg(F.min("fp").alias("c"), F.count(F.lit(1)).alias("n"))
-    stars = ball.join(centre.where("n > 1"), "key").where("fp <> c")
-    return stars.select(F.col("fp").alias("a"), F.col("c").alias("b")).distinct()
+    # one shuffle and a walk: at most 2,081 values share a key, and no side is built up as a table
+    dealt = ball.repartition("key").sortWithinPartitions("key", "fp")
+    return dealt.mapInArrow(_stars, "a bigint, b bigint").distinct()
+
+
+def _stars(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walk over sorted (key, fp): a link from each fingerprint to the first one of its key."""
+    held: tuple[int, int] | None = None  # key and first fingerprint of the run that may go on
+    for batch in batches(frames):
+        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        start = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+        first = fps[start].copy()
+        if held is not None and held[0] == keys[0]:
+            first[0] = held[1]
+        to = np.repeat(first, np.diff(np.concatenate([start, [len(keys)]])))
+        held = (int(keys[-1]), int(first[-1]))
+        far = fps != to
+        yield pa.RecordBatch.from_arrays([pa.array(fps[far]), pa.array(to[far])], ["a", "b"])
 
 
 def links(prints: DataFrame, tau: int = TAU, m: int = PARTS, crowd: int = CROWD) -> DataFrame:
@@ -287,10 +302,10 @@ def links(prints: DataFrame, tau: int = TAU, m: int = PARTS, crowd: int = CROWD)
 
 
 def groups(rows: DataFrame, key: str = "doc_id", tau: int = TAU, crowd: int = CROWD) -> DataFrame:
-    """(fp, group, component_id, n_first) for each distinct fingerprint of rows (key, fp).
+    """(fp, group, component_id, n_first, has_first) for each distinct fingerprint of rows (key, fp).
 
-    ``group`` is the smallest fingerprint of the group, ``component_id`` its smallest id and
-    ``n_first`` the number of rows with that id.
+    ``group`` is the smallest fingerprint of the group, ``component_id`` its smallest id,
+    ``n_first`` the number of rows with that id, and ``has_first`` whether the fingerprint has one.
     """
     per_id = rows.groupBy("fp", F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("n"))
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("n").alias("n"))
@@ -304,9 +319,9 @@ def groups(rows: DataFrame, key: str = "doc_id", tau: int = TAU, crowd: int = CR
     least = labelled.groupBy("group").agg(F.min(F.struct("f.none", "f.id")).alias("g"))
     same = labelled.join(least, "group").where(F.col("f.id").eqNullSafe(F.col("g.id")))
     sums = same.groupBy("group").agg(F.sum("f.n").alias("n_first"), F.first("g.id").alias("component_id"))
-    return stage(labelled.select("fp", "group").join(sums, "group"), "simhash-groups").select(
-        "fp", "group", "component_id", "n_first"
-    )
+    first = F.col("f.id").eqNullSafe(F.col("component_id")).alias("has_first")
+    out = labelled.join(sums, "group").select("fp", "group", "component_id", "n_first", first)
+    return stage(out, "simhash-groups")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int = TAU, crowd: int = CROWD) -> DataFrame:
@@ -326,13 +341,17 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int =
     Rows that repeat the smallest id are cut to one of them.
     """
     names = df.columns
-    marked = add_fingerprint(df, text, "fp__")
-    prints = stage(marked.select(F.col(key).alias("id"), F.col("fp__").alias("fp")), "simhash")
-    found = groups(prints, "id", tau)
-    named = found.withColumnRenamed("fp", "fp_of__").hint("shuffle_hash")
-    kept = marked.join(named, F.col("fp__") == F.col("fp_of__"))
-    kept = kept.where(F.col(key).eqNullSafe(F.col("component_id")))
-    out = kept.where("n_first = 1").select(*names)
-    if found.where("n_first > 1").isEmpty():
+    fp, near, least, group, n = (fresh_name(df, x) for x in ("fp__", "near__", "least__", "group__", "n__"))
+    marked = add_fingerprint(df, text, fp)
+    prints = stage(marked.select(F.col(key).alias("id"), F.col(fp).alias("fp")), "simhash")
+    first = groups(prints, "id", tau).where("has_first")
+    first = first.select(
+        F.col("fp").alias(near), F.col("component_id").alias(least), F.col("group").alias(group), F.col("n_first").alias(n)
+    )
+    # copies of a text share the fingerprint but not the id, so they spread over the tasks
+    at = (F.col(fp) == F.col(near)) & F.col(key).eqNullSafe(F.col(least))
+    kept = marked.join(first.hint("shuffle_hash"), at)
+    out = kept.where(F.col(n) == 1).select(*names)
+    if first.where(F.col(n) > 1).isEmpty():
         return out
-    return out.unionByName(kept.where("n_first > 1").dropDuplicates(["group"]).select(*names))
+    return out.unionByName(kept.where(F.col(n) > 1).dropDuplicates([group]).select(*names))
