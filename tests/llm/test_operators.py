@@ -95,6 +95,44 @@ def test_crowds_over_small_arrow_batches(spark):
     assert len(got) == 64 and {r.component_id for r in got} == {0}
 
 
+def test_links_of_a_crowd(spark):
+    rng = np.random.default_rng(8)
+    fp = np.zeros(400, np.int64)
+    for i in range(1, len(fp)):  # chains of near values, and some far ones
+        flips = rng.integers(0, 32, rng.choice([2, 4, 9]))
+        fp[i] = np.bitwise_xor.reduce([fp[rng.integers(0, i)], *(1 << f for f in flips.tolist())])
+    fp = np.unique(fp)
+    crowd = spark.createDataFrame([(int(x),) for x in fp], "fp bigint")
+    plan = simhash._crowd_links(crowd, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    try:
+        found = [tuple(r) for r in simhash._crowd_links(crowd, 4).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all((a ^ b).bit_count() <= 4 for a, b in found)
+    linked = {frozenset(x) for x in found}
+    want = brute.groups(fp.tolist(), lambda a, b: (a ^ b).bit_count() <= 4)
+    assert brute.groups(fp.tolist(), lambda a, b: frozenset((a, b)) in linked) == want
+
+
+def test_helper_columns_clash_with_nothing(odd):
+    names = "group component_id n_first has_first f g fp fp__ near__ least__ group__ n__ node root size_ b b__ bucket__ source__ s words left run extra whole open best weight id key"
+    rows = odd.select("doc_id", "text", "source", *[F.lit("clash").alias(x) for x in names.split()])
+    kept = simhash.keep_one(rows)
+    assert kept.columns == rows.columns
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r.doc_id) for r in simhash.keep_one(odd).collect())
+    mixed = mixing.mix(rows)
+    assert set(rows.columns) < set(mixed.columns) and mixed.count() == rows.count()
+    assert {r.doc_id for r in suffix_array.dedup(rows).collect()} == {r.doc_id for r in rows.collect()}
+
+
+def test_no_document_is_mixed_more_often_than_allowed(spark):
+    rows = [(i, "w " * (i % 5), "ab"[i % 2]) for i in range(200)] + [(1000 + i, "", "c") for i in range(20)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert max(r.copies for r in got) <= 3
+
+
 @pytest.mark.parametrize("chunk", [200_000, 3])
 def test_components(spark, chunk):
     random.seed(3)

@@ -81,12 +81,12 @@ def mix(
     than any other behind the shuffle: at most ``BUCKETS`` rows.
     """
     df = df.drop(*[c for c in df.columns if c.lower() in COLUMNS])
-    bucket, src = fresh_name(df, "bucket__"), "source__"
+    bucket, src, b = (fresh_name(df, x) for x in ("bucket__", "source__", "b__"))
     label = F.coalesce(F.col(key).cast("string"), F.lit(""))
     place = F.shiftrightunsigned(F.xxhash64(label, F.lit(seed)), 48)
     docs = df.withColumns({"size": n_words(F.col(text)), bucket: place})
     buckets = stage(
-        docs.groupBy(F.col(source).alias(src), F.col(bucket).alias("b")).agg(
+        docs.groupBy(F.col(source).alias(src), F.col(bucket).alias(b)).agg(
             F.sum("size").alias("words")
         ),
         "mix-buckets",
@@ -112,11 +112,11 @@ def mix(
         }
     )
     own = Window.partitionBy(src)
-    upto = own.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = own.orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for _ in range(FILLS):
         left = F.col("open") - F.coalesce(F.sum(F.when(F.col("extra") == 1, F.col("words"))).over(own), F.lit(0))
         plan = plan.withColumn("left", left)
-        fits = (F.col("extra") == 0) & (F.col("words") <= F.col("left"))
+        fits = (F.col("extra") == 0) & (F.col("words") > 0) & (F.col("words") <= F.col("left"))
         plan = plan.withColumn("run", F.sum(F.when(fits, F.col("words")).otherwise(0)).over(upto))
         plan = plan.withColumn(
             "extra", F.when(fits & (F.col("run") <= F.col("left")), 1).otherwise(F.col("extra"))
@@ -125,17 +125,15 @@ def mix(
     left = F.col("open") - F.coalesce(F.sum(F.when(F.col("extra") == 1, F.col("words"))).over(own), F.lit(0))
     plan = plan.withColumn("left", left)
     near = (F.col("extra") == 0) & (F.col("words") > 0) & (F.col("words") < 2 * F.col("left"))
-    best = F.min(F.when(near & (F.col("whole") < max_epochs), F.struct("words", "b"))).over(own)
+    best = F.min(F.when(near & (F.col("whole") < max_epochs), F.struct("words", F.col(b).alias("b")))).over(own)
     plan = plan.withColumn("best", best)
     plan = plan.withColumn(
-        "extra", F.when(F.col("best.b") == F.col("b"), 1).otherwise(F.col("extra"))
+        "extra", F.when(F.col("best.b") == F.col(b), 1).otherwise(F.col("extra"))
     )
     chosen = plan.select(
-        src, "b", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies")
+        src, b, "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies")
     )
-    at = F.col(source).eqNullSafe(F.col(src)) & (F.col(bucket) == F.col("b"))
-    if source in ("b", src):
-        raise ValueError(f"the source column may not be named {source!r}")
+    at = F.col(source).eqNullSafe(F.col(src)) & (F.col(bucket) == F.col(b))
     out = docs.alias("d").join(chosen.hint("shuffle_hash"), at, "left")
     return out.select(
         *[F.col(f"d.`{c}`") for c in df.columns],

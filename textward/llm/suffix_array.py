@@ -245,24 +245,25 @@ def _sorted_runs(slices: DataFrame, length: int, block: int) -> DataFrame:
 
 
 def _counted_runs(slices: DataFrame, length: int) -> DataFrame:
-    """The same for crowded anchors: each window is a bucket of its own, counted by its digest."""
+    """The same for crowded anchors: each window is a bucket of its own, counted by a digest of 128 bits."""
 
     def windows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames):
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in range(7)]
             for ah, _, alone, t1, t2, first, place, s in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 for i in range(len(s) - length + 1):
-                    d = xxhash.xxh3_64_intdigest(s[i : i + length], ah & 0xFFFF) - (1 << 63)
-                    for c, x in zip(columns, (place - first - i, d, alone, t1, t2, first + i), strict=True):
+                    d = xxhash.xxh3_128_intdigest(s[i : i + length], ah & 0xFFFF)
+                    halves = (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
+                    for c, x in zip(columns, (place - first - i, *halves, alone, t1, t2, first + i), strict=True):
                         c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["o", "d", "alone", "t1", "t2", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["o", "d", "e", "alone", "t1", "t2", "a"])
 
     rows = slices.dropDuplicates(["ah", "d1"]).mapInArrow(
-        windows, "o bigint, d bigint, alone boolean, t1 bigint, t2 bigint, a bigint"
+        windows, "o bigint, d bigint, e bigint, alone boolean, t1 bigint, t2 bigint, a bigint"
     )
     rows = stage(rows, "suffix-windows")
-    twice = rows.groupBy("o", "d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnsRenamed({"o": "o2", "d": "d2"})
-    hits = rows.where("alone").join(twice, (F.col("o") == F.col("o2")) & (F.col("d") == F.col("d2")), "left_semi")
+    twice = rows.groupBy("o", "d", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    hits = rows.where("alone").join(twice, ["o", "d", "e"], "left_semi")
     return hits.select("t1", "t2", "a", F.col("a").alias("b"))
 
 
