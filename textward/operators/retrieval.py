@@ -1,12 +1,18 @@
 """Exact cosine top-k of queries against a chunk store, and what follows from it.
 
-The product of both sides is never built as rows.  Both sides are cut into blocks of bounded
-size by hash of their id; each pair of blocks meets in one task, which works in tiles and hands
-on the best k of each of its queries.  The plan is the same for all sizes.
+The store is cut into blocks of vectors that lie close together: by nearest pivot, by distance
+from it, and by hash where very many lie at one distance.  A block is known by its pivot and by
+the smallest and largest distance from it, so the triangle inequality says how near a query can
+come to any of its vectors.  Every query first looks into its nearest block; the k-th distance
+there rules out the blocks that cannot do better, and only the others see the query.  Inside a
+task one block meets a bounded number of queries, in tiles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,10 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.bands import distance_band, distance_points, strong_enough
+from ..session import stage
 from .skew import join_hot
 
 #: Rows of a block: what a task holds of each side.
 BLOCK_ROWS = 20_000
+#: Cells of the store, and rings of a cell, at most: 2^18 blocks are known to every task (8 MB).
+PIVOTS, RINGS = 256, 1024
+#: Distances of a tile of queries from all blocks.
+_CELLS = 1 << 22
 _QUERY_TILE, _CHUNK_TILE = 1024, 4096
 _SCALE = 1e6  # ranks compare distances at six decimals, then ids
 
@@ -88,7 +99,8 @@ class _Best:
 
 
 def _slim(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key, F.col("embedding").cast("array<double>").alias("embedding"))
+    known = df.where("embedding IS NOT NULL")
+    return known.select(key, F.col("embedding").cast("array<double>").alias("embedding"))
 
 
 def _result_schema(queries: DataFrame, kb: DataFrame) -> T.StructType:
@@ -102,13 +114,194 @@ def _result_schema(queries: DataFrame, kb: DataFrame) -> T.StructType:
     )
 
 
-def _blocks(rows: DataFrame, key: str, own: str, n: int, other: str, n_other: int) -> DataFrame:
-    """Rows with the number of their own block, once for each block of the other side."""
-    return rows.select(
-        "*",
-        F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own),
-        F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other),
+# ---- blocks -------------------------------------------------------------------------------
+
+
+def _points(vectors, zero: int) -> np.ndarray:
+    """Unit vectors with two more axes, on which zero vectors of each side (0, 1) are laid.
+
+    A zero vector is at cosine distance 1 from everything; so it is here, and for all points
+    half the squared distance is the cosine distance.
+    """
+    unit = _unit(vectors)
+    out = np.concatenate([unit, np.zeros((len(unit), 2))], axis=1)
+    out[~unit.any(axis=1), unit.shape[1] + zero] = 1.0
+    return out
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of unit points."""
+    return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Pivots, and for every block its pivot, least and largest distance from it, and rows."""
+
+    pivots: np.ndarray
+    cell: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    rows: np.ndarray
+
+    def tiles(self, vectors) -> Iterator[tuple[slice, np.ndarray]]:
+        """Distances of queries (a tile at a time) from the pivot of every block."""
+        points = _points(vectors, 0)
+        step = max(1, _CELLS // max(1, len(self.cell)))
+        for lo in range(0, len(points), step):
+            at = slice(lo, min(len(points), lo + step))
+            yield at, _apart(points[at], self.pivots)[:, self.cell]
+
+    def nearest(self, vectors, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the block that must be near, and a bound on its k-th cosine distance."""
+        home, bound = np.zeros(len(vectors), np.int64), np.full(len(vectors), np.inf)
+        for at, apart in self.tiles(vectors):
+            most = apart + self.high
+            order = np.argsort(most, axis=1, kind="stable")
+            enough = np.cumsum(self.rows[order], axis=1) >= k
+            last = np.take_along_axis(order, enough.argmax(axis=1)[:, None], 1)
+            upto = np.take_along_axis(most, last, 1)[:, 0]
+            home[at] = order[:, 0]
+            bound[at] = np.where(enough.any(axis=1), upto * upto / 2.0, np.inf)
+        return home, bound
+
+    def within(self, vectors, bound: np.ndarray) -> list[np.ndarray]:
+        """For each query the blocks that can hold a vector within its bound (ties included)."""
+        out = []
+        for at, apart in self.tiles(vectors):
+            least = np.maximum(0.0, np.maximum(apart - self.high, self.low - apart))
+            may = least * least / 2.0 <= bound[at, None] + 2.0 / _SCALE
+            out += [np.flatnonzero(m) for m in may]
+        return out
+
+
+def _located(kb: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Chunks with their nearest pivot ``cell`` and the distance ``r`` from it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in frames:
+            if len(part):
+                apart = _apart(_points(part["embedding"], 1), pivots)
+                cell = apart.argmin(axis=1)
+                yield part.assign(cell=cell, r=apart[np.arange(len(part)), cell])
+
+    schema = T.StructType([*kb.schema.fields, T.StructField("cell", T.LongType()), T.StructField("r", T.DoubleType())])
+    return kb.mapInPandas(run, schema)
+
+
+def build_blocks(kb: DataFrame, n: int, block_rows: int) -> tuple[DataFrame, Blocks]:
+    """Chunks ``(chunk_id, embedding, block)`` and what is known of every block.
+
+    Pivots are the chunks with the smallest hashes, at most ``PIVOTS``; a cell is cut into at
+    most ``RINGS`` rings by distance, so the lists on the driver are bounded; a ring with more
+    than ``block_rows`` rows (equal vectors, or a very large store) is cut by hash of the id.
+    """
+    spark = kb.sparkSession
+    first = kb.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(min(PIVOTS, -(-n // block_rows)))
+    pivots = _points([r["embedding"] for r in first.collect()], 1)
+    located = stage(_located(kb, pivots), "topk-chunks")
+
+    part = lambda n: min(RINGS, -(-n // block_rows))
+    largest = located.groupBy("cell").count().agg(F.max("count")).first()[0]
+    steps = [i / part(largest) for i in range(1, part(largest))] or [0.5]
+    cells = located.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("r", steps, 10000).alias("q"))
+    cuts = []
+    for row in cells.collect():
+        m = part(row["n"])
+        at = [round(j * (len(steps) + 1) / m) - 1 for j in range(1, m)]
+        cuts.append((row["cell"], sorted({row["q"][min(i, len(steps) - 1)] for i in at})))
+    cuts = F.broadcast(spark.createDataFrame(cuts, "cell bigint, cuts array<double>"))
+    ring = F.size(F.filter("cuts", lambda x: x < F.col("r")))
+    ringed = located.join(cuts, "cell").withColumn("ring", ring).drop("cuts")
+
+    known = ringed.groupBy("cell", "ring").agg(
+        F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")
     )
+    rows, table = [], []
+    for x in sorted(known.collect(), key=lambda x: (x["cell"], x["ring"])):
+        parts = -(-x["n"] // block_rows)
+        table.append((x["cell"], x["ring"], len(rows), parts))
+        rows += [(x["cell"], x["low"], x["high"], x["n"] // parts)] * parts
+    numbers = F.broadcast(spark.createDataFrame(table, "cell bigint, ring int, first bigint, parts int"))
+    own = (F.col("first") + F.pmod(F.xxhash64("chunk_id"), F.col("parts"))).cast("bigint")
+    chunks = ringed.join(numbers, ["cell", "ring"]).select("chunk_id", "embedding", own.alias("block"))
+    cell, low, high, size = (np.array(x) for x in zip(*rows, strict=True))
+    # parts by hash may hold fewer rows than their share; a bound must not count on them
+    split = np.array([t[3] for t in table]).repeat([t[3] for t in table]) > 1
+    return chunks, Blocks(pivots, cell, low, high, np.where(split, 0, size))
+
+
+# ---- search -------------------------------------------------------------------------------
+
+
+def _search(needs: DataFrame, chunks: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """The best k of each block for the queries ``(query_id, embedding, block)`` that need it.
+
+    A block is copied once for every ``block_rows`` queries that need it, and queries go to one
+    copy each.
+    """
+    asked = needs.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    copies = asked.select("block", F.ceil(F.col("n") / block_rows).cast("int").alias("copies"))
+    copies = F.broadcast(stage(copies, "topk-copies"))  # a row for each block, which are bounded
+    left = needs.join(copies, "block").withColumn("copy", F.pmod(F.xxhash64("query_id"), F.col("copies")))
+    right = chunks.join(copies, "block").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    right = right.withColumn("copy", F.col("copy").cast("bigint"))
+
+    def match(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        best = _Best(len(ours), k)
+        if len(ours):
+            unit = _unit(ours["embedding"])
+            for lo in range(0, len(theirs), _CHUNK_TILE):
+                part = theirs.iloc[lo : lo + _CHUNK_TILE]
+                best.offer(unit, part["chunk_id"].to_numpy(), _unit(part["embedding"]))
+        return best.frame(ours["query_id"].to_numpy())
+
+    pairs = left.drop("copies").groupBy("block", "copy").cogroup(right.drop("copies").groupBy("block", "copy"))
+    return pairs.applyInPandas(match, _result_schema(needs, chunks))
+
+
+def _homes(queries: DataFrame, blocks: Blocks, k: int) -> DataFrame:
+    """Queries with the block they look into first and a bound on their k-th distance."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in frames:
+            if len(part):
+                home, bound = blocks.nearest(part["embedding"], k)
+                yield part.assign(block=home, bound=bound)
+
+    schema = T.StructType([*queries.schema.fields, T.StructField("block", T.LongType()), T.StructField("bound", T.DoubleType())])
+    return queries.mapInPandas(run, schema)
+
+
+def _others(homes: DataFrame, found: DataFrame, blocks: Blocks, k: int) -> DataFrame:
+    """Queries with the further blocks that can still improve on what was found."""
+    last = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_last"))
+    bound = F.least("bound", F.when(F.col("_n") >= k, F.col("_last")))
+    known = homes.join(last, "query_id", "left").select("query_id", "embedding", "block", bound.alias("bound"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in frames:
+            if len(part):
+                may = blocks.within(part["embedding"], part["bound"].to_numpy())
+                more = [m[m != h] for m, h in zip(may, part["block"], strict=True)]
+                yield part[["query_id", "embedding"]].assign(blocks=more)
+
+    fields = [homes.schema["query_id"], homes.schema["embedding"], T.StructField("blocks", T.ArrayType(T.LongType()))]
+    return known.mapInPandas(run, T.StructType(fields))
+
+
+def _candidates(queries: DataFrame, kb: DataFrame, k: int, block_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """``(query_id, chunk_id, rank_key, distance)`` with the best k of all blocks that matter, and
+    ``(query_id, blocks)`` of what was looked at after the first block."""
+    n = kb.count()
+    if n <= block_rows:  # one block: nothing can be ruled out
+        return _search(queries.withColumn("block", F.lit(0).cast("bigint")), kb.withColumn("block", F.lit(0).cast("bigint")), k, block_rows), None
+    chunks, blocks = build_blocks(kb, n, block_rows)
+    homes = stage(_homes(queries, blocks, k), "topk-homes")
+    found = stage(_search(homes, chunks, k, block_rows), "topk-first")
+    others = stage(_others(homes, found, blocks, k), "topk-others")
+    needs = others.select("query_id", "embedding", F.explode("blocks").alias("block"))
+    return found.unionByName(_search(needs, chunks, k, block_rows)), others
 
 
 def kb_topk(
@@ -121,37 +314,32 @@ def kb_topk(
     """``(query_id, rank, chunk_id, distance)``: the k nearest chunks of every query.
 
     ``queries`` holds ``(query_id, embedding)``, ``kb`` ``(chunk_id, embedding)``.  Order is by
-    distance at six decimals, then id; rows without embedding take no part.  Both sides are
-    counted first (which computes no embeddings).  A task holds one block of each side and a
-    tile of distances, about 150 MB at 64 dimensions, whatever the sizes.
+    distance at six decimals, then id; rows without embedding take no part.  A task holds one
+    block, as many queries and a tile of distances, about 150 MB at 64 dimensions, whatever the
+    sizes.
     """
     q, c = _slim(queries, "query_id"), _slim(kb, "chunk_id")
-    schema = _result_schema(q, c)
-    n_q = max(1, -(-queries.count() // block_rows))
-    n_c = max(1, -(-kb.count() // block_rows))
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = (x.dropna(subset=["embedding"]) for x in (left, right))
-        best = _Best(len(left), k)
-        if len(left):
-            unit = _unit(left["embedding"])
-            for lo in range(0, len(right), _CHUNK_TILE):
-                part = right.iloc[lo : lo + _CHUNK_TILE]
-                best.offer(unit, part["chunk_id"].to_numpy(), _unit(part["embedding"]))
-        return best.frame(left["query_id"].to_numpy())
-
-    left = _blocks(q, "query_id", "qb", n_q, "cb", n_c).groupBy("qb", "cb")
-    right = _blocks(c, "chunk_id", "cb", n_c, "qb", n_q).groupBy("qb", "cb")
-    partial = left.cogroup(right).applyInPandas(match, schema)
+    candidates, _ = _candidates(q, c, k, block_rows)
     order = Window.partitionBy("query_id").orderBy("rank_key", "chunk_id")
     top = (
-        partial.withColumn("rank", F.row_number().over(order))
+        candidates.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "chunk_id", "distance")
     )
     return top if max_distance is None else top.where(F.col("distance") <= max_distance)
 
 
+def block_pairs(queries: DataFrame, kb: DataFrame, k: int = 3, block_rows: int = BLOCK_ROWS) -> dict[str, int]:
+    """How many pairs of a query and a block there are, and how many a search leaves out."""
+    q, c = _slim(queries, "query_id"), _slim(kb, "chunk_id")
+    _, others = _candidates(q, c, k, block_rows)
+    if others is None:
+        return {"pairs": q.count(), "skipped": 0}
+    n = build_blocks(c, c.count(), block_rows)[1].cell.size
+    looked, asked = others.agg(F.sum(F.size("blocks") + 1), F.count(F.lit(1))).first()
+    return {"pairs": n * asked, "skipped": n * asked - (looked or 0)}
+
+
 def rate_hits(hits: DataFrame) -> DataFrame:
     """Add ``points`` and ``band`` for the distance of each hit."""
     return hits.withColumns(

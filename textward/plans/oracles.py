@@ -630,6 +630,34 @@ ORACLES["pair_similarity"] = f"""WITH pairs AS (
 {word_cosine("scored", "pairs", "pid")}
 SELECT conv_id, turn, {r6("score")} AS similarity FROM scored"""
 
+
+
+def sparse_scores(left: str, right: str, low: float) -> str:
+    """CTE ``scored(l, r, score)`` of two queries of (id, text): all pairs that share a word."""
+    return f"""l_words AS (
+  SELECT id, w, count(*) AS n FROM (SELECT id, unnest({tokens("text")}) AS w FROM ({left})) GROUP BY ALL),
+r_words AS (
+  SELECT id, w, count(*) AS n FROM (SELECT id, unnest({tokens("text")}) AS w FROM ({right})) GROUP BY ALL),
+l_size AS (SELECT id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS s FROM l_words GROUP BY 1),
+r_size AS (SELECT id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS s FROM r_words GROUP BY 1),
+products AS (
+  SELECT x.id AS l, y.id AS r, CAST(sum(x.n * y.n) AS DOUBLE) AS s FROM l_words x JOIN r_words y USING (w) GROUP BY ALL),
+scored AS (
+  SELECT * FROM (SELECT l, r, p.s / (a.s * b.s) AS score FROM products p
+    JOIN l_size a ON a.id = l JOIN r_size b ON b.id = r) WHERE round(score, 6) >= {low}::DOUBLE)"""
+
+
+ORACLES["sparse_topk"] = f"""WITH {sparse_scores(
+    "SELECT conv_id || '-' || turn AS id, text FROM conversations WHERE role = 'assistant'",
+    "SELECT item_id AS id, text FROM benchmark", registry.SPARSE_SCORE)},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY round(score, 6) DESC, r) AS rank FROM scored)
+SELECT l AS response_id, rank, r AS chunk_id, {r6("score")} AS score FROM ranked WHERE rank <= 3"""
+
+ORACLES["sparse_pairs"] = f"""WITH {sparse_scores(
+    "SELECT doc_id AS id, text FROM documents",
+    "SELECT doc_id AS id, text FROM documents JOIN labels USING (doc_id) WHERE quality = 1", 0.9)}
+SELECT l AS doc_id, count(*) AS close, {r6("max(score)")} AS closest FROM scored WHERE l <> r GROUP BY 1"""
+
 ORACLES["dense_similarity"] = f"""WITH {_VECTORS}
 SELECT query_id, {r6("list_cosine_similarity(e, v)")} AS similarity
 FROM mixed JOIN vectors ON vec_id = query_id"""

@@ -19,7 +19,7 @@ from ..functions.vectors import (
     sparse_cosine,
 )
 from ..operators import chat, evalset, gates, grounding, kb, metrics, models, pii, retrieval, rules
-from ..operators import scores
+from ..operators import scores, sparse
 from ..schemas import CONVERSATIONS, DOCUMENTS, EVENTS
 from ..session import scratch_dir, stage
 from ..sources import logs, sinks, tables
@@ -48,6 +48,8 @@ OVERALL = ScreeningPolicy(
     weight_overall=0.7,
     reword_factor=0.9,
 )
+#: Least cosine of words at which a passage counts as close to an answer.
+SPARSE_SCORE = 0.2
 COMPAT = ScreeningPolicy(name="compat", mode="compat", enable_reword=False)
 
 
@@ -597,6 +599,33 @@ def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The passages closest in words to every answer, found by postings."""
+    answers = inputs.responses(spark, d).select(
+        F.col("response_id").alias("id"), F.col("response").alias("text")
+    )
+    store = fixture(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return sparse.sparse_topk(answers, store, 3, SPARSE_SCORE).select(
+        F.col("left_id").alias("response_id"),
+        long("rank").alias("rank"),
+        F.col("right_id").alias("chunk_id"),
+        r6("score").alias("score"),
+    )
+
+
+@query
+def sparse_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents are close in words to how many others."""
+    docs = inputs.documents(spark, d).select(F.col("doc_id").alias("id"), "text")
+    labelled = fixture(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
+    good = docs.join(labelled.where("quality = 1"), "id").select("id", "text")
+    pairs = sparse.sparse_pairs(docs, good, 0.9).where("left_id <> right_id")
+    return pairs.groupBy(F.col("left_id").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("close"), r6(F.max("score")).alias("closest")
+    )
+
+
 @query
 def dense_similarity(spark: SparkSession, d: str) -> DataFrame:
     queries = inputs.mixed_queries(spark, d).withColumnRenamed("embedding", "q")
