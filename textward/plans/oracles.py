@@ -302,6 +302,23 @@ ORACLES["detections_by_rule"] = f"WITH {DOCS}\n" + "\nUNION ALL\n".join(
     for r in _ALL
 )
 
+_PIECE = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
+ORACLES["term_detections"] = rf"""WITH p AS (
+  SELECT doc_id, i, p[i] AS a, p[i + 1] AS gap, p[i + 2] AS b FROM (
+    SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(lower(text), '{_PIECE}+|[^{_PIECE[1:]}+') AS p FROM documents))),
+said AS (
+  SELECT p[i] AS a, p[i + 1] AS gap, p[i + 2] AS b FROM (
+    SELECT p, unnest(range(1, len(p) - 1)) AS i FROM (
+      SELECT regexp_extract_all(lower(text), '{_PIECE}+|[^{_PIECE[1:]}+') AS p FROM benchmark))),
+pairs AS (SELECT DISTINCT a, b FROM said WHERE gap = ' ' AND a <> b),
+hits AS (
+  SELECT doc_id, 'word' AS rule, a AS hit FROM p WHERE length(a) >= 8 AND regexp_matches(a, '^{_PIECE}+$')
+  UNION ALL SELECT doc_id, 'pair', a || ' ' || b FROM p JOIN pairs USING (a, b) WHERE gap = ' ')
+SELECT doc_id, count(hit) FILTER (WHERE rule = 'word') AS words, count(hit) FILTER (WHERE rule = 'pair') AS pairs,
+  md5(coalesce(string_agg(hit, '|' ORDER BY encode(hit)), '')) AS matches_md5
+FROM documents LEFT JOIN hits USING (doc_id) GROUP BY doc_id"""
+
 # --- personal data -------------------------------------------------------------------------
 
 ORACLES["pii_entities"] = f"""WITH {TEXTS}, {spans("texts", "text_id")}

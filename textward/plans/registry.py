@@ -19,7 +19,7 @@ from ..functions.vectors import (
     sparse_cosine,
 )
 from ..operators import chat, evalset, gates, grounding, kb, metrics, models, pii, retrieval, rules
-from ..operators import scores, sparse
+from ..operators import scores, sparse, terms
 from ..schemas import CONVERSATIONS, DOCUMENTS, EVENTS
 from ..session import scratch_dir, stage
 from ..sources import logs, sinks, tables
@@ -106,6 +106,35 @@ def detections_by_rule(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def term_detections(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of a large catalogue: the longer words of all texts, and word pairs of the passages."""
+    cut = lambda c: F.array_distinct(F.transform(terms.pieces(c), F.lower))
+    words = inputs.documents(spark, d).select(F.explode(cut("text")).alias("term"))
+    words = words.where("length(term) >= 8 AND term RLIKE '(?U)^\\\\w+$'").distinct()
+    said = fixture(spark, d, "benchmark").select(terms.pieces(F.lower("text")).alias("p"))
+    triples = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("p") - 2, F.lit(1))), lambda i: F.slice("p", i, 3)
+    )
+    pairs = said.select(F.explode(triples).alias("t")).where("t[1] = ' ' AND t[0] <> t[2]")
+    pairs = pairs.select(F.array_join("t", "").alias("term")).distinct()
+    both = words.select("term", F.lit("word").alias("rule")).unionAll(
+        pairs.select("term", F.lit("pair").alias("rule"))
+    )
+    catalogue = both.select(
+        F.xxhash64("rule", "term").alias("position"), F.lit("any").alias("language"), "rule", "term"
+    )
+    found = terms.detect_terms(inputs.documents(spark, d), stage(catalogue, "terms"))
+    of = lambda rule: F.filter("detections", lambda h: h["rule"] == rule)
+    matches = F.array_sort(F.transform("detections", lambda h: F.lower(h["match"])))
+    return found.select(
+        "doc_id",
+        long(F.size(of("word"))).alias("words"),
+        long(F.size(of("pair"))).alias("pairs"),
+        F.md5(F.array_join(matches, "|")).alias("matches_md5"),
+    )
+
+
 # --- personal data -------------------------------------------------------------------------
 
 
