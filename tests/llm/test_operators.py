@@ -199,6 +199,41 @@ def test_repeated_parts_of_articles_stay(spark):
     assert style_tree.main_text("<body><article><p>a<nav>b</nav></article><p>c", frozenset(["/body/article/p"])) == "a"
 
 
+def test_story_beside_teasers_and_names_that_say_little():
+    story = "<div><h1>Head</h1><p>the whole main story of the page</p></div>"
+    assert style_tree.main_text(f"{story}<article class=card>Teaser</article>") == "Head the whole main story of the page"
+    kept = "".join(f'<div class="{c}"><p>{c} text</p></div>' for c in ("share-price", "search-results", "notice-board", "formula"))
+    gone = "".join(f'<div class="{c}"><p>gone</p></div>' for c in ("related-posts", "share-buttons", "comments-area", "cookie-notice box"))
+    assert style_tree.main_text(f"<article>{kept}{gone}</article>") == "share-price text search-results text notice-board text formula text"
+
+
+def test_different_branches_stay_apart():
+    def paths(markup):
+        return {path for path, _, _ in style_tree.Page(markup).blocks()}
+
+    deep = "<div>" * 100 + "{}" + "</div>" * 100
+    assert len(paths(deep.format("<p>a</p><div>b<div>c</div></div>"))) == 3
+    assert len(paths("<p class='a b c d e'>x</p><p class='a b c d f'>y</p>")) == 2
+    long = "z" * 200
+    assert len(paths(f"<p class={long}a>x</p><p class={long}b>y</p>")) == 2
+    assert all(len(x) < 100 * 40 for x in paths("<div>" * 5000 + "x"))
+
+
+def test_boxes_of_a_host_go_from_articles(spark):
+    def page(i, kind):
+        box = "<div class=k1><p>Get the app for your phone today</p><ul><li>one</li><li>two</li></ul></div>"
+        body = f"<h2>Method</h2><p>Dish {i} needs {i * 7} eggs</p>{box}<p>And {i * 3} spoons, at {i * 11} degrees</p>"
+        return f"<body><div class=x1><span>Start page of the kitchen</span></div>{kind.format(body)}</body>"
+
+    kinds = ["<article>{}</article>", "<div class=m>{}</div>"]
+    rows = [(100 * k + i, f"http://h{k}.example/{i}", page(i, x)) for k, x in enumerate(kinds) for i in range(20)]
+    got = {r.page_id: r for r in style_tree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(20):
+        prose = f"Dish {i} needs {i * 7} eggs And {i * 3} spoons, at {i * 11} degrees"
+        assert got[i].text == got[100 + i].text == f"Method {prose}"
+        assert got[i].by_tree >= 4 and got[i].by_prior == 0
+
+
 def test_articles_of_table(spark, sf_dir):
     import html
     import re

@@ -34,7 +34,9 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return style_tree.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return style_tree.extract(read(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", "n_chars", "by_tree", "by_prior"
+    )
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,15 +5,19 @@ classes; its style nodes are the sequences of children it has, and its content i
 its blocks and its links.  An element whose pages all look alike has a low presentation
 importance, one whose content repeats over the pages a low content importance (both by
 entropy); the composite of a branch weighs the two.  Branches that are low from top to bottom
-are removed from every page, and so are those that their tag or class declares to be no part
-of an article, whose importance is 0.  Inline elements are judged with the block they stand in,
-and below an article or main only declared branches go.  Pages that share the text of their largest element count once, so
+are removed from every page.  Containers are judged, inside articles too, and what stands in them
+goes with them: a heading that many articles share stays while a box that repeats goes.  Pages that share the text of their largest element count once, so
 copies of an article do not look like boilerplate.  For hosts with few pages the tree of all
 hosts decides.
 
+Tags and names that declare an element to be no part of an article are a prior of importance 0:
+they remove what the tree cannot tell, on hosts with few pages, and comments, which differ from
+page to page.  Of what is left, the articles are the page if they hold at least half of the text;
+otherwise they are teasers, and the rest is.  The result says how many blocks went either way.
+
 Cases: null or empty html gives an empty text; broken markup is read as far as it goes; a null
 or odd url belongs to the host ""; repeated rows get equal texts; an empty table gives an empty
-result.  Columns of the input are kept, ``text`` and ``n_chars`` replace those of that name.
+result.  Columns of the input are kept; the added ones (``ADDED``) replace those of their names.
 """
 
 from __future__ import annotations
@@ -35,7 +39,11 @@ THRESHOLD = 0.4
 GAMMA = 0.9
 #: Pages that a host (or all hosts) must have of a branch to judge it.
 MIN_PAGES = 8
+#: Steps of a path that are spelled out; the steps above become a digest, so branches stay apart.
 MAX_DEPTH = 40
+#: Characters of a step that are spelled out, likewise.
+MAX_LABEL = 80
+ADDED = ("text", "n_chars", "by_tree", "by_prior")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
@@ -72,12 +80,27 @@ _NOISE_WORDS = frozenset(
     "search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 _HEADER_WORDS = frozenset("header masthead".split())
-_PAGE_WORDS = frozenset("site page main global top bottom left right user reader post article blog the".split())
+#: Words that say nothing about what an element is for.
+_PLAIN_WORDS = frozenset(
+    "site page main global top bottom left right user reader post posts article articles blog the "
+    "box boxes block blocks list bar bars wrap wrapper container section area areas link links button "
+    "buttons item items inner outer content slot unit primary secondary column col row card desktop "
+    "mobile fixed sticky text title head body group panel region zone widgets icons icon us".split()
+)
 _ARTICLE = frozenset(["article", "main"])
+#: Elements that are judged; paragraphs and headings go with the one they stand in.
+_CONTAINERS = frozenset(
+    "div section ul ol dl table figure details fieldset center nav aside footer header form article".split()
+)
+KEPT, BY_TREE, BY_PRIOR = 0, 1, 2
 
 
 def _declared(tag: str, names: list[str], role: str, inside: bool) -> bool:
-    """True if tag, class, id or role say that an element is no part of an article."""
+    """True if tag, class, id or role say that an element is no part of an article.
+
+    A name counts if it has a word for such a part and otherwise only words that say nothing:
+    ``related-posts`` does, ``share-price`` does not.
+    """
     if tag in _NOISE_TAGS or role in _NOISE_ROLES:
         return True
     if tag in ("html", "body") or tag in _ARTICLE:
@@ -86,8 +109,8 @@ def _declared(tag: str, names: list[str], role: str, inside: bool) -> bool:
     if tag == "header":
         return not inside
     for name in names:
-        segments = [x for x in re.split(r"[^a-z]+", name) if x]
-        if segments and (segments[0] in words or segments[-1] in words and segments[0] in _PAGE_WORDS):
+        segments = {x for x in re.split(r"[^a-z]+", name) if x}
+        if segments & words and segments <= words | _PLAIN_WORDS:
             return True
     return False
 
@@ -95,24 +118,25 @@ def _declared(tag: str, names: list[str], role: str, inside: bool) -> bool:
 class Page:
     """Blocks and elements of a page in one walk over its markup.
 
-    ``texts``: (path, declared noise, inside an article, raw text) in page order, where None
-    as a text ends a block.  ``styles``: (path, children) of each closed element.  ``links``:
-    (path, target).
+    ``texts``: (path, state, inside an article, raw text) in page order, where None as a text
+    ends a block; the state is one of ``KEPT``, ``BY_TREE`` (below a branch of ``noise``) and
+    ``BY_PRIOR``.  ``styles``: (path, children) of each closed element.  ``links``: (path, target).
     """
 
-    def __init__(self, markup: str):
-        self.texts: list[tuple[str, bool, bool, str | None]] = []
+    def __init__(self, markup: str, noise: frozenset[str] = frozenset()):
+        self.noise = noise
+        self.texts: list[tuple[str, int, bool, str | None]] = []
         self.styles: list[tuple[str, str]] = []
         self.links: list[tuple[str, str]] = []
-        # open elements: tag, path, declared noise, inside an article, children
-        self.open: list[tuple[str, str, bool, bool, list[str]]] = [("", "", False, False, [])]
+        # open elements: tag, path, state, inside an article, children
+        self.open: list[tuple[str, str, int, bool, list[str]]] = [("", "", KEPT, False, [])]
         self._walk(markup)
         while len(self.open) > 1:
             self._close()
 
     def _text(self, raw: str | None) -> None:
-        _, path, noise, inside, _ = self.open[-1]
-        self.texts.append((path, noise, inside, raw))
+        _, path, state, inside, _ = self.open[-1]
+        self.texts.append((path, state, inside, raw))
 
     def _close(self) -> None:
         tag, path, _, _, children = self.open.pop()
@@ -144,8 +168,10 @@ class Page:
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
                 found.setdefault(name.lower(), (a or b or c).lower())
         names = (found.get("class", "") + " " + found.get("id", "")).split()
-        label = ".".join([tag, *sorted({re.sub(r"\d+", "#", n) for n in names})[:4]])[:80].replace("/", "|")
-        _, path, noise, inside, children = self.open[-1]
+        label = ".".join([tag, *sorted({re.sub(r"\d+", "#", n) for n in names})]).replace("/", "|")
+        if len(label) > MAX_LABEL:
+            label = f"{label[: MAX_LABEL - 20]}~{_digest(label) & _MASK:x}"
+        _, path, state, inside, children = self.open[-1]
         if not children or children[-1] != label:
             children.append(label)
         if tag not in _INLINE:
@@ -154,11 +180,14 @@ class Page:
             self.links.append((f"{path}/{label}", found["href"]))
         if tag in _VOID:
             return
-        inside_now = inside or tag in _ARTICLE
-        noise = noise or _declared(tag, names, found.get("role", ""), inside)
-        # beyond the depth limit an element shares the path of its parent
-        path = f"{path}/{label}" if len(self.open) <= MAX_DEPTH else path
-        self.open.append((tag, path, noise, inside_now, []))
+        if len(self.open) % MAX_DEPTH == 0:
+            path = f"/~{_digest(path) & _MASK:x}"
+        path = f"{path}/{label}"
+        if state == KEPT and tag in _CONTAINERS and path in self.noise:
+            state = BY_TREE
+        if state == KEPT and _declared(tag, names, found.get("role", ""), inside):
+            state = BY_PRIOR
+        self.open.append((tag, path, state, inside or tag in _ARTICLE, []))
 
     def _end(self, tag: str) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -193,17 +222,17 @@ class Page:
                 if self.open[-1][0] == tag:
                     self._close()
 
-    def blocks(self) -> Iterator[tuple[str, bool, str]]:
-        """(path, declared noise, text) of every block with text."""
-        for path, noise, _, text in _joined(self.texts):
-            yield path, noise, text
+    def blocks(self) -> Iterator[tuple[str, int, str]]:
+        """(path, state, text) of every block with text."""
+        for path, state, _, text in _joined(self.texts):
+            yield path, state, text
 
 
-def _joined(texts) -> Iterator[tuple[str, bool, bool, str]]:
+def _joined(texts) -> Iterator[tuple[str, int, bool, str]]:
     """Pieces between block ends, white space turned into one space; empty blocks are left out."""
     pieces: list[str] = []
-    head: tuple[str, bool, bool] = ("", False, False)
-    for path, noise, inside, raw in [*texts, ("", False, False, None)]:
+    head: tuple[str, int, bool] = ("", KEPT, False)
+    for path, state, inside, raw in [*texts, ("", KEPT, False, None)]:
         if raw is None:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
@@ -211,37 +240,32 @@ def _joined(texts) -> Iterator[tuple[str, bool, bool, str]]:
             pieces = []
         else:
             if not any(p.strip() for p in pieces):
-                head = (path, noise, inside)
+                head = (path, state, inside)
             pieces.append(raw)
 
 
+_MASK = (1 << 64) - 1
+
+
 def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def _judged(path: str, inside: bool) -> Iterator[str]:
-    """The branches above a text that may be learned noise: none below an article or main."""
-    steps = path.split("/")
-    for k in range(2, len(steps) + 1):
-        yield "/".join(steps[:k])
-        if inside and steps[k - 1].split(".")[0] in _ARTICLE:
-            return
+def judged_text(markup: str, noise: frozenset[str] = frozenset()) -> tuple[str, int, int]:
+    """The main text of a page, and how many blocks the tree and the prior took out."""
+    page = Page(markup, noise)
+    # elements of other states end no block of the text, and inline ones may stand inside it
+    kept = [x for x in page.texts if x[1] == KEPT or x[3] is None]
+    blocks = list(_joined(kept))
+    size = {side: sum(len(b[3]) for b in blocks if b[2] == side) for side in (True, False)}
+    chosen = [b[3] for b in blocks if b[2] == (size[True] >= size[False] and size[True] > 0)]
+    gone = [state for _, state, _, _ in _joined(page.texts)]
+    return " ".join(chosen), gone.count(BY_TREE), gone.count(BY_PRIOR)
 
 
 def main_text(markup: str, noise: frozenset[str] = frozenset()) -> str:
-    """The blocks of a page that are no noise; of its article only, if it has one with text."""
-    page = Page(markup)
-    kept, cache = [], {}
-    for path, declared, inside, raw in page.texts:
-        if not declared and noise:
-            if (path, inside) not in cache:
-                cache[path, inside] = any(x in noise for x in _judged(path, inside))
-            declared = cache[path, inside]
-        if raw is None or not declared:
-            kept.append((path, False, inside, raw))
-    blocks = list(_joined(kept))
-    article = [b for b in blocks if b[2]]
-    return " ".join(b[3] for b in (article or blocks))
+    """The main text of a page."""
+    return judged_text(markup, noise)[0]
 
 
 def host(url: Column) -> Column:
@@ -335,7 +359,7 @@ def _branches(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def noise_branches(pages: DataFrame, url: str = "url", markup: str = "html", threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, paths): the branches that go from the pages of a host; no inline elements."""
+    """(host, paths): the branches that go from the pages of a host; containers only."""
     seen = stage(tree_rows(pages, url, markup).distinct(), "tree-rows")
     by_host = stage(seen.groupBy("host", "path", "style", "value").agg(F.count(F.lit(1)).alias("n")), "tree-values")
     m_host = seen.groupBy("host", "path").agg(F.countDistinct("page").alias("m"))
@@ -350,12 +374,13 @@ def noise_branches(pages: DataFrame, url: str = "url", markup: str = "html", thr
     low = lambda x: (F.col("importance" + x) < threshold) & (F.col("most" + x) < threshold)
     gone = F.when(enough, low("")).otherwise((F.col("m_all") >= min_pages) & low("_all"))
     tag = F.substring_index(F.substring_index("path", "/", -1), ".", 1)
-    return both.where(gone & ~tag.isin(*sorted(_INLINE))).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    return both.where(gone & tag.isin(*sorted(_CONTAINERS))).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
 
 
 def extract(df: DataFrame, url: str = "url", markup: str = "html", threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
-    """All columns but the markup, with the main text and its number of code points."""
-    df = df.drop(*[c for c in df.columns if c.lower() in ("text", "n_chars") and c not in (url, markup)])
+    """All columns but the markup, with the main text, its number of code points, and the number
+    of blocks that the tree (``by_tree``) and only the prior (``by_prior``) took out."""
+    df = df.drop(*[c for c in df.columns if c.lower() in ADDED and c not in (url, markup)])
     at, list_ = fresh_name(df, "host__"), fresh_name(df, "paths__")
     noise = stage(noise_branches(df, url, markup, threshold, min_pages), "tree-noise")
     noise = noise.select(F.col("host").alias(at), F.col("paths").alias(list_))
@@ -371,8 +396,9 @@ def extract(df: DataFrame, url: str = "url", markup: str = "html", threshold: fl
             for body, paths in zip(bodies, lists, strict=True):
                 if paths != last:
                     last, noise_here = paths, frozenset(paths or ())
-                out.append(main_text(body, noise_here) if body else "")
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out, pa.string())], [*names, "text"])
+                out.append(judged_text(body, noise_here) if body else ("", 0, 0))
+            found = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *found], [*names, "text", "by_tree", "by_prior"])
 
-    found = rows.mapInArrow(run, f"{schema}, text string")
-    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+    found = rows.mapInArrow(run, f"{schema}, text string, by_tree bigint, by_prior bigint")
+    return found.select(*names, "text", F.length("text").cast("bigint").alias("n_chars"), "by_tree", "by_prior")
