@@ -142,6 +142,11 @@ def score_claims(
     return claims.join(best, ["response_id", "claim_no"])
 
 
+def flag_claims(claim_scores: DataFrame) -> DataFrame:
+    """Add ``is_hallucination`` to each claim of :func:`score_claims`."""
+    return claim_scores.withColumn("is_hallucination", is_hallucination("score"))
+
+
 def assess_claims(responses: DataFrame, claim_scores: DataFrame) -> DataFrame:
     """Claims per response, how many are unsupported, their mean score (0 without claims)."""
     per = claim_scores.groupBy("response_id").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..catalog import Recogniser
+from ..config import ScreeningPolicy
 from ..functions.text import (
     SPAN_TYPE,
     _col,
@@ -219,6 +220,18 @@ def analyze_pii(
     )
 
 
+def redact_by_policy(df: DataFrame, policy: ScreeningPolicy, text: str = "text") -> DataFrame:
+    """As :func:`analyze_pii`, with the switches and labels of a policy."""
+    return analyze_pii(
+        df,
+        policy.redact_person,
+        policy.redact_location,
+        policy.redact_other,
+        labels=policy.pii_labels,
+        text=text,
+    )
+
+
 def entity_rows(df: DataFrame, *keys: str) -> DataFrame:
     """One row per entity: keys, ``entity_no`` (from 0), label, text, start, end, score."""
     return exploded(df, keys, "entities", "entity_no", "e").select(

@@ -182,7 +182,7 @@ SELECT {key}, banned_words, {r6("toxicity")} AS toxicity, CAST(pii_count AS BIGI
 FROM decisions"""
 
 
-def redaction(key: str, source: str) -> str:
+def redaction(key: str, source: str, which: str = "true") -> str:
     """CTE ``redacted(key, text)`` from ``spans``: entities, then the replacement patterns."""
     out = "raw"
     for pattern, new in catalog.REGEX_REDACTIONS:
@@ -190,7 +190,7 @@ def redaction(key: str, source: str) -> str:
     return f"""
 ordered AS (
   SELECT s.*, t.text, lag(span_end, 1, 0) OVER (PARTITION BY {key} ORDER BY span_start) AS prev
-  FROM spans s JOIN {source} t USING ({key})
+  FROM spans s JOIN {source} t USING ({key}) WHERE {which}
 ),
 glued AS (
   SELECT {key}, max(span_end) AS last, string_agg(
@@ -341,6 +341,17 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS pii_count, length(redacted_text)::BIGIN
   AS redacted_chars, md5(redacted_text) AS redacted_md5
 FROM redacted LEFT JOIN pii USING (doc_id)"""
 
+_LEFT_ALONE = {
+    "redact_person": "label <> 'person'",
+    "redact_location": "label <> 'location'",
+    "redact_other": "label IN ('person', 'location')",
+}
+ORACLES["pii_redacted_switches"] = f"WITH {DOCS}, {spans('docs', 'doc_id')}\n" + "\nUNION ALL\n".join(
+    f"SELECT * FROM (WITH {redaction('doc_id', 'docs', which)} "
+    f"SELECT doc_id, {q(off)} AS off, md5(redacted_text) AS redacted_md5 FROM redacted)"
+    for off, which in _LEFT_ALONE.items()
+)
+
 _rx = "text"
 for _pattern, _new in catalog.REGEX_REDACTIONS:
     _rx = f"regexp_replace({_rx}, {q(_pattern)}, {q(_new)}, 'g')"
@@ -754,17 +765,20 @@ claim_best AS (
   SELECT response_id, claim_no, claim, max(score) AS score FROM claim_scored GROUP BY ALL)"""
 ORACLES["claim_scores"] = f"""WITH {_CLAIMS}
 SELECT response_id, claim_no, md5(claim) AS claim_md5, {r6("score")} AS score FROM claim_best"""
+ORACLES["claim_flags"] = f"""WITH {_CLAIMS}
+SELECT response_id, claim_no, {r6("score")} AS score, score < 0.4::DOUBLE AS is_hallucination FROM claim_best"""
 ORACLES["assess_claims"] = f"""WITH {_CLAIMS}
 SELECT query_id AS response_id, count(claim_no) AS total_claims,
   count_if(score < 0.4::DOUBLE)::BIGINT AS hallucinated_claims,
   {r6("coalesce(avg(score), 0.0)")} AS avg_claim_score
 FROM answers LEFT JOIN claim_best ON response_id = query_id GROUP BY 1"""
 
-ORACLES["output_gate"] = f"""WITH {contexts(1)}
-SELECT response_id, CASE WHEN score < 0.4 THEN 'filter' ELSE 'pass' END AS action,
-  CASE WHEN score < 0.4 THEN 'Hallucination' END AS gate,
-  CASE WHEN score < 0.4 THEN 'Filtered due to Hallucination, ' || printf('%.6f', score)
-    || ' < ' || printf('%.6f', 0.4::DOUBLE) END AS reason
+for _name, _sign in (("output_gate", "<"), ("output_gate_compat", ">")):
+    ORACLES[_name] = f"""WITH {contexts(1)}
+SELECT response_id, CASE WHEN score {_sign} 0.4 THEN 'filter' ELSE 'pass' END AS action,
+  CASE WHEN score {_sign} 0.4 THEN 'Hallucination' END AS gate,
+  CASE WHEN score {_sign} 0.4 THEN 'Filtered due to Hallucination, ' || printf('%.6f', score)
+    || ' {_sign} ' || printf('%.6f', 0.4::DOUBLE) END AS reason
 FROM scored"""
 
 # --- conversations -------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -168,6 +169,22 @@ def pii_redacted(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Each redaction switch once off, the others on.
+REDACTION_SWITCHES = ("redact_person", "redact_location", "redact_other")
+
+
+@query
+def pii_redacted_switches(spark: SparkSession, d: str) -> DataFrame:
+    """Redaction by policies that leave one group of entities alone."""
+    found = pii.detect_pii(inputs.documents(spark, d)).select("doc_id", "text", "entities")
+    rows = []
+    for off in REDACTION_SWITCHES:
+        policy = ScreeningPolicy(**{name: name != off for name in REDACTION_SWITCHES})
+        done = pii.redact_by_policy(found, policy)
+        rows.append(done.select("doc_id", F.lit(off).alias("off"), F.md5("redacted_text").alias("redacted_md5")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def pii_regex_redacted(spark: SparkSession, d: str) -> DataFrame:
     docs = inputs.documents(spark, d)
@@ -737,6 +754,14 @@ def claim_scores(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def claim_flags(spark: SparkSession, d: str) -> DataFrame:
+    scored = grounding.score_claims(inputs.responses(spark, d), inputs.retrieved_contexts(spark, d))
+    return grounding.flag_claims(scored).select(
+        "response_id", long("claim_no").alias("claim_no"), r6("score").alias("score"), "is_hallucination"
+    )
+
+
 @query
 def assess_claims(spark: SparkSession, d: str) -> DataFrame:
     answers = inputs.responses(spark, d)
@@ -745,16 +770,26 @@ def assess_claims(spark: SparkSession, d: str) -> DataFrame:
     return done.withColumn("avg_claim_score", r6("avg_claim_score"))
 
 
-@query
-def output_gate(spark: SparkSession, d: str) -> DataFrame:
+def _output_gate(spark: SparkSession, d: str, mode: str) -> DataFrame:
     pairs = grounding.score_pairs(
         inputs.responses(spark, d), inputs.retrieved_contexts(spark, d, 1)
     )
-    policy = ScreeningPolicy(threshold_similarity=0.4)
+    policy = ScreeningPolicy(threshold_similarity=0.4, mode=mode)
     done = gates.screen_output(pairs, policy, answer="response", similarity="score")
     return done.select("response_id", "action", "gate", "reason")
 
 
+@query
+def output_gate(spark: SparkSession, d: str) -> DataFrame:
+    return _output_gate(spark, d, "fixed")
+
+
+@query
+def output_gate_compat(spark: SparkSession, d: str) -> DataFrame:
+    """Answers above the threshold are filtered."""
+    return _output_gate(spark, d, "compat")
+
+
 # --- conversations -------------------------------------------------------------------------
 
 
