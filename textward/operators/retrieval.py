@@ -243,9 +243,14 @@ def _search(needs: DataFrame, chunks: DataFrame, k: int, block_rows: int) -> Dat
     asked = needs.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     copies = asked.select("block", F.ceil(F.col("n") / block_rows).cast("int").alias("copies"))
     copies = F.broadcast(stage(copies, "topk-copies"))  # a row for each block, which are bounded
-    left = needs.join(copies, "block").withColumn("copy", F.pmod(F.xxhash64("query_id"), F.col("copies")))
-    right = chunks.join(copies, "block").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    right = right.withColumn("copy", F.col("copy").cast("bigint"))
+    return _matched(needs.join(copies, "block"), chunks.join(copies, "block"), k)
+
+
+def _matched(needs: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The best k of each block and copy, for both sides with ``block`` and ``copies``."""
+    left = needs.withColumn("copy", F.pmod(F.xxhash64("query_id"), F.col("copies")))
+    every = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
+    right = chunks.withColumn("copy", every).withColumn("copy", F.col("copy").cast("bigint"))
 
     def match(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         best = _Best(len(ours), k)
@@ -295,7 +300,8 @@ def _candidates(queries: DataFrame, kb: DataFrame, k: int, block_rows: int) -> t
     ``(query_id, blocks)`` of what was looked at after the first block."""
     n = kb.count()
     if n <= block_rows:  # one block: nothing can be ruled out
-        return _search(queries.withColumn("block", F.lit(0).cast("bigint")), kb.withColumn("block", F.lit(0).cast("bigint")), k, block_rows), None
+        one = {"block": F.lit(0).cast("bigint"), "copies": F.lit(max(1, -(-queries.count() // block_rows)))}
+        return _matched(queries.withColumns(one), kb.withColumns(one), k), None
     chunks, blocks = build_blocks(kb, n, block_rows)
     homes = stage(_homes(queries, blocks, k), "topk-homes")
     found = stage(_search(homes, chunks, k, block_rows), "topk-first")
