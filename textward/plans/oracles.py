@@ -504,6 +504,11 @@ SELECT * FROM one WHERE chunk_id NOT IN (SELECT chunk_id FROM stored)"""
 ORACLES["stream_kb_upsert"] = f"""WITH fresh AS ({doc_batch(0)})
 SELECT chunk_id, url, topic, chunk_no FROM ({_LATEST.format("fresh")})"""
 
+ORACLES["chunk_store_upsert"] = f"WITH {_KB} SELECT *, chunk_id AS text_md5 FROM kb"
+_ARRIVED = " UNION ALL ".join(doc_batch(i, f"doc_id % 4 = {i}") for i in range(4))
+ORACLES["stream_chunk_store"] = f"""WITH arrived AS ({_ARRIVED}),
+kb AS ({_LATEST.format("arrived")}) SELECT *, chunk_id AS text_md5 FROM kb"""
+
 
 def unescape(expr: str) -> str:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):

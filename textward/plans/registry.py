@@ -23,7 +23,7 @@ from ..operators import chat, evalset, gates, grounding, kb, metrics, models, pi
 from ..operators import scores, sparse, terms
 from ..schemas import CONVERSATIONS, DOCUMENTS, EVENTS
 from ..session import scratch_dir, stage
-from ..sources import logs, sinks, tables
+from ..sources import chunk_store, logs, sinks, tables
 from ..sources.tables import fixture
 from ..streaming import screening as streams
 from . import flows, inputs
@@ -494,6 +494,20 @@ def kb_upsert(spark: SparkSession, d: str) -> DataFrame:
     return _kb_columns(sinks.kb_current(spark, path))
 
 
+@query
+def chunk_store_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches, the first one run again, then the store compacted."""
+    store = chunk_store.open_store(spark, scratch_dir(spark, "chunks"))
+    for number, which in ((0, "true"), (1, "lang = 'en'"), (0, "true")):
+        chunk_store.append(spark, store, inputs.document_chunks(spark, d, number, which), number)
+    small = chunk_store.compact(spark, store, scratch_dir(spark, "chunks"))
+    rows = chunk_store.current(spark, small)
+    return rows.select(
+        "chunk_id", "url", "topic", long("chunk_no").alias("chunk_no"),
+        long("batch_no").alias("batch_no"), F.md5("text").alias("text_md5"),
+    )
+
+
 @query
 def kb_dedupe(spark: SparkSession, d: str) -> DataFrame:
     stored = kb.latest(inputs.document_chunks(spark, d, 0, "lang = 'en'"))
@@ -881,6 +895,27 @@ def stream_kb_upsert(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def stream_chunk_store(spark: SparkSession, d: str) -> DataFrame:
+    """Documents arrive in four files, one batch each; then all batches run again."""
+    base = scratch_dir(spark, "stream-chunks")
+    for part in range(4):
+        rows = inputs.documents(spark, d).where(F.col("doc_id") % 4 == part)
+        rows.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    for state in ("state", "again"):
+        docs = streams.read_stream(spark, f"{base}/in", DOCUMENTS, files_per_trigger=1).select(
+            F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("url"),
+            F.col("lang").alias("topic"), "source", "text",
+        )
+        run = streams.stream_chunk_store(docs, f"{base}/kb", f"{base}/{state}", separator="\n")
+        run.start().awaitTermination()
+    rows = chunk_store.current(spark, chunk_store.open_store(spark, f"{base}/kb"))
+    return rows.select(
+        "chunk_id", "url", "topic", long("chunk_no").alias("chunk_no"),
+        long("batch_no").alias("batch_no"), F.md5("text").alias("text_md5"),
+    )
+
+
 @query
 def audit_rates(spark: SparkSession, d: str) -> DataFrame:
     rates = metrics.filter_rates(fixture(spark, d, "events"), F.col("event_type") == "error")

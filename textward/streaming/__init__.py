@@ -5,6 +5,7 @@ from .screening import (
     read_history,
     read_stream,
     store_updates,
+    stream_chunk_store,
     stream_filter_rates,
     stream_history,
     stream_kb_upsert,
@@ -14,5 +15,5 @@ from .screening import (
 
 __all__ = [
     "last_windows", "read_history", "read_stream", "store_updates", "stream_filter_rates",
-    "stream_history", "stream_kb_upsert", "stream_screen", "write_stream",
+    "stream_chunk_store", "stream_history", "stream_kb_upsert", "stream_screen", "write_stream",
 ]

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..config import ScreeningPolicy
 from ..operators import chat, gates, kb, metrics
-from ..sources import sinks
+from ..sources import chunk_store, sinks
 
 
 def read_stream(
@@ -102,6 +102,23 @@ def stream_kb_upsert(
     )
 
 
+def stream_chunk_store(
+    documents: DataFrame, path: str, checkpoint: str, text: str = "text", **chunking
+) -> DataStreamWriter:
+    """As :func:`stream_kb_upsert`, into a store by buckets: a batch writes its new texts only."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        rows = kb.chunk_rows(batch, text, "url", "topic", "source", **chunking)
+        spark = batch.sparkSession
+        chunk_store.append(spark, chunk_store.open_store(spark, path), rows, batch_id)
+
+    return (
+        documents.writeStream.foreachBatch(store)
+        .trigger(availableNow=True)
+        .option("checkpointLocation", checkpoint)
+    )
+
+
 def stream_filter_rates(
     audit: DataFrame, filtered: Column | None = None, **options: str
 ) -> DataFrame:
