@@ -38,6 +38,7 @@ class Recogniser:
     ``guard`` is a literal the text must hold for the pattern to be tried at all.
     ``digit_led`` marks patterns whose hits start with a digit: one pass looks for all of them.
     ``lead`` is the wording in front of the value, which is matched but not part of the entity.
+    ``check`` names a test of the digits (``functions.checks``) that a value must pass.
     """
 
     label: str
@@ -46,6 +47,7 @@ class Recogniser:
     guard: str | None = None
     digit_led: bool = False
     lead: str | None = None
+    check: str | None = None
 
 
 @dataclass(frozen=True)
@@ -184,6 +186,84 @@ RECOGNISERS: tuple[Recogniser, ...] = (
     Recogniser("location", "location", _NAME, guard="live in ", lead=r"\bI live in "),
 )
 
+# Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20,
+    "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26,
+    "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15,
+    "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
+
+
+def _iban() -> str:
+    """Countries of one length share a branch, so a number never runs into the next word."""
+    branches = []
+    for n in sorted(set(IBAN_LENGTHS.values())):
+        countries = "|".join(c for c, length in IBAN_LENGTHS.items() if length == n)
+        branches.append(rf"(?:{countries})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}")
+    return r"\b(?:" + "|".join(branches) + r")\b"
+
+
+_CODE = r"[A-Z0-9][A-Z0-9-]{4,19}\b"
+_LONG = r"[0-9][0-9 -]{6,18}[0-9]\b"
+_DAY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}\b"
+_CALL = r"\+?[0-9(][0-9() -]{6,18}[0-9]\b"
+
+
+def _named(label: str, guard: str, words: str, value: str) -> Recogniser:
+    """A value known by the words in front of it."""
+    lead = rf"\b(?:{words})(?: number| no\.?| code)?(?: is|:)? ?"
+    check = "with_digit" if value == _CODE else None
+    return Recogniser(label, "other", value, guard=guard, lead=lead, check=check)
+
+
+#: Identifiers proved by their check digits, then those known by the words before them.
+IDENTIFIERS: tuple[Recogniser, ...] = (
+    Recogniser("iban", "other", _iban(), check="mod97"),
+    Recogniser("credit_card_number", "other", r"\b[0-9]{4}(?:[ -]?[0-9]{4}){3}\b",
+               digit_led=True, check="luhn"),
+    Recogniser("cpf", "other", r"\b[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}\b",
+               digit_led=True, check="mod11"),
+    Recogniser("passport_number", "other",
+               r"\b[A-Z][A-Z0-9<]{8}[0-9][A-Z<]{3}[0-9]{7}[MFX<][0-9]{7}[A-Z0-9<]{14}[0-9<][0-9]\b",
+               guard="<", check="machine_zone"),
+    _named("cvv", "CVV", "CVV2?", r"[0-9]{3,4}\b"),
+    _named("cvc", "CVC", "CVC2?", r"[0-9]{3}\b"),
+    _named("passport_expiration_date", "xpir", "[Pp]assport expir(?:es on|es|y|y date|ation date)", _DAY),
+    _named("credit_card_expiration_date", "xpir", "(?:[Cc]ard )?[Ee]xpir(?:es on|es|y|y date|ation date)",
+           r"(?:0[1-9]|1[0-2])/[0-9]{2}(?:[0-9]{2})?\b"),
+    _named("passport_number", "assport", "[Pp]assport", r"[A-Z]{0,2}[0-9]{6,9}\b"),
+    _named("visa_number", "isa", "[Vv]isa", r"[A-Z]{0,2}[0-9]{7,10}\b"),
+    _named("vehicle_registration_number", "ehicle", "[Vv]ehicle registration", _CODE),
+    _named("license_plate_number", "late", "(?:[Ll]icen[cs]e|[Nn]umber) plate", r"[A-Z0-9]{1,4}[ -][A-Z0-9]{2,5}\b"),
+    _named("driver's_license_number", "river", "[Dd]river'?s? licen[cs]e", _CODE),
+    _named("registration_number", "egistration", "[Rr]egistration", _CODE),
+    _named("serial_number", "erial", "[Ss]erial", _CODE),
+    _named("student_id_number", "tudent", "[Ss]tudent ID", _CODE),
+    _named("national_health_insurance_number", "ational", "[Nn]ational health insurance", _CODE),
+    _named("health_insurance_id_number", "ealth", "[Hh]ealth insurance ID", _CODE),
+    _named("health_insurance_number", "ealth", "[Hh]ealth insurance", _CODE),
+    _named("insurance_number", "nsurance", "[Ii]nsurance", _CODE),
+    _named("national_id_number", "ational", "[Nn]ational ID", _CODE),
+    _named("identity_card_number", "dentity", "[Ii]dentity card", _CODE),
+    _named("identity_document_number", "dentity", "[Ii]dentity document", _CODE),
+    _named("tax_identification_number", "ax ", "[Tt]ax (?:ID|identification)", _CODE),
+    _named("birth_certificate_number", "irth", "[Bb]irth certificate", _CODE),
+    _named("bank_account_number", "ccount", "(?:[Bb]ank )?[Aa]ccount", _LONG),
+    _named("transaction_number", "ransaction", "[Tt]ransaction", _CODE),
+    _named("train_ticket_number", "icket", "[Tt]rain ticket", _CODE),
+    _named("flight_number", "light", "[Ff]light", r"[A-Z][A-Z0-9] ?[0-9]{1,4}\b"),
+    _named("postal_code", "ode", "(?:[Pp]ostal|[Pp]ost|ZIP|[Zz]ip)", r"[A-Z0-9]{3,5}(?:[ -][0-9][A-Z0-9]{2,3})?\b"),
+    _named("fax_number", "ax", "[Ff]ax", _CALL),
+    _named("landline_phone_number", "andline", "[Ll]andline(?: phone)?", _CALL),
+    _named("blood_type", "lood", "[Bb]lood (?:type|group)", r"(?:AB|A|B|O)[+-]"),
+)
+
+#: All recognisers: a card number must pass its check here.
+CHECKED_RECOGNISERS: tuple[Recogniser, ...] = IDENTIFIERS + tuple(
+    r for r in RECOGNISERS if r.label != "credit_card_number"
+)
+
 # Toxicity lexicon: weight per hit.
 TOXIC_TERMS: tuple[WeightedPattern, ...] = (
     _terms("strong", 1.0, "scum(?:bags?)?", "worthless", "disgusting", "morons?"),
@@ -274,7 +354,7 @@ def rules_from_frame(df: DataFrame) -> tuple[Rule, ...]:
 def recognisers_frame(spark: SparkSession, items: Sequence[Recogniser] = RECOGNISERS) -> DataFrame:
     """Recogniser catalogue as a table."""
     rows = [
-        (i, r.label, r.group, r.pattern, r.guard, r.digit_led, r.lead)
+        (i, r.label, r.group, r.pattern, r.guard, r.digit_led, r.lead, r.check)
         for i, r in enumerate(items)
     ]
     return spark.createDataFrame(rows, schemas.RECOGNISERS)
@@ -284,7 +364,8 @@ def recognisers_from_frame(df: DataFrame) -> tuple[Recogniser, ...]:
     rows = sorted(_config_rows(df), key=lambda r: r["position"])
     return tuple(
         Recogniser(
-            r["label"], r["group"], r["pattern"], r["guard"], bool(r["digit_led"]), r["lead"]
-        )
+            r["label"], r["group"], r["pattern"], r["guard"], bool(r["digit_led"]), r["lead"],
+            r["check"] if "check" in r else None,
+        )
         for r in rows
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import catalog
 from ..catalog import Recogniser
 from ..config import ScreeningPolicy
+from ..functions.checks import CHECKS
 from ..functions.text import (
     SPAN_TYPE,
     _col,
@@ -33,6 +34,8 @@ def candidate_spans(text: Column | str, recognisers: Sequence[Recogniser]) -> Co
     """Hits of every recogniser, overlaps included."""
     value = _col(text)
 
+    names = sorted({r.check for r in recognisers if r.check})
+
     def hits(item: Recogniser, numeric_hit: Column) -> Column:
         pattern = unicode_pattern((item.lead or "") + item.pattern, case_insensitive=False)
         lead = unicode_pattern("^" + item.lead, case_insensitive=False) if item.lead else "^$"
@@ -42,17 +45,32 @@ def candidate_spans(text: Column | str, recognisers: Sequence[Recogniser]) -> Co
             found = F.when(value.contains(item.guard), found)
         elif item.digit_led:
             found = F.when(numeric_hit, found)
+        # the check rides on the label, so spans keep their shape
+        label = f"{item.label}|{item.check or ''}" if names else item.label
         return F.struct(
-            F.lit(item.label).alias("label"),
+            F.lit(label).alias("label"),
             F.lit(pattern).alias("pattern"),
             F.lit(lead).alias("lead"),
             found.alias("hits"),
         )
 
+    def proved(spans: Column) -> Column:
+        def test(s: Column) -> Column:
+            check = F.substring_index(s["label"], "|", -1)
+            passed = F.when(check == "", True)
+            for name in names:
+                passed = passed.when(check == name, CHECKS[name](s["text"]))
+            return passed.otherwise(False)
+
+        def plain(s: Column) -> Column:
+            return s.withField("label", F.substring_index(s["label"], "|", 1))
+
+        return F.transform(F.filter(spans, test), plain) if names else spans
+
     def located(numeric_hit: Column) -> Column:
         rows = F.array(*[hits(item, numeric_hit) for item in recognisers])
         # most texts hold no entity: they need neither split nor fold
-        return find_spans(value, F.filter(rows, lambda r: F.size(r["hits"]) > 0))
+        return proved(find_spans(value, F.filter(rows, lambda r: F.size(r["hits"]) > 0)))
 
     if not recognisers:
         return _none()

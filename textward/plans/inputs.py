@@ -29,6 +29,37 @@ def screening_texts(spark: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(users)
 
 
+#: Pieces with derived identifiers for each document; the first one follows its text.
+IDENTIFIED_PIECES = 20
+
+
+def identified_texts(spark: SparkSession, d: str) -> DataFrame:
+    """``(text_id, text)``: every document, and pieces with identifiers made of the digits of its id's md5.
+
+    Few of the cards, accounts and taxpayer numbers pass their check digits by chance.
+    """
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), "n")
+    digits = F.translate(F.md5(key), "abcdef", "012345")
+    cut = lambda start, n: F.substring(digits, start, n)
+    piece = F.concat(
+        F.lit("Card "), cut(1, 16),
+        F.lit(", DE"), cut(1, 20),
+        F.lit(", GB"), cut(3, 2), F.lit(" WEST "), cut(5, 14),
+        F.lit(", CPF "), cut(1, 3), F.lit("."), cut(4, 3), F.lit("."), cut(7, 3), F.lit("-"), cut(10, 2),
+        F.lit(", CVV is "), cut(20, 3),
+        F.lit(", expires "), cut(23, 2), F.lit("/"), cut(25, 2),
+        F.lit(", vehicle registration AB"), cut(8, 6),
+        F.lit(", insurance POLICY, fax "), cut(9, 9),
+    )
+    numbered = documents(spark, d).select(
+        "doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(IDENTIFIED_PIECES))).alias("n")
+    )
+    return numbered.select(
+        F.concat_ws("-", "doc_id", "n").alias("text_id"),
+        F.concat(F.when(F.col("n") == 1, F.coalesce("text", F.lit(""))).otherwise(""), F.lit("\n"), piece).alias("text"),
+    )
+
+
 def stamped(c: Column) -> Column:
     """A fixed time per document, one minute apart, so results can be repeated."""
     return F.timestamp_seconds(F.lit(1704067200) + c * 60)

@@ -152,6 +152,20 @@ def pii_entities(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def pii_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers with check digits or words in front, overlaps resolved."""
+    found = pii.detect_pii(inputs.identified_texts(spark, d), catalog.CHECKED_RECOGNISERS)
+    return pii.entity_rows(found, "text_id").select(
+        "text_id",
+        long("entity_no").alias("entity_no"),
+        "label",
+        "entity",
+        long("start").alias("span_start"),
+        long("end").alias("span_end"),
+    )
+
+
 @query
 def pii_by_label(spark: SparkSession, d: str) -> DataFrame:
     found = pii.detect_pii(inputs.documents(spark, d))
