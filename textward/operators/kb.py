@@ -110,6 +110,44 @@ def unresolved_topics(topics: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+# What follows the main part of a title: a qualifier in brackets, after a comma, colon or full stop.
+_QUALIFIER = r"(?s)\s*[(,:.].*$"
+
+
+def main_title(c: Column | str) -> Column:
+    """A title without its qualifier: ``Mercury (planet)`` gives ``Mercury``."""
+    return F.regexp_replace(_col(c), _QUALIFIER, "")
+
+
+def title_aliases(pages: DataFrame) -> DataFrame:
+    """``(alias, page_id, title, options)``: the page each name stands for.
+
+    Names are the normalised titles and their main parts.  Where several titles share a name it is
+    ambiguous: ``options`` counts them, and the first option counts - a full title before a main
+    part, then the smallest title, then its smallest page.
+    """
+    titled = pages.select("page_id", "title").where(F.length("title") > 0)
+    per_title = titled.groupBy("title").agg(F.min("page_id").alias("page_id"))
+    names = F.array(normal_title("title"), normal_title(main_title("title")))
+    named = per_title.select("title", "page_id", F.posexplode(names).alias("kind", "alias"))
+    # a title without qualifier has one name, not two
+    once = named.where("alias <> ''").groupBy("alias", "title").agg(
+        F.min(F.struct("kind", "title", "page_id")).alias("option")
+    )
+    first = once.groupBy("alias").agg(F.min("option").alias("first"), F.count(F.lit(1)).alias("options"))
+    return first.select("alias", F.col("first.page_id").alias("page_id"), F.col("first.title").alias("title"), "options")
+
+
+def name_topics(topics: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``(topic, page_id, options)`` for the distinct topics some page goes by."""
+    wanted = topics.select("topic").where(F.col("topic").isNotNull()).distinct()
+    return (
+        wanted.withColumn("alias", normal_title("topic"))
+        .join(aliases, "alias")
+        .select("topic", "page_id", "options")
+    )
+
+
 def ingest_topics(
     topics: DataFrame, pages: DataFrame, max_chunks: int | None = None, source: str = "pages"
 ) -> DataFrame:

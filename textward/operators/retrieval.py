@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.bands import distance_band, distance_points, strong_enough
+from ..functions.vectors import cosine_similarity
 from ..session import stage
 from .skew import join_hot
 
@@ -346,6 +347,43 @@ def block_pairs(queries: DataFrame, kb: DataFrame, k: int = 3, block_rows: int =
     return {"pairs": n * asked, "skipped": n * asked - (looked or 0)}
 
 
+#: Parts of a store of page chunks.
+SHELVES = 64
+
+
+def shelf(page: Column | str) -> Column:
+    """The part of a store that holds the chunks of a page."""
+    return F.pmod(F.xxhash64(page), F.lit(SHELVES)).cast("int")
+
+
+def store_by_page(chunks: DataFrame, path: str) -> None:
+    """Write chunks ``(chunk_id, text, page_id, embedding)`` in folders by shelf."""
+    rows = chunks.withColumn("shelf", shelf("page_id")).repartition("shelf", "page_id")
+    rows.write.mode("overwrite").partitionBy("shelf").parquet(path)
+
+
+def best_of_page(topics: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(topic, page_id, options, chunk_id, distance)``: the chunk of a topic's page nearest to it.
+
+    ``topics``: ``(topic, page_id, options, embedding)``, one row per topic, so however many
+    prompts ask for a topic it is looked up once.  Only shelves with a page that is asked for are
+    read; vectors without texts are compared.
+    """
+    shelves = [r[0] for r in topics.select(shelf("page_id")).distinct().collect()]  # at most SHELVES
+    read = chunks.where(F.col("shelf").isin(shelves)).where("embedding IS NOT NULL")
+    vectors = read.select("shelf", "page_id", "chunk_id", F.col("embedding").alias("_v"))
+    asked = topics.withColumn("shelf", shelf("page_id"))
+    pairs = asked.join(vectors, ["shelf", "page_id"])
+    distance = F.lit(1.0) - cosine_similarity("embedding", "_v")
+    ranked = pairs.select(
+        "topic", "page_id", "options",
+        F.struct(F.round(distance, 6).alias("key"), "chunk_id", distance.alias("distance")).alias("hit"),
+    )
+    # the smallest in every partition goes first, so a long page does not gather in one task
+    best = ranked.groupBy("topic", "page_id", "options").agg(F.min("hit").alias("hit"))
+    return best.select("topic", "page_id", "options", "hit.chunk_id", "hit.distance")
+
+
 def rate_hits(hits: DataFrame) -> DataFrame:
     """Add ``points`` and ``band`` for the distance of each hit."""
     return hits.withColumns(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ScreeningPolicy
+from ..functions.text import clean_topic, valid_topic
 from ..functions.vectors import sparse_cosine
 from ..operators import chat, gates, kb, metrics, retrieval
 from ..operators.skew import join_hot
@@ -40,6 +41,44 @@ def enrich_prompts(
     return out.withColumn("prompt", chat.attach_context("text", "context"))
 
 
+def enrich_by_topic(
+    prompts: DataFrame,
+    chunks: DataFrame,
+    aliases: DataFrame,
+    embed: ColumnFn,
+    policy: ScreeningPolicy | None = None,
+) -> DataFrame:
+    """Put the best passage of the page a prompt is about in front of it.
+
+    ``prompts``: ``(query_id, text, topic_reply)`` with the reply of a topic model; ``chunks``: a
+    store by page (``retrieval.store_by_page``); ``aliases``: ``kb.title_aliases``.  Adds ``topic``,
+    ``page_id``, ``options`` (titles that share the name), ``distance``, ``context`` and
+    ``prompt``.  A reply that is no usable topic, or one no page goes by, leaves the prompt as it
+    is; so does a policy without context.
+    """
+    policy = policy or ScreeningPolicy()
+    topic = F.when(valid_topic(clean_topic("topic_reply")), clean_topic("topic_reply"))
+    named = prompts.withColumn("topic", topic).drop("topic_reply")
+    if not policy.enable_context:
+        none = {"page_id": "bigint", "options": "bigint", "distance": "double", "context": "string"}
+        return named.withColumns(
+            {**{k: F.lit(None).cast(v) for k, v in none.items()}, "prompt": F.col("text")}
+        )
+    asked = kb.name_topics(named, aliases).withColumn("embedding", embed(F.col("topic")))
+    best = retrieval.best_of_page(stage(asked, "topics"), chunks)
+    if policy.max_context_distance is not None:
+        best = best.where(F.col("distance") <= policy.max_context_distance)
+    best = stage(best, "topic-hits")
+    shelves = [r[0] for r in best.select(retrieval.shelf("page_id")).distinct().collect()]
+    # a chunk may lie on several pages: its text is taken from the topic's own
+    texts = chunks.where(F.col("shelf").isin(shelves)).select(
+        "page_id", "chunk_id", F.col("text").alias("context")
+    ).dropDuplicates(["page_id", "chunk_id"])
+    contexts = stage(best.join(texts, ["page_id", "chunk_id"]).drop("chunk_id"), "topic-contexts")
+    out = join_hot(stage(named, "topic-prompts"), contexts, "topic", "query_id", "left")
+    return out.withColumn("prompt", chat.attach_context("text", "context"))
+
+
 def screen_and_answer(
     prompts: DataFrame,
     store: DataFrame,

@@ -693,6 +693,48 @@ ORACLES["prompt_with_context"] = f"""WITH {_ENRICHED}
 SELECT query_id, {r6("distance")} AS distance, {band("distance")} AS band,
   md5(context) AS context_md5, md5(prompt) AS prompt_md5 FROM enriched"""
 
+_main = "regexp_replace({0}, '\\s*[(,:.].*$', '', 's')".format
+_cells = embedded(
+    "cells",
+    f"SELECT page_id, md5(chunk) AS chunk_id, chunk, {slots('chunk')} AS slots "
+    f"FROM ({unnested('page_id', chunked('content', _SEP2, None), 'parsed')})",
+)
+_asked = embedded(
+    "asked", f"SELECT topic, page_id, options, {slots('topic')} AS slots FROM wanted"
+)
+ORACLES["enrich_by_topic"] = f"""WITH {PAGES},
+options AS (
+  SELECT {norm("title")} AS alias, 0 AS kind, title, page_id FROM parsed WHERE length(title) > 0
+  UNION ALL
+  SELECT {norm(_main("title"))}, 1, title, page_id FROM parsed WHERE length(title) > 0),
+aliases AS (
+  SELECT alias, count(DISTINCT title) AS options,
+    first(page_id ORDER BY kind, encode(title), page_id) AS page_id
+  FROM options WHERE alias <> '' GROUP BY alias),
+said AS (
+  SELECT conv_id || '-' || turn AS query_id, c.text, CASE (conv_id * 7 + turn) % 3
+    WHEN 0 THEN '```' || title || '```' || chr(10) WHEN 1 THEN lower(title) ELSE {_main("title")} END AS reply
+  FROM conversations c LEFT JOIN parsed p
+    ON p.page_id = (conv_id * 7 + turn) % (SELECT count(*) FROM pages)
+  WHERE role = 'user'),
+named AS (
+  SELECT query_id, text, CASE WHEN length(t) BETWEEN 1 AND 50 THEN t END AS topic
+  FROM (SELECT *, {strip("replace(reply, '`', '')")} AS t FROM said)),
+wanted AS (
+  SELECT topic, page_id, options FROM (SELECT DISTINCT topic FROM named) n JOIN aliases ON alias = {norm("topic")}),
+{_cells}, {_asked},
+scored AS (
+  SELECT topic, a.page_id, options, chunk, chunk_id,
+    1 - CASE WHEN list_sum(a.e) = 0 OR list_sum(b.e) = 0 THEN 0 ELSE list_cosine_similarity(a.e, b.e) END AS distance
+  FROM asked a JOIN cells b USING (page_id)),
+best AS (
+  SELECT * FROM scored WHERE true
+  QUALIFY row_number() OVER (PARTITION BY topic ORDER BY floor(distance * 1000000 + 0.5), chunk_id) = 1)
+SELECT query_id, topic, page_id, options, {r6("distance")} AS distance,
+  md5(CASE WHEN chunk IS NULL OR lower(text) = 'filtered.' THEN text
+    ELSE 'Use the following as context for the prompt: "' || chunk || '"' || chr(10) || text END) AS prompt_md5
+FROM named LEFT JOIN best USING (topic)"""
+
 _TITLES = embedded(
     "titles",
     f"SELECT md5(title) AS query_id, title, {slots('title')} AS slots "

@@ -662,6 +662,33 @@ def prompt_with_context(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def enrich_by_topic(spark: SparkSession, d: str) -> DataFrame:
+    """Every user message asks about a page: by title, in small letters, or by the main part."""
+    parsed = stage(kb.parse_pages(fixture(spark, d, "pages")), "pages")
+    path = scratch_dir(spark, "shelves")
+    chunks = kb.chunk_rows(parsed, "content", "page_id")
+    retrieval.store_by_page(chunks.withColumn("embedding", hash_embedding("text")), path)
+    n = parsed.count()
+    number = F.col("conv_id") * 7 + F.col("turn")
+    title = F.col("title")
+    reply = (
+        F.when(number % 3 == 0, F.concat(F.lit("```"), title, F.lit("```\n")))
+        .when(number % 3 == 1, F.lower(title))
+        .otherwise(kb.main_title(title))
+    )
+    users = inputs.messages(spark, d).where("role = 'user'").withColumn("page_id", F.pmod(number, F.lit(n)))
+    prompts = users.join(parsed.select("page_id", "title"), "page_id", "left").select(
+        inputs.message_id().alias("query_id"), "text", reply.alias("topic_reply")
+    )
+    store = spark.read.parquet(path)
+    done = flows.enrich_by_topic(prompts, store, kb.title_aliases(parsed), hash_embedding)
+    return done.select(
+        "query_id", "topic", "page_id", long("options").alias("options"),
+        r6("distance").alias("distance"), F.md5("prompt").alias("prompt_md5"),
+    )
+
+
 # --- grounding -----------------------------------------------------------------------------
 
 
