@@ -981,3 +981,19 @@ t AS (SELECT doc_id, list_transform(range(1, 65), lambda i: e[i] * w[i]) AS t FR
 u AS (SELECT doc_id, t, sqrt(list_sum(list_transform(t, lambda x: x * x))) AS size FROM t),
 n AS (SELECT doc_id, CASE WHEN size > 0 THEN list_transform(t, lambda x: x / size) ELSE t END AS t FROM u)
 SELECT doc_id, {r6("list_max(t)")} AS largest, {r6("list_sum(t)")} AS total, {r6("t[8]")} AS slot_7 FROM n"""
+ORACLES["word_features"] = f"""WITH c AS (
+  SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({tokens("text")}) AS word FROM documents) GROUP BY ALL),
+v AS (
+  SELECT word, row_number() OVER (ORDER BY md5('0:' || word), word) AS word_id,
+    ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM c GROUP BY word),
+w AS (SELECT doc_id, word_id, word, n * idf AS w FROM c JOIN v USING (word)),
+u AS (
+  SELECT doc_id, word_id, word, CASE WHEN s > 0 THEN w / s ELSE w END AS w
+  FROM w JOIN (SELECT doc_id, sqrt(sum(w * w)) AS s FROM w GROUP BY 1) USING (doc_id)),
+t AS (
+  SELECT doc_id, count(*) AS n_terms,
+    array_to_string(list(word ORDER BY round(w, 6) DESC, encode(word))[1:5], ' ') AS top_terms,
+    md5(string_agg(word_id || ':' || CAST(floor(w * 1000000 + 0.5) AS BIGINT), ',' ORDER BY word_id)) AS vector_md5
+  FROM u GROUP BY 1)
+SELECT doc_id, coalesce(n_terms, 0) AS n_terms, coalesce(top_terms, '') AS top_terms,
+  coalesce(vector_md5, md5('')) AS vector_md5 FROM documents LEFT JOIN t USING (doc_id)"""

@@ -19,7 +19,7 @@ from ..functions.vectors import (
     max_probability,
     sparse_cosine,
 )
-from ..operators import chat, evalset, gates, grounding, kb, metrics, models, pii, retrieval, rules
+from ..operators import chat, evalset, features, gates, grounding, kb, metrics, models, pii, retrieval, rules
 from ..operators import scores, sparse, terms
 from ..schemas import CONVERSATIONS, DOCUMENTS, EVENTS
 from ..session import scratch_dir, stage
@@ -1051,6 +1051,20 @@ def text_features(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def word_features(spark: SparkSession, d: str) -> DataFrame:
+    """Sparse tf-idf vectors of all documents: top terms, and every entry in a digest."""
+    rows = features.word_vectors(inputs.documents(spark, d), "doc_id")
+    micro = lambda t: F.floor(t["weight"] * 1000000 + 0.5).cast("bigint").cast("string")
+    entries = F.transform("terms", lambda t: F.concat_ws(":", t["word_id"].cast("string"), micro(t)))
+    return rows.select(
+        "doc_id",
+        long(F.size("terms")).alias("n_terms"),
+        F.array_join(features.top_terms("terms"), " ").alias("top_terms"),
+        F.md5(F.array_join(entries, ",")).alias("vector_md5"),
+    )
+
+
 @query
 def generate_plugin(spark: SparkSession, d: str) -> DataFrame:
     def echo():
