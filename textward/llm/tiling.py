@@ -15,19 +15,25 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.dataset import dataset
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
 from .common import batches, binary_column
 from .shingles import parts, word_offsets, xxh64_slices
 
 MIN_TILE = 3
 #: Part of an item's tokens that must be tiled.
 COVERAGE = 0.8
-#: Benchmark text of one block; a larger benchmark is searched block by block.
+#: Benchmark text of one block; a larger benchmark is searched block by block.  Blocks lie in the
+#: shared folder, tasks read one at a time.
 BLOCK_BYTES = 8 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -102,22 +108,31 @@ def greedy_tiles(pairs: list[tuple[int, int]], doc: np.ndarray, item: np.ndarray
     return tiles
 
 
+@dataclass
 class Benchmark:
     """Items of one block with their seeds sorted by hash."""
 
-    def __init__(self, ids: list, texts: list[bytes]):
+    ids: list
+    hashes: np.ndarray
+    count: np.ndarray
+    keys: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def build(cls, ids: list, texts: list[bytes]) -> Benchmark:
         h, count = tokens(texts)
-        self.ids, self.hashes, self.count = ids, h, count
-        self.start = np.cumsum(count) - count
         key, place = rolling(h, count)
         order = np.argsort(key, kind="stable")
         owner = np.repeat(np.arange(len(texts)), count)[place]
-        self.keys, self.item = key[order], owner[order]
-        self.place = (place - self.start[owner])[order]
+        start = np.cumsum(count) - count
+        return cls(ids, h, count, key[order], owner[order], (place - start[owner])[order])
 
-    def matches(self, texts: list[bytes], coverage: float) -> Iterator[tuple[int, int, float, int, int]]:
-        """(text, item, coverage, tiles, longest tile) of every item that is covered enough."""
-        h, count = tokens(texts)
+    def matches(
+        self, h: np.ndarray, count: np.ndarray, coverage: float
+    ) -> Iterator[tuple[int, int, float, int, int]]:
+        """(text, item, coverage, tiles, longest tile) of every item that is covered enough by a
+        text; the texts come as their :func:`tokens`."""
         key, place = rolling(h, count)
         low = np.searchsorted(self.keys, key, "left")
         known = low < len(self.keys)
@@ -138,11 +153,12 @@ class Benchmark:
         order = np.argsort(pair, kind="stable")
         ordered = pair[order]
         first = np.cumsum(count) - count
+        start = np.cumsum(self.count) - self.count
         for p in enough:
             t, i = divmod(int(p), len(self.ids))
             own = order[np.searchsorted(ordered, p, "left") : np.searchsorted(ordered, p, "right")]
             doc = h[first[t] : first[t] + count[t]]
-            item = self.hashes[self.start[i] : self.start[i] + self.count[i]]
+            item = self.hashes[start[i] : start[i] + self.count[i]]
             pairs = list(zip((at[own] - first[t]).tolist(), self.place[seed[own]].tolist(), strict=True))
             tiles = greedy_tiles(pairs, doc, item)
             part = sum(x[0] for x in tiles) / len(item)
@@ -150,16 +166,71 @@ class Benchmark:
                 yield t, i, part, len(tiles), max(x[0] for x in tiles)
 
 
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Benchmark]:
-    """The items in blocks of bounded size (an item longer than a block is a block)."""
+#: Arrays of a block and their types.
+_ARRAYS = {"hashes": "u8", "count": "i8", "keys": "u8", "item": "i8", "place": "i8"}
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """A benchmark in the shared folder: one file with the arrays of each block."""
+
+    path: str
+    numbers: list[int]
+
+    def load(self, number: int) -> Benchmark:
+        """Read a block, in a task; the driver holds none."""
+        return _load(self.path, number)
+
+
+@lru_cache(maxsize=1)
+def _load(path: str, number: int) -> Benchmark:
+    files, root = FileSystem.from_uri(f"{path}/block={number}")
+    row = dataset(root, filesystem=files, format="parquet").to_table()
+    arrays = {k: np.frombuffer(row.column(k)[0].as_buffer(), kind) for k, kind in _ARRAYS.items()}
+    return Benchmark(row.column("ids")[0].as_py(), **arrays)
+
+
+def stage_blocks(
+    benchmark: DataFrame, item: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES
+) -> Blocks:
+    """Items in blocks of about ``block_bytes`` (an item longer than a block is a block), prepared
+    by tasks and written to the shared folder; only their numbers come to the driver."""
     rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).alias("id"), F.col(text).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-size // block_bytes))
-    for k in range(n):
-        own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        table = own.toPandas()
-        if len(table):
-            yield Benchmark(table["id"].tolist(), [x.encode() for x in table["text"]])
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
+
+    def build(group: pa.Table) -> pa.Table:
+        texts = [x for b in group.to_batches() for x in binary_column(b, "text")]
+        made = Benchmark.build(group.column("id").to_pylist(), texts)
+        ids = pa.array([made.ids], pa.list_(group.schema.field("id").type))
+        arrays = [pa.array([getattr(made, k).astype(kind).tobytes()], pa.binary()) for k, kind in _ARRAYS.items()]
+        return pa.table([group.column("block")[:1], ids, *arrays], ["block", "ids", *_ARRAYS])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"block bigint, ids array<{kind}>, " + ", ".join(f"{k} binary" for k in _ARRAYS)
+    path = scratch_dir(benchmark.sparkSession, "benchmark")
+    dealt.groupBy("block").applyInArrow(build, schema).write.partitionBy("block").parquet(path)
+    written = benchmark.sparkSession.read.schema("block bigint, count binary").parquet(path)
+    return Blocks(path, sorted(r["block"] for r in written.select("block").collect()))
+
+
+#: Document text that meets one block after the other before the next is read.
+GATHERED_BYTES = 32 << 20
+
+
+def _gathered(frames: Iterator[pa.RecordBatch], text: str) -> Iterator[list[tuple]]:
+    """Batches of about ``GATHERED_BYTES`` as (batch, runs of texts as (first, hashes, counts))."""
+    held, size = [], 0
+    for b in batches(frames):
+        values = binary_column(b, text)
+        held.append((b, [(first, *tokens(some)) for first, some in parts(values)]))
+        size += sum(map(len, values))
+        if size >= GATHERED_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def contaminated(
@@ -176,26 +247,27 @@ def contaminated(
     id_type, item_type = rows.schema["id"].dataType.simpleString(), benchmark.schema[item].dataType
     schema = f"id {id_type}, item {item_type.simpleString()}, coverage double, n_tiles int, longest_tile int"
     names = ["id", "item", "coverage", "n_tiles", "longest_tile"]
+    items = stage_blocks(benchmark, item, text, block_bytes)
+
+    def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _gathered(frames, "text"):
+            for number in items.numbers:
+                block = items.load(number)
+                for b, runs in held:
+                    found = [
+                        (first + t, *rest)
+                        for first, h, count in runs
+                        for t, *rest in block.matches(h, count, coverage)
+                    ]
+                    if found:
+                        t, i, part, n, longest = zip(*found, strict=True)
+                        ids = b.column(0).take(pa.array(t, pa.int64()))
+                        hits = pa.array([block.ids[x] for x in i])
+                        yield pa.RecordBatch.from_arrays(
+                            [ids, hits, pa.array(part), pa.array(n, pa.int32()), pa.array(longest, pa.int32())], names
+                        )
 
-    def search(block: Benchmark):
-        def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches(frames):
-                found = []
-                for first, some in parts(binary_column(b, "text")):
-                    found += [(first + t, *rest) for t, *rest in block.matches(some, coverage)]
-                if found:
-                    t, i, part, n, longest = zip(*found, strict=True)
-                    ids = b.column(0).take(pa.array(t, pa.int64()))
-                    items = pa.array([block.ids[x] for x in i])
-                    yield pa.RecordBatch.from_arrays(
-                        [ids, items, pa.array(part), pa.array(n, pa.int32()), pa.array(longest, pa.int32())], names
-                    )
-
-        return run
-
-    out = df.sparkSession.createDataFrame([], schema)
-    for block in blocks(benchmark, item, text, block_bytes):
-        out = out.unionAll(rows.mapInArrow(search(block), schema))
+    out = rows.mapInArrow(search, schema)
     return out.withColumnsRenamed({"id": key, "item": item})
 
 
@@ -207,19 +279,19 @@ def decontaminate(
     coverage: float = COVERAGE,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Documents that hold no benchmark item: one pass per block, nothing is shuffled."""
-
-    def clean(block: Benchmark):
-        def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches(frames):
-                keep = np.ones(b.num_rows, bool)
-                for first, some in parts(binary_column(b, text)):
-                    for t, *_ in block.matches(some, coverage):
-                        keep[first + t] = False
-                yield b.filter(pa.array(keep))
-
-        return run
-
-    for block in blocks(benchmark, item, text, block_bytes):
-        df = df.mapInArrow(clean(block), df.schema)
-    return df
+    """Documents that hold no benchmark item: one pass, nothing is shuffled."""
+    items = stage_blocks(benchmark, item, text, block_bytes)
+
+    def clean(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _gathered(frames, text):
+            keep = [np.ones(b.num_rows, bool) for b, _ in held]
+            for number in items.numbers:
+                block = items.load(number)
+                for own, (_, runs) in zip(keep, held, strict=True):
+                    for first, h, count in runs:
+                        for t, *_ in block.matches(h, count, coverage):
+                            own[first + t] = False
+            for own, (b, _) in zip(keep, held, strict=True):
+                yield b.filter(pa.array(own))
+
+    return df.mapInArrow(clean, df.schema)
