@@ -522,6 +522,7 @@ SELECT {_FINAL} FROM rates"""
 ORACLES["confusion_metrics"] = _CONFUSION
 ORACLES["metrics_report"] = _CONFUSION
 ORACLES["metrics_from_log"] = _CONFUSION
+ORACLES["metrics_from_split_log"] = _CONFUSION
 ORACLES["metrics_by_slice"] = f"""WITH {_JUDGED}, counted AS (
   SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source'
     ELSE '(all)' END AS slice, coalesce(lang, source) AS value, {_COUNTS}

@@ -460,6 +460,13 @@ def metrics_from_log(spark: SparkSession, d: str) -> DataFrame:
     return _report(metrics.confusion_metrics(blocks))
 
 
+@query
+def metrics_from_split_log(spark: SparkSession, d: str) -> DataFrame:
+    """The same numbers where blocks are counted over the splits of the log."""
+    blocks = logs.log_blocks_by_line(spark, _logged(spark, d))
+    return _report(metrics.confusion_metrics(blocks))
+
+
 @query
 def results_log(spark: SparkSession, d: str) -> DataFrame:
     lines = logs.read_results_log(spark, _logged(spark, d))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 # The log line format and the words looked for in it.
 LEVEL = "RESULTS"
 LINE_PREFIX = "Time: "
@@ -86,3 +88,63 @@ def log_blocks(spark: SparkSession, path: str, mode: str = "fixed") -> DataFrame
         (F.regexp_extract("value", truth, 1) == "True").alias("malicious"),
         body.contains(FILTERED_WORD).alias("is_filtered"),
     )
+
+
+def log_blocks_by_line(spark: SparkSession, path: str, mode: str = "fixed") -> DataFrame:
+    """As :func:`log_blocks`, for logs whose blocks may be of any length.
+
+    Lines are read split by split, and only what counts is kept of them: marker, truth, prompt
+    line, filtered.  Markers are counted in each split, a prefix sum over the splits of a file says
+    where each of them starts, and a running count inside the split numbers its blocks.  So a block
+    may reach over many splits, and a log without any marker is read in bounded memory.  What must
+    fit a task is a line, and the marked lines of one split.  Files are told apart.
+    """
+    if mode not in ("fixed", "compat"):
+        raise ValueError(f"mode must be fixed or compat, found {mode!r}")
+    cut = MARKER if mode == "compat" else LEVEL_PREFIX + MARKER
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        # grows along a split
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+    )
+    pieces = lines.select(
+        "file", "split", "line", F.posexplode(F.split("value", rf"\Q{cut}\E", -1)).alias("piece", "body")
+    )
+    truth = F.regexp_extract("body", r"^ (True|False)", 1)
+    prompt = (F.col("piece") == 0) & F.col("body").rlike(rf"^{LINE_PREFIX}.*?{LEVEL_PREFIX}{PROMPT}")
+    flags = pieces.select(
+        "file", "split", "line", "piece",
+        (F.col("piece") > 0).cast("long").alias("marker"),
+        (prompt if mode == "fixed" else F.lit(False)).cast("long").alias("prompt"),
+        F.when(F.col("piece") > 0, truth).otherwise("").alias("truth"),
+        F.col("body").contains(FILTERED_WORD).alias("filtered"),
+    )
+    flags = stage(flags.where("marker + prompt > 0 OR filtered"), "log-lines")
+    # one row per split of a file
+    totals = flags.groupBy("file", "split").agg(F.sum("marker").alias("_m"), F.sum("prompt").alias("_p"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    starts = totals.select(
+        "file", "split",
+        F.coalesce(F.sum("_m").over(earlier), zero).alias("_m"),
+        F.coalesce(F.sum("_p").over(earlier), zero).alias("_p"),
+    )
+    inside = Window.partitionBy("file", "split").orderBy("line", "piece").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = (
+        flags.withColumns({"_rm": F.sum("marker").over(inside), "_rp": F.sum("prompt").over(inside)})
+        .join(starts, ["file", "split"])
+        .select(
+            "file", (F.col("_m") + F.col("_rm")).alias("block"), (F.col("_p") + F.col("_rp")).alias("prompts"),
+            "truth", "filtered",
+        )
+    )
+    # up to the next prompt line: the rows of a block with as many prompts before them as its marker
+    parts = numbered.groupBy("file", "block", "prompts").agg(
+        F.max("truth").alias("truth"), F.max("filtered").alias("filtered")
+    )
+    first = parts.groupBy("file", "block").agg(F.min_by(F.struct("truth", "filtered"), "prompts").alias("s"))
+    return first.where("s.truth <> ''").select(
+        (F.col("s.truth") == "True").alias("malicious"), F.col("s.filtered").alias("is_filtered")
+    )
