@@ -106,6 +106,20 @@ def test_far_blocks_are_left_out(spark):
     assert retrieval.block_pairs(queries, kb, 3) == {"pairs": 34, "skipped": 0}
 
 
+def test_small_blocks_share_a_task_and_a_copy_of_the_query(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 100)
+    rng = np.random.default_rng(4)
+    q, c = rng.normal(size=(30, 6)), rng.normal(size=(400, 6))
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id bigint, embedding array<double>")
+    kb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "chunk_id bigint, embedding array<double>")
+    blocks = retrieval.build_blocks(kb, 400, 10)[1]
+    assert len(blocks.cell) >= 40 and len(set(blocks.group.tolist())) <= 5
+    got = collections.defaultdict(list)
+    for r in retrieval.kb_topk(queries, kb, 3, block_rows=10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.chunk_id)
+    assert got == {i: [j for _, j in w] for i, w in enumerate(plain_topk(q, c, 3))}
+
+
 def test_topk_of_nothing(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, embedding array<double>")
     kb = rows.withColumnRenamed("query_id", "chunk_id")
