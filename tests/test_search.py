@@ -125,3 +125,28 @@ def test_topk_of_nothing(spark):
     kb = rows.withColumnRenamed("query_id", "chunk_id")
     assert retrieval.kb_topk(rows, kb.limit(0)).count() == 0
     assert retrieval.kb_topk(rows.limit(0), kb).count() == 0
+
+
+def test_products_of_blocks_like_plain_cosines(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    left, right = texts(rng, 60, words), texts(rng, 50, words)
+    left, right = [[(i, None if t == " .,! " else t) for i, t in side] for side in (left, right)]
+    left += [(100 + i, left[0][1]) for i in range(5)]
+    right += [(200 + i, left[0][1]) for i in range(4)]
+    a, b = (spark.createDataFrame(side, "id bigint, text string") for side in (left, right))
+    want = plain_pairs(left, right, 0.3)
+    built = []
+    plain = sparse.candidates
+    monkeypatch.setattr(sparse, "candidates", lambda *x: built.append(1) or plain(*x))
+    for common, least, cells in ((1024, 1000, 1 << 20), (5, 7, 64), (0, 1000, 1)):
+        for name, value in (("COMMON", common), ("_LEAST", least), ("_CELLS", cells), ("_MEETING", 0.0)):
+            monkeypatch.setattr(sparse, name, value)
+        got = {(r.left_id, r.right_id): round(r.score, 6) for r in sparse.sparse_pairs(a, b, 0.3).collect()}
+        assert got == want and want
+        top = collections.defaultdict(list)
+        for r in sparse.sparse_topk(a, b, 2, 0.3).orderBy("left_id", "rank").collect():
+            top[r.left_id].append(r.right_id)
+        for i, found in top.items():
+            assert found == [j for _, j in sorted((-s, j) for (x, j), s in want.items() if x == i)][:2]
+    assert not built

@@ -5,6 +5,10 @@ first.  The rarest word two texts share bounds their cosine: it cannot exceed th
 both vectors weigh from that word on.  So a text is found by the words of its prefix alone, the
 ones up to which the remainder still weighs ``min_score``, and two texts meet at a word only if
 the product of their remainders there reaches the score.  Pairs that cannot pass are never built.
+
+Long texts of one language meet at their common words nearly all, once for each word.  Where the
+lists are longer in sum than the two tables multiplied, blocks of texts are multiplied instead:
+common words as a matrix, rare ones by their postings inside the block.  Copies are one text there.
 """
 
 from __future__ import annotations
@@ -22,6 +26,14 @@ from .skew import join_hot
 
 #: Postings of one word and side that meet in one group; longer lists are cut.
 POSTINGS = 4096
+#: Words with a column of their own in products, texts of a block and side at most.
+COMMON, BLOCK = 1024, 8_000
+#: Blocks of a side at most as long as they hold fewer than ``BLOCK`` texts, and texts of a block at least.
+_SPLITS, _LEAST = 6, 1000
+#: Cells of a tile of products, pairs of a batch.
+_CELLS, _OUT = 1 << 20, 1 << 18
+#: Meetings of postings that cost as much as the product of two texts.
+_MEETING = 0.25
 #: Slack for the order of summation; passing pairs are scored exactly afterwards.
 _SLACK = 1e-9
 
@@ -94,6 +106,12 @@ def sparse_pairs(
 
     Ids are unique; rows without id, and texts that are null or hold no word, take no part.
     """
+    return _pairs(left, right, min_score, most, None)
+
+
+def _pairs(left: DataFrame, right: DataFrame, min_score: float, most: int, k: int | None) -> DataFrame:
+    """As :func:`sparse_pairs`; with ``k`` pairs that cannot be among the k best of a left text may
+    be left out."""
     if not 0 < min_score <= 1:
         raise ValueError(f"min_score must be above 0 and at most 1, found {min_score}")
     low = min_score - 5e-7  # what rounds to the score
@@ -102,13 +120,14 @@ def sparse_pairs(
     # a word's order must be the same for both sides
     both = own.select("word").unionAll(other.select("word"))
     frequency = stage(both.groupBy("word").agg(F.count(F.lit(1)).alias("texts")), "sparse-order")
-    pairs = candidates(
-        stage(prefixes(own, frequency, low), "sparse-left-prefix"),
-        stage(prefixes(other, frequency, low), "sparse-right-prefix"),
-        low,
-        most,
-    )
-    pairs = stage(pairs, "sparse-pairs")
+    starts = [
+        stage(prefixes(rows, frequency, low), f"sparse-{side}-prefix") for rows, side in ((own, "left"), (other, "right"))
+    ]
+    sizes = [rows.select("id").distinct().count() for rows in (own, other)]
+    if _meetings(*starts) > sizes[0] * sizes[1] * _MEETING:
+        scored = multiplied(own, other, frequency, low, sizes, k)
+        return scored.where(F.round("score", 6) >= min_score)
+    pairs = stage(candidates(*starts, low, most), "sparse-pairs")
     # a text may be in very many pairs: salted on one side, left to the skew join on the other
     rows = join_hot(pairs, _vectors(own, "left"), "left_id", "right_id")
     rows = rows.hint("shuffle_merge").join(_vectors(other, "right"), "right_id")
@@ -117,6 +136,145 @@ def sparse_pairs(
     return scored.where(F.round("score", 6) >= min_score)
 
 
+def _meetings(left: DataFrame, right: DataFrame) -> float:
+    """Pairs of postings of one word that would meet, in sum over the words."""
+    count = lambda rows, name: rows.groupBy("word").agg(F.count(F.lit(1)).alias(name))
+    met = count(left, "a").join(count(right, "b"), "word")
+    return met.agg(F.coalesce(F.sum(F.col("a").cast("double") * F.col("b")), F.lit(0.0))).first()[0]
+
+
+# ---- products of blocks ---------------------------------------------------------------------
+
+
+def multiplied(
+    own: DataFrame,
+    other: DataFrame,
+    frequency: DataFrame,
+    low: float,
+    sizes: list[int],
+    k: int | None = None,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``(left_id, right_id, score)`` of all pairs that reach ``low``, by products of blocks.
+
+    Texts with the same word counts are one class with one representative; classes are multiplied,
+    and the members of both classes are joined to the pairs that pass.
+    """
+    # a word of one text alone counts for its length only
+    shared = frequency.where("texts > 1")
+    common = [r["word"] for r in shared.orderBy(F.desc("texts"), "word").limit(COMMON).select(F.xxhash64("word").alias("word")).collect()]
+    classes = [_classes(rows, side) for rows, side in ((own, "left"), (other, "right"))]
+    reps = []
+    # more blocks than cores where there are few texts, and never more than BLOCK of them in one
+    parts = [max(-(-n // block), min(_SPLITS, -(-n // _LEAST))) for n in sizes]
+    for at, (side, members) in enumerate(zip(("left", "right"), classes, strict=True)):
+        part = F.pmod(F.xxhash64("rep"), F.lit(parts[at])).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(parts[1 - at] - 1)))
+        one = members.where("words IS NOT NULL").select("rep", "words", "n", part.alias(side))
+        one = one.withColumnRenamed("rep", f"{side}_rep")
+        reps.append(one.select(F.lit(at).alias("side"), "*", every.alias("right" if side == "left" else "left")))
+    # the ids of the sides may differ in type
+    tasks = reps[0].unionByName(reps[1], allowMissingColumns=True).groupBy("left", "right")
+    types = [rows.schema["id"].dataType.simpleString() for rows in (own, other)]
+    met = tasks.applyInArrow(_multiplier(common, low, k), f"left_rep {types[0]}, right_rep {types[1]}, score double")
+    for side, members in zip(("left", "right"), classes, strict=True):
+        named = members.select(F.col("rep").alias(f"{side}_rep"), F.col("id").alias(f"{side}_id"))
+        met = met.join(named, f"{side}_rep")
+    return met.select("left_id", "right_id", "score")
+
+
+def _classes(rows: DataFrame, side: str) -> DataFrame:
+    """``(id, rep, words, n)``: texts and the representative of those with the same word counts;
+    words and counts stand at the representative."""
+    packed = _vectors(rows, "x").withColumnsRenamed({"x_id": "id", "x_words": "words", "x_n": "n"})
+    packed = stage(packed, f"sparse-{side}-vectors")
+    # equal up to the hash of each word, as vectors are compared everywhere here
+    key = F.sha2(F.concat_ws(",", F.array_join("words", " "), F.array_join("n", " ")), 256)
+    keyed = packed.withColumn("key", key)
+    first = keyed.groupBy("key").agg(F.min("id").alias("rep"))
+    members = join_hot(stage(keyed.select("id", "key"), f"sparse-{side}-keys"), first, "key", "id")
+    members = stage(members.select("id", "rep"), f"sparse-{side}-classes")
+    only = members.where(F.col("id") == F.col("rep")).select("id").join(packed, "id")
+    return stage(members.join(only, "id", "left").select("id", "rep", "words", "n"), f"sparse-{side}-reps")
+
+
+class _Side:
+    """Texts of one side of a block as arrays."""
+
+    def __init__(self, batches: list[pa.RecordBatch], rep: str, common: np.ndarray) -> None:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        self.ids = t.column(rep).combine_chunks()
+        words, counts = t.column("words").combine_chunks(), t.column("n").combine_chunks()
+        at = words.offsets.to_numpy()
+        word, self.m = words.values.to_numpy(), len(at) - 1
+        n = counts.values.to_numpy().astype(np.float64)
+        row = np.repeat(np.arange(self.m), np.diff(at))
+        self.size = np.sqrt(np.bincount(row, n * n, self.m))
+        place = np.minimum(np.searchsorted(common, word), max(len(common) - 1, 0))
+        held = common[place] == word if len(common) else np.zeros(len(word), bool)
+        # counts are whole numbers; beyond 2^24 single precision would round their products
+        exact = np.float32 if (self.size.max(initial=0) ** 2) < 1 << 24 else np.float64
+        self.dense = np.zeros((self.m, len(common)), exact)
+        self.dense[row[held], place[held]] = n[held]
+        order = np.argsort(word[~held], kind="stable")
+        self.word, self.row, self.n = (x[~held][order] for x in (word, row, n))
+
+
+def _multiplier(common: list[int], low: float, k: int | None):
+    wanted = np.sort(np.array(common, np.int64))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: tuple[list, list] = ([], [])
+        for b in frames:
+            side = b.column(b.schema.get_field_index("side")).to_numpy()
+            for at in (0, 1):
+                some = b.filter(pa.array(side == at))
+                if some.num_rows:
+                    sides[at].append(some)
+        if not (sides[0] and sides[1]):
+            return
+        a, b = (_Side(some, rep, wanted) for some, rep in zip(sides, ("left_rep", "right_rep"), strict=True))
+        by_row = np.argsort(a.row, kind="stable")
+        word, row, n = a.word[by_row], a.row[by_row], a.n[by_row]
+        first, last = np.searchsorted(b.word, word), np.searchsorted(b.word, word, "right")
+        step = max(1, _CELLS // b.m)
+        for lo in range(0, a.m, step):
+            hi = min(a.m, lo + step)
+            dot = (a.dense[lo:hi] @ b.dense.T).astype(np.float64)
+            for x, y in _slices(row, last - first, lo, hi):
+                times = (last - first)[x:y]
+                at = np.repeat(first[x:y] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                cell = np.repeat(row[x:y] - lo, times) * b.m + b.row[at]
+                np.add.at(dot.reshape(-1), cell, np.repeat(n[x:y], times) * b.n[at])
+            dot /= a.size[lo:hi, None] * b.size
+            passed = dot >= low - _SLACK
+            if k is not None and k < b.m:
+                # a class counts for one text at least, so k classes hold the k best; ties stay
+                kth = np.partition(dot, b.m - k, axis=1)[:, b.m - k]
+                passed &= dot >= kth[:, None] - 2e-6
+            i, j = np.nonzero(passed)
+            for s in range(0, len(i), _OUT):
+                x, y = i[s : s + _OUT], j[s : s + _OUT]
+                yield pa.RecordBatch.from_arrays(
+                    [a.ids.take(pa.array(x + lo)), b.ids.take(pa.array(y)), pa.array(dot[x, y])],
+                    ["left_rep", "right_rep", "score"],
+                )
+
+    return run
+
+
+def _slices(row: np.ndarray, times: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """Postings of the rows from ``lo`` to ``hi`` in slices that meet about ``_CELLS`` others."""
+    start, end = (int(p) for p in np.searchsorted(row, [lo, hi]))
+    upto = np.cumsum(times[start:end])
+    x = start
+    while x < end:
+        met = upto[x - start - 1] if x > start else 0
+        y = max(x + 1, start + int(np.searchsorted(upto, met + _CELLS, "right")))
+        yield x, y
+        x = y
+
+
 def _ids(pairs: DataFrame) -> str:
     return ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("left_id", "right_id"))
 
@@ -153,5 +311,5 @@ def sparse_topk(
     Ranked by score at six decimals, then id.
     """
     order = Window.partitionBy("left_id").orderBy(F.desc(F.round("score", 6)), "right_id")
-    ranked = sparse_pairs(left, right, min_score, most).withColumn("rank", F.row_number().over(order))
+    ranked = _pairs(left, right, min_score, most, k).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("left_id", "rank", "right_id", "score")
