@@ -39,3 +39,20 @@ def test_no_terms_and_no_texts(spark):
     table = spark.createDataFrame([(1, "any", "r", "ab")], "position bigint, language string, rule string, term string")
     assert terms.detect_terms(docs, table.limit(0)).first().detections == []
     assert terms.detect_terms(docs.limit(0), table).count() == 0
+
+
+def test_no_term_passes_through_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha{i} beta gamma delta epsilon zeta{i} x" * 2) for i in range(40)], "doc_id bigint, text string")
+    long = "beta gamma delta epsilon zeta1"
+    names = [(i, "any", "t", f"alpha{i}") for i in range(40)] + [(100, "any", "long", long), (101, "any", "longer", f"alpha1 {long}"), (102, "any", "not", f"alpha2 {long}")]
+    table = spark.createDataFrame(names, "position bigint, language string, rule string, term string").cache()
+    sizes = []
+    plain = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: sizes.append(rows := plain(df)) or rows)
+    found = terms.detect_terms(docs, table, part_chars=200)
+    monkeypatch.undo()
+    # the lengths of terms are all that comes back, and no catalogue is broadcast
+    assert max(map(len, sizes), default=0) < 10
+    got = {r.doc_id: [d.match for d in r.detections] for r in found.collect()}
+    want = {r.doc_id: [d.match for d in r.detections] for r in rules.detect_rules(docs, [Rule("any", r, rf"\b(?:{re.escape(t)})\b") for _, _, r, t in names]).collect()}
+    assert got == want and any("alpha1 beta" in m for m in got[1])

@@ -3,22 +3,30 @@
 A catalogue of rules is unrolled into expressions and must stay small.  Literal terms need no
 expressions: texts and terms are cut into words and what stands between them, and a trie of those
 pieces finds every term that begins at a word, in one walk over the text.  The terms stay in a
-table; parts of it of a checked size are broadcast, and a text passes all parts in one scan.
+table: texts are dealt into chunks of a bounded size, a chunk is joined to the terms that its own
+words can begin, and only those make the trie of the chunk.  Nothing of the catalogue goes through
+the driver, and no task holds more of it than its texts ask for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import _col
 from ..schemas import DETECTIONS
+from ..session import stage
 
-#: Letters that terms of one part hold, so at most 64 MB are broadcast at once.
-PART_CHARS = 16_000_000
+#: Letters of the texts of a chunk, on average; chunks at most.
+PART_CHARS = 4_000_000
+CHUNKS = 20_000
+#: Words of a term, and what stands between them, by which it is looked up.
+_LED = 9
 #: Words, and stretches between words, as word boundaries of rules see them.
 _PIECES = r"(?U)\w+|\W+"
 # letters that fold to another one than their small letter
@@ -81,19 +89,40 @@ class Trie:
         return found
 
 
-def terms_from_rows(terms: DataFrame, part_chars: int = PART_CHARS) -> Iterator[list[Row]]:
-    """The catalogue ``(position, language, rule, term)`` in parts of bounded size.
+def terms_from_rows(terms: DataFrame) -> DataFrame:
+    """The catalogue ``(position, language, rule, term)`` with the ``pieces`` of each term.
 
     Terms begin and end with a letter or digit; others, and null ones, can never stand between
     word boundaries and are left out.
     """
     known = terms.where(F.col("term").rlike(r"(?Us)\A\w(?:.*\w)?\z"))
-    chars = known.agg(F.sum(F.length("term"))).first()[0] or 0
-    n = max(1, -(-chars // part_chars))
-    part = F.pmod(F.xxhash64("term"), F.lit(n))
-    columns = ["position", "language", "rule", pieces("term").alias("pieces")]
-    for i in range(n):
-        yield known.where(part == i).select(*columns).collect()
+    return known.select("position", "language", "rule", pieces("term").alias("pieces"))
+
+
+def _keys(frames: Iterator[pa.RecordBatch], lengths: list[int], case_insensitive: bool) -> Iterator[pa.RecordBatch]:
+    """``(chunk, key)``: the distinct folded stretches of as many pieces as terms have, by chunk."""
+    form = lru_cache(_KNOWN)(fold if case_insensitive else str)
+    for b in frames:
+        held: dict[int, set[str]] = {}
+        for chunk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            own, found = [form(p) for p in text], held.setdefault(chunk, set())
+            for n in lengths:
+                if n == 1:
+                    found.update(own)
+                else:
+                    found.update("".join(own[i : i + n]) for i in range(len(own) - n + 1))
+        chunks = [c for c, found in held.items() for _ in found]
+        keys = [k for found in held.values() for k in found]
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(keys, pa.string())], ["chunk", "key"])
+
+
+def _led(frames: Iterator[pa.RecordBatch], case_insensitive: bool) -> Iterator[pa.RecordBatch]:
+    """Terms with the ``key`` by which they are looked up."""
+    form = fold if case_insensitive else str
+    for b in frames:
+        at = b.schema.get_field_index("pieces")
+        keys = ["".join(form(p) for p in row[:_LED]) for row in b.column(at).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.string())], [*b.schema.names, "key"])
 
 
 def detect_terms(
@@ -107,15 +136,33 @@ def detect_terms(
 
     As if every term were a rule of its own between word boundaries.  A null text has none.
     """
-    held = "_hits"
-    while held in df.columns:
-        held += "_"
-    cut = held + "pieces"
+    held, cut, chunk, row = (_fresh(df, x) for x in ("_hits", "_pieces", "_chunk", "_row"))
     rest = [c for c in df.columns if c != "detections"]
-    rows = df.withColumn(cut, F.coalesce(pieces(text), F.array().cast("array<string>")))
-    rows = rows.select(*rest, cut, F.array().cast(_HITS).alias(held))
-    for part in terms_from_rows(terms, part_chars):
-        rows = rows.mapInArrow(_finder(rows, part, case_insensitive, cut, held), rows.schema)
+    chars = df.agg(F.sum(F.length(text))).first()[0] or 0
+    n = min(CHUNKS, max(1, -(-chars // part_chars)))
+    # chunks are numbered by row, so copies of a text spread over them; they must not change later
+    rows = df.select(*rest, F.monotonically_increasing_id().alias(row))
+    rows = rows.withColumn(chunk, F.pmod(F.xxhash64(row), F.lit(n))).drop(row)
+    rows = stage(rows, "term-texts")
+    known = terms_from_rows(terms)
+    schema = "position bigint, language string, rule string, pieces array<string>, key string"
+    known = known.withColumn("position", F.col("position").cast("bigint"))
+    known = stage(known.mapInArrow(lambda frames: _led(frames, case_insensitive), schema), "term-catalogue")
+    lengths = known.select(F.least(F.size("pieces"), F.lit(_LED)).alias("n")).distinct()
+    lengths = sorted(r["n"] for r in lengths.collect())  # at most _LED
+    asked = rows.select(F.col(chunk).alias("chunk"), pieces(text).alias("p")).where("p IS NOT NULL")
+    asked = asked.mapInArrow(lambda frames: _keys(frames, lengths, case_insensitive), "chunk bigint, key string")
+    # each chunk asks once for a stretch, however often it stands there; the short side is the catalogue
+    asked = asked.where(F.col("key").rlike(r"(?U)\A\w"))  # as terms do
+    wanted = asked.distinct().hint("shuffle_merge").join(known, "key").drop("key")
+    texts = rows.repartition(min(n, _TASKS), chunk)
+    texts = texts.withColumn(cut, F.coalesce(pieces(text), F.array().cast("array<string>")))
+    names = [*rest, cut, held]
+    out = T.StructType([df.schema[c] for c in rest])
+    out = T.StructType([*out.fields, T.StructField(cut, T.ArrayType(T.StringType()))]).add(held, _HITS)
+    found = texts.groupBy(chunk).cogroup(wanted.groupBy("chunk")).applyInArrow(
+        _finder(case_insensitive, cut, names), out
+    )
     ordered = F.transform(
         F.sort_array(held),
         lambda h: F.struct(
@@ -124,27 +171,46 @@ def detect_terms(
             F.array_join(F.slice(cut, h["first"] + 1, h["n"]), "").alias("match"),
         ),
     )
-    return rows.select(*rest, ordered.cast(DETECTIONS).alias("detections"))
-
-
-_HITS = "array<struct<position: bigint, first: int, n: int, language: string, rule: string>>"
-
+    return found.select(*rest, ordered.cast(DETECTIONS).alias("detections"))
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+#: Tasks that texts are dealt to at most; a task takes its chunks one after the other.
+_TASKS = 2_000
+_HITS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("position", T.LongType()),
+            T.StructField("first", T.IntegerType()),
+            T.StructField("n", T.IntegerType()),
+            T.StructField("language", T.StringType()),
+            T.StructField("rule", T.StringType()),
+        ]
+    )
+)
 
-def _finder(rows: DataFrame, part: list[Row], case_insensitive: bool, cut: str, held: str):
-    shared = rows.sparkSession.sparkContext.broadcast(part)
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value
+def _finder(case_insensitive: bool, cut: str, names: list[str]):
+    def run(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+        columns = [texts.column(c).combine_chunks() for c in names[:-1]]
+        terms = wanted.select(["position", "language", "rule", "pieces"]).to_pylist()
         trie = Trie(terms, case_insensitive)
-        for b in frames:
-            texts = b.column(b.schema.get_field_index(cut)).to_pylist()
-            hits = b.column(b.schema.get_field_index(held))
-            out = []
-            for text, before in zip(texts, hits.to_pylist(), strict=True):
-                for term, first, n in trie.find(text):
-                    t = terms[term]
-                    before.append({"position": t["position"], "first": first, "n": n, "language": t["language"], "rule": t["rule"]})
-                out.append(before)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, hits.type)], b.schema.names)
+        out = []
+        for b in texts.select([cut]).to_batches(256):
+            for text in b.column(0).to_pylist():
+                out.append(
+                    [
+                        {"position": t["position"], "first": first, "n": n, "language": t["language"], "rule": t["rule"]}
+                        for term, first, n in trie.find(text)
+                        for t in (terms[term],)
+                    ]
+                )
+        kind = pa.list_(pa.struct([("position", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("language", pa.string()), ("rule", pa.string())]))
+        return pa.Table.from_arrays([*columns, pa.array(out, kind)], names)
 
     return run
