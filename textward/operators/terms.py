@@ -25,6 +25,8 @@ from ..session import stage
 #: Letters of the texts of a chunk, on average; chunks at most.
 PART_CHARS = 4_000_000
 CHUNKS = 20_000
+#: Texts that are cut up at one time.
+_SLICE = 256
 #: Words of a term, and what stands between them, by which it is looked up.
 _LED = 9
 #: Words, and stretches between words, as word boundaries of rules see them.
@@ -102,7 +104,8 @@ def terms_from_rows(terms: DataFrame) -> DataFrame:
 def _keys(frames: Iterator[pa.RecordBatch], lengths: list[int], case_insensitive: bool) -> Iterator[pa.RecordBatch]:
     """``(chunk, key)``: the distinct folded stretches of as many pieces as terms have, by chunk."""
     form = lru_cache(_KNOWN)(fold if case_insensitive else str)
-    for b in frames:
+    # texts of a slice are Python objects at one time
+    for b in (frame.slice(lo, _SLICE) for frame in frames for lo in range(0, frame.num_rows, _SLICE)):
         held: dict[int, set[str]] = {}
         for chunk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             own, found = [form(p) for p in text], held.setdefault(chunk, set())
@@ -201,7 +204,7 @@ def _finder(case_insensitive: bool, cut: str, names: list[str]):
         terms = wanted.select(["position", "language", "rule", "pieces"]).to_pylist()
         trie = Trie(terms, case_insensitive)
         out = []
-        for b in texts.select([cut]).to_batches(256):
+        for b in texts.select([cut]).to_batches(_SLICE):
             for text in b.column(0).to_pylist():
                 out.append(
                     [
