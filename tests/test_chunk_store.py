@@ -4,6 +4,7 @@ import hashlib
 
 from plans import plan_of
 
+from textward.operators.kb import latest
 from textward.sources import chunk_store as cs
 
 
@@ -59,3 +60,32 @@ def test_reading_shuffles_nothing(spark, tmp_path):
     cs.append(spark, store, batch(spark, [(f"t{i}", "v", None) for i in range(50, 150)]), 1)
     plan = plan_of(cs.current(spark, store))
     assert "Exchange" not in plan and "Broadcast" not in plan
+
+
+def test_texts_are_dealt_once(spark, tmp_path, monkeypatch):
+    store = cs.open_store(spark, str(tmp_path / "kb"), buckets=4)
+    cs.append(spark, store, batch(spark, [(f"t{i}", "u", None) for i in range(50)]), 0)
+    staged, written = [], []
+    stage, write = cs.stage, cs._write
+    monkeypatch.setattr(cs, "stage", lambda df, *a: (staged.append(plan_of(df)), stage(df, *a))[1])
+    monkeypatch.setattr(cs, "_write", lambda df, *a: (written.append(plan_of(df)), write(df, *a))[1])
+    cs.append(spark, store, batch(spark, [(f"t{i}", "v", None) for i in range(25, 75)]), 1)
+    assert [p.count("Exchange hashpartitioning") for p in staged] == [1]
+    assert len(written) == 2 and not any("Exchange" in p for p in written)
+    assert len(state(spark, store)) == 75
+
+
+def test_copies_in_one_batch_of_rows(spark):
+    rows = [
+        (c, url, topic, no, f"{c}{url}{topic}{no}", 0)
+        for c in ("a", "b", None)
+        for url in ("u2", None, "Z", "é")
+        for topic in (None, "t", "T")
+        for no in (2, None, 1)
+    ]
+    rows = [r for r in rows if r[0] != "b" or r[1] is not None]
+    types = "chunk_id string, url string, topic string, chunk_no int, text string, batch_no int"
+    df = spark.createDataFrame(rows, types).where("chunk_id IS NOT NULL").coalesce(1)
+    got = df.mapInArrow(cs._first_copies, df.schema)
+    assert got.count() == 2
+    assert sorted(got.collect()) == sorted(latest(df).collect())

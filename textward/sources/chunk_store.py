@@ -11,8 +11,12 @@ its text is written again only where it brings another vector.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,8 +64,8 @@ def open_store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> ChunkS
     tables = ((store.bodies, BODIES, "bodies"), (store.versions, VERSIONS, "versions"))
     for table, columns, folder in tables:
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY (part) "
-            f"CLUSTERED BY (chunk_id) INTO {buckets} BUCKETS LOCATION '{path}/{folder}'"
+            f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet OPTIONS ('compression' = 'zstd') "
+            f"PARTITIONED BY (part) CLUSTERED BY (chunk_id) INTO {buckets} BUCKETS LOCATION '{path}/{folder}'"
         )
         if found:
             # batches that another session has written
@@ -89,6 +93,20 @@ def _newest(versions: DataFrame) -> DataFrame:
     return versions.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each chunk in a batch of rows the copy that :func:`latest` would take."""
+    keys = [(c, "ascending") for c in ("chunk_id", "url", "topic", "chunk_no")]
+    for part in batches:
+        if part.num_rows:
+            named = pa.Table.from_batches([part]).select([c for c, _ in keys])
+            order = pc.sort_indices(named, sort_keys=keys, null_placement="at_start")
+            ids = part.column("chunk_id").take(order)
+            first = np.ones(len(ids), bool)
+            first[1:] = pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)
+            part = part.take(order.filter(pa.array(first)))
+        yield part
+
+
 def append(spark: SparkSession, store: ChunkStore, batch: DataFrame, batch_no: int) -> None:
     """Store a batch of chunks ``(chunk_id, text[, source, url, topic, chunk_no, embedding])``.
 
@@ -103,7 +121,11 @@ def append(spark: SparkSession, store: ChunkStore, batch: DataFrame, batch_no: i
             batch = batch.withColumn(name, F.lit(None).cast(kind))
     number = F.lit(batch_no).cast("bigint")
     rows = schemas.conform(batch.where("chunk_id IS NOT NULL"), schemas.KB)
-    rows = latest(rows.withColumn("batch_no", number))
+    rows = rows.withColumn("batch_no", number)
+    # Texts are dealt once, by bucket: the newest copy, the join to the versions and the files
+    # need no other order.  A chunk of very many copies sends one for each batch of rows.
+    lying = rows.mapInArrow(_first_copies, rows.schema).repartition(store.buckets, "chunk_id")
+    rows = latest(lying)
     # earlier batches only: a batch run again decides as it did the first time
     before = spark.table(store.versions).where(F.col("batch_no") < batch_no)
     known = _newest(before).select("chunk_id", F.col("vec").alias("_vec"), F.col("body").alias("_body"))
@@ -116,11 +138,10 @@ def append(spark: SparkSession, store: ChunkStore, batch: DataFrame, batch_no: i
         number.alias("part"),
     )
     # read twice, and the versions it rests on are overwritten below
-    decided = stage(decided, "chunk-batch")
-    # one file per bucket
-    lying = decided.repartition(store.buckets, "chunk_id")
-    _write(lying.where(F.col("body") == number), store.bodies, BODIES, batch_no)
-    _write(lying, store.versions, VERSIONS, batch_no)
+    decided = stage(decided, "chunk-batch", "zstd")
+    # a staged file holds one bucket, so a bucket has one file, or a few where it is very large
+    _write(decided.where(F.col("body") == number), store.bodies, BODIES, batch_no)
+    _write(decided, store.versions, VERSIONS, batch_no)
 
 
 def current(spark: SparkSession, store: ChunkStore) -> DataFrame:
