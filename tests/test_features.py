@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from plans import plan_of
 
 from textward.operators import features, models
 
@@ -40,6 +41,20 @@ def test_vectors_by_word(docs):
     assert next(r["top"] for r in rows if r["k"] == 1) == ["and", "dog"]
 
 
+def test_words_are_counted_in_their_row(docs):
+    assert "Exchange" not in plan_of(features.word_counts(docs, "k"))
+
+
+def test_texts_of_one_key_count_as_one(spark):
+    rows = [(1, "b a b"), (1, "a c"), (2, "a"), (2, None), (None, "a d"), (None, "a"), (3, None), (4, "d")]
+    df = spark.createDataFrame(rows, "k int, text string")
+    got = {(r["k"], r["word"]): r["n"] for r in features.word_counts(df, "k").collect()}
+    assert got == {(1, "a"): 2, (1, "b"): 2, (1, "c"): 1, (2, "a"): 1, (None, "a"): 2, (None, "d"): 1, (4, "d"): 1}
+    terms = [(r["k"], [t["word"] for t in r["terms"]]) for r in features.word_vectors(df, "k").collect()]
+    assert len(terms) == len(rows)
+    assert all(sorted(w) == {1: ["a", "b", "c"], 2: ["a"], 4: ["d"]}.get(k, []) for k, w in terms)
+
+
 def test_vocabulary_of_another_corpus(spark, docs):
     counts = features.word_counts(docs, "k")
     words = features.vocabulary(counts, docs.count())

@@ -2,19 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, tokens
+from ..functions.text import _col, let, tokens
 from ..session import stage
 from .evalset import eval_batches
 from .skew import join_hot
 
 
+def counted_words(text: Column | str) -> Column:
+    """The distinct words of a text as ``(word, n)``, in the order of the words."""
+
+    def runs(words: Column) -> Column:
+        # places from 1 where a run of equal words ends
+        last = F.filter(
+            F.sequence(F.lit(1), F.size(words)), lambda i: ~F.get(words, i - 1).eqNullSafe(F.get(words, i))
+        )
+
+        def counted(ends: Column) -> Column:
+            def term(end: Column, i: Column) -> Column:
+                n = end - F.coalesce(F.get(ends, i - 1), F.lit(0))
+                return F.struct(F.get(words, end - 1).alias("word"), n.cast("bigint").alias("n"))
+
+            return F.transform(ends, term)
+
+        return F.when(F.size(words) > 0, let(last, counted))
+
+    return let(F.sort_array(tokens(F.coalesce(_col(text), F.lit("")))), runs)
+
+
 def word_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``(key, word, n)``: how often each word stands in each text; null text has none."""
-    words = df.select(key, F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("word"))
-    return words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    """``(key, word, n)``: how often each word stands in each text; null text has none.
+
+    Words are counted in their row, so nothing is shuffled.  Texts that share a key, or have
+    none, count as one text; only those are grouped.
+    """
+    several = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    several = stage(several.where("_n > 1").select("_key"), "repeated-keys")
+    again = F.col(key).eqNullSafe(F.col("_key"))
+    single = df if several.isEmpty() else df.join(several, again, "left_anti")
+    # the outer form, as in exploded(): the words are counted once
+    terms = single.select(key, F.explode_outer(counted_words(text)).alias("_t")).where("_t IS NOT NULL")
+    counts = terms.select(key, "_t.word", "_t.n")
+    if single is df:
+        return counts
+    shared = df.join(several, again, "left_semi")
+    words = shared.select(key, F.explode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("word"))
+    return counts.unionByName(words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n")))
 
 
 def vocabulary(counts: DataFrame, texts: int) -> DataFrame:
@@ -38,12 +73,14 @@ def word_vectors(
     very many texts is spread over tasks.  Texts without words have an empty vector.  ``key`` must
     be unique and not null.
     """
-    counts = stage(word_counts(df, key, text), "word-counts")
+    counts = stage(word_counts(df, key, text), "word-counts", "zstd")
     if words is None:
         words = stage(vocabulary(counts, df.count()), "vocabulary")
     weighted = join_hot(counts, words.select("word_id", "word", "idf"), "word", key)
     term = F.struct("word_id", "word", (F.col("n") * F.col("idf")).alias("weight"))
-    vectors = weighted.groupBy(key).agg(F.sort_array(F.collect_list(term)).alias("terms"))
+    # rows come word by word: dealt as they are they take less room than in lists by text
+    vectors = weighted.select(key, term.alias("_t")).repartition(key)
+    vectors = vectors.groupBy(key).agg(F.sort_array(F.collect_list("_t")).alias("terms"))
 
     def scaled(terms):
         squares = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t["weight"] * t["weight"])
