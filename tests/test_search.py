@@ -150,3 +150,13 @@ def test_products_of_blocks_like_plain_cosines(spark, monkeypatch):
         for i, found in top.items():
             assert found == [j for _, j in sorted((-s, j) for (x, j), s in want.items() if x == i)][:2]
     assert not built
+
+
+def test_copies_of_groups_have_partitions_of_their_own(spark):
+    def side(key):
+        rows = [(i, i % 10, 8, [1.0, i / 320]) for i in range(320)]
+        return spark.createDataFrame(rows, f"{key} bigint, group bigint, copies bigint, embedding array<double>")
+
+    found = retrieval._matched(side("query_id"), side("chunk_id"), 2, 80)
+    assert found.rdd.getNumPartitions() >= 80
+    assert found.count() == 640
