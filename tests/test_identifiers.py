@@ -1,11 +1,14 @@
 """Check digits, and identifiers known by the words before them."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from textward import catalog
 from textward.functions import checks
 from textward.operators import pii
+from textward.plans import inputs
 
 ZONE = "L898902C36UTO7408122F1204159ZE184226B<<<<<10"
 CASES = [
@@ -81,3 +84,44 @@ def test_catalogue_as_table_keeps_checks(spark):
     assert set(catalog.PII_LABELS) - {r.label for r in catalog.CHECKED_RECOGNISERS} == {
         "nationality", "medication", "medical_condition", "email_address"
     }
+
+
+def test_places_of_hits_that_stand_before_as_part_of_a_word(spark):
+    text = "x09123456789 no. 09123456789\n09123456789, b.09123456789"
+    df = spark.createDataFrame([(text,)], "text string")
+    (row,) = pii.detect_pii(df).collect()
+    assert [(e["label"], e["start"], e["end"]) for e in row["entities"]] == [
+        ("mobile_phone_number", at, at + 11) for at in (17, 29, 44)
+    ]
+
+
+def test_failing_hits_take_their_place(spark):
+    text = "é 4111111111111112 4111111111111111 4111111111111112 4111-1111-1111-1111"
+    df = spark.createDataFrame([(text,)], "text string")
+    (row,) = pii.detect_pii(df, catalog.IDENTIFIERS).collect()
+    assert [(e["text"], e["start"]) for e in row["entities"]] == [
+        ("4111111111111111", 19), ("4111-1111-1111-1111", 53)
+    ]
+
+
+@pytest.mark.parametrize("items", [catalog.RECOGNISERS, catalog.CHECKED_RECOGNISERS])
+def test_known_starts_change_no_span(spark, items):
+    texts = [s for s, _, _ in SAID] + [" ".join(s for s, _, _ in SAID), "éDE89370400440532013000", "AB-123456 ZAB-123456"]
+    df = spark.createDataFrame([(s,) for s in texts], "text string")
+    plain = [replace(r, starts=None) for r in items]
+    rows = df.select(pii.candidate_spans("text", items).alias("a"), pii.candidate_spans("text", plain).alias("b"))
+    found = rows.collect()
+    assert any(r["a"] for r in found) and all(r["a"] == r["b"] for r in found)
+
+
+def test_boundaries_are_looked_at_after_the_first_characters():
+    items = [r for r in catalog.CHECKED_RECOGNISERS if r.guard is None or r.lead]
+    assert all(pii._looks_first(r).startswith("(?=") for r in items)
+    kept = catalog.Recogniser("x", "other", r"[0-9]+", guard="a", lead=r"\b(a|b)\1 ")
+    assert pii._looks_first(kept) == r"\b(a|b)\1 [0-9]+"
+
+
+def test_pieces_of_a_file_are_dealt_to_all_cores(spark, sf_dir):
+    texts = inputs.identified_texts(spark, sf_dir)
+    sizes = [n for n in texts.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 2 * sum(sizes) / len(sizes)

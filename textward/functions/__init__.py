@@ -18,6 +18,7 @@ from .text import (
     find_all,
     find_spans,
     flatten_list_text,
+    hit_ends,
     is_filtered_marker,
     list_text_items,
     strip,
@@ -40,7 +41,7 @@ from .vectors import (
 __all__ = [
     "any_match", "assessment_band", "chunk_text", "clean_topic", "clip", "content_id", "cosine_similarity",
     "distance_band", "distance_points", "dot", "extract_claims", "extract_fenced", "find_all",
-    "find_spans", "flatten_list_text", "hash_embedding", "is_filtered_marker",
+    "find_spans", "flatten_list_text", "hash_embedding", "hit_ends", "is_filtered_marker",
     "is_hallucination", "list_text_items", "max_probability", "norm", "sigmoid", "softmax",
     "sparse_cosine", "strip", "strong_enough", "token_cosine", "tokens", "unicode_pattern",
     "valid_topic",
