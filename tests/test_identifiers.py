@@ -116,9 +116,15 @@ def test_known_starts_change_no_span(spark, items):
 
 def test_boundaries_are_looked_at_after_the_first_characters():
     items = [r for r in catalog.CHECKED_RECOGNISERS if r.guard is None or r.lead]
-    assert all(pii._looks_first(r).startswith("(?=") for r in items)
-    kept = catalog.Recogniser("x", "other", r"[0-9]+", guard="a", lead=r"\b(a|b)\1 ")
-    assert pii._looks_first(kept) == r"\b(a|b)\1 [0-9]+"
+    assert all(pii._looks_first(r).startswith(f"(?=[{r.starts}])") for r in items)
+    assert pii._looks_first(catalog.Recogniser("x", "other", r"\b[0-9]+", guard="a")) == r"\b[0-9]+"
+    assert pii._looks_first(catalog.Recogniser("x", "other", r"[]^x]", starts="]^x")) == r"(?=[\]\^x])[]^x]"
+
+
+def test_initials_of_a_wording():
+    assert catalog._initials("(?:[Cc]ard )?[Ee]xpires") == "CEce"
+    assert set("LlNn") <= set(catalog._initials("(?:[Ll]icen[cs]e|[Nn]umber) plate"))
+    assert catalog._initials("CVV2?") == "C"
 
 
 def test_pieces_of_a_file_are_dealt_to_all_cores(spark, sf_dir):
