@@ -160,3 +160,26 @@ def test_copies_of_groups_have_partitions_of_their_own(spark):
     found = retrieval._matched(side("query_id"), side("chunk_id"), 2, 80)
     assert found.rdd.getNumPartitions() >= 80
     assert found.count() == 640
+
+
+def test_products_of_blocks_shuffle_no_pair_and_copy_no_text(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    left, right = ([(i, " ".join(rng.choices(words, k=rng.randint(1, 9)))) for i in range(n)] for n in (60, 50))
+    # copies on both sides, and a text in two rows of one id
+    left += [(100 + i, left[0][1]) for i in range(30)] + [(200, "w1 w2"), (200, "w2 w3")]
+    right += [(100 + i, left[0][1]) for i in range(20)]
+    a, b = (spark.createDataFrame(side, "id bigint, text string") for side in (left, right))
+    want = plain_pairs([*left[:-2], (200, "w1 w2 w2 w3")], right, 0.5)
+    for name, value in (("_MEETING", 0.0), ("_LEAST", 7), ("_OUT", 7), ("LEAST_ROWS", 5), ("_HEAD", 3)):
+        monkeypatch.setattr(sparse, name, value)
+    stored = []
+    plain = sparse._stored
+    monkeypatch.setattr(sparse, "_stored", lambda *x: stored.append(plain(*x)) or stored[-1])
+    found = sparse.sparse_pairs(a, b, 0.5)
+    assert "Exchange" not in plan_of(found)
+    assert {(r.left_id, r.right_id): round(r.score, 6) for r in found.collect()} == want and want
+    assert found.count() == len(want)
+    for path, texts_of in zip(stored, (left[:-1], right), strict=True):
+        blocks = spark.read.parquet(path)
+        assert blocks.count() == len(texts_of) and blocks.select("block").distinct().count() > 1
