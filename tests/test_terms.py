@@ -56,3 +56,19 @@ def test_no_term_passes_through_the_driver(spark, monkeypatch):
     got = {r.doc_id: [d.match for d in r.detections] for r in found.collect()}
     want = {r.doc_id: [d.match for d in r.detections] for r in rules.detect_rules(docs, [Rule("any", r, rf"\b(?:{re.escape(t)})\b") for _, _, r, t in names]).collect()}
     assert got == want and any("alpha1 beta" in m for m in got[1])
+
+
+def test_a_chunk_asks_for_stretches_of_terms_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha{i} beta gamma{i} delta " * 3) for i in range(200)], "doc_id bigint, text string")
+    names = [(1, "any", "one", "Alpha7"), (2, "any", "two", "beta gamma7"), (3, "any", "again", "delta alpha9 beta gamma9 delta alpha9")]
+    table = spark.createDataFrame(names, "position bigint, language string, rule string, term string")
+    asked = []
+    plain = type(docs).distinct
+    monkeypatch.setattr(type(docs), "distinct", lambda df: asked.append(df) or plain(df))
+    found = terms.detect_terms(docs, table)
+    monkeypatch.undo()
+    # of the 600 distinct words and some thousand stretches of three pieces and more
+    assert asked[-1].columns == ["chunk", "key"] and asked[-1].count() < 60
+    got = {r.doc_id: [(d.rule, d.match) for d in r.detections] for r in found.collect() if r.detections}
+    # the long term overlaps itself, so it counts once
+    assert got == {7: [("one", "alpha7")] * 3 + [("two", "beta gamma7")] * 3, 9: [("again", "delta alpha9 beta gamma9 delta alpha9")]}
