@@ -183,3 +183,29 @@ def test_products_of_blocks_shuffle_no_pair_and_copy_no_text(spark, monkeypatch)
     for path, texts_of in zip(stored, (left[:-1], right), strict=True):
         blocks = spark.read.parquet(path)
         assert blocks.count() == len(texts_of) and blocks.select("block").distinct().count() > 1
+
+
+def test_only_chunks_within_reach_are_ranked(monkeypatch):
+    rng = np.random.default_rng(8)
+    unit = lambda n: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(rng.normal(size=(n, 8)))
+    queries, chunks = unit(30), unit(900)
+    chunks[700] = chunks[20]  # a tie, which the smaller id wins
+    queries[3] = chunks[20]
+    ids = np.array([f"c{i:03}" for i in range(900)], dtype=object)
+    far = np.floor((1.0 - queries @ chunks.T) * 1e6 + 0.5)
+    want = np.argsort(far, axis=1, kind="stable")[:, :3]
+    best = retrieval._Best(30, 3)
+    best.offer(queries, np.arange(30), ids[600:], chunks[600:])
+    assert (best.id != None).all()  # noqa: E711
+    ranked = []
+    plain = best._merge
+    monkeypatch.setattr(best, "_merge", lambda at, row, *x: ranked.append(len(row)) or plain(at, row, *x))
+    monkeypatch.setattr(retrieval.np, "argpartition", None)
+    best.offer(queries, np.arange(30), ids[:600], chunks[:600])
+    monkeypatch.undo()
+    assert (best.id == ids[want]).all() and (best.key == np.take_along_axis(far, want, 1)).all()
+    assert 0 < sum(ranked) < 900
+    # a bound rules out what it cannot improve, and nothing else
+    bounded = retrieval._Best(30, 3)
+    bounded.offer(queries, np.arange(30), ids, chunks, bound=best.dist[:, -1])
+    assert (bounded.id == best.id).all()
